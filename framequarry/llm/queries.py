@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequarry.llm import licenses, packing, sharding
+from framequarry.llm import audio, bpe, licenses, packing, quality, sharding
 from framequarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,10 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe": over("documents", bpe.encode_digests),
         "op2_packing": over("documents", packing.pack_digests),
+        "op3_media": over("documents", audio.media_digests),
+        "op4_quality": over("documents", quality.judge_digests),
         "op7_sharding": over("documents", sharding.shard_digests),
         "op9_licenses": over("documents", licenses.scan_digests),
     }
