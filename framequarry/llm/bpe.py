@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text, about, that one block holds.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 
 WORDS_SCHEMA = "word string, block long, code int"
 BLOCK_SCHEMA = "block long, doc_ids array<long>, n_words array<long>, codes binary"
@@ -91,10 +91,10 @@ class WordEncoder:
         spec |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]}
         self.model = Tokenizer.from_str(json.dumps(spec))
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word."""
+    def encode(self, words: list[str], kind: str = "<u4") -> list[bytes]:
+        """Ids of each word, as little-endian unsigned integers."""
         found = self.model.encode_batch(words, add_special_tokens=False)
-        return [np.array([self.special[w]] if w in self.special else e.ids, "<u4").tobytes() for w, e in zip(words, found)]
+        return [np.array([self.special[w]] if w in self.special else e.ids, kind).tobytes() for w, e in zip(words, found)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,6 +116,19 @@ def pieces_of(path: str) -> list[str]:
     return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
+class Codes(dict):
+    """Word to code; an unseen word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def id_kind(path: str) -> str:
+    """The least width that holds every id of the vocabulary, for ids on the way."""
+    return "<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4"
+
+
 def blocks(batches, path: str):
     """(block, ids of documents, words per document, word codes, distinct words in the order of their codes)."""
     split = splitter(path).split
@@ -123,12 +136,10 @@ def blocks(batches, path: str):
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if held is None:
-                held = ([], [], [], {}, hashlib.blake2b(digest_size=8), 0)
+                held = ([], [], [], Codes(), hashlib.blake2b(digest_size=8), 0)
             doc_ids, sizes, codes, known, name, size = held
             text = text.as_py()
             words = split(text)
-            for w in dict.fromkeys(words):
-                known.setdefault(w, len(known))
             codes.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
             doc_ids.append(doc_id)
             sizes.append(len(words))
@@ -142,10 +153,15 @@ def blocks(batches, path: str):
 
 
 def closed(held: tuple) -> tuple:
+    """Codes are dealt anew by frequency, which makes them shorter on the way."""
     doc_ids, sizes, codes, known, name, _ = held
-    for w in known:
-        name.update(w.encode("utf-8", "surrogatepass") + b"\n")
-    return int.from_bytes(name.digest(), "little", signed=True), doc_ids, sizes, np.concatenate(codes), list(known)
+    words = list(known)
+    name.update("\n".join(words).encode("utf-8", "surrogatepass"))
+    joined = np.concatenate(codes)
+    order = np.argsort(-np.bincount(joined, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    return int.from_bytes(name.digest(), "little", signed=True), doc_ids, sizes, rank[joined], [words[i] for i in order.tolist()]
 
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
@@ -166,12 +182,21 @@ def coded_blocks(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for block, doc_ids, sizes, codes, _ in blocks(batches, path):
-            data = zstandard.compress(codes.tobytes(), 3)
+            data = squeezed(codes)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "doc_ids", "n_words", "codes"])
 
     return plain(docs).mapInArrow(run, BLOCK_SCHEMA)
 
 
+def squeezed(codes: np.ndarray) -> bytes:
+    """Codes, byte by byte of all in turn, as the high bytes hardly vary."""
+    return zstandard.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -179,12 +204,14 @@ def plain(docs: DataFrame) -> DataFrame:
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """(word, block, code) to (block, code, ids): rows meet by word and are sorted, so each word is encoded once."""
 
+    kind = id_kind(path)
+
     def run(batches):
         encoder = word_encoder(path)
         last, last_ids = None, b""  # a word's rows may run on into the next batch
         for batch in batches:
             fresh = [w for w in dict.fromkeys(batch.column(0).to_pylist()) if w != last]
-            ids = dict(zip(fresh, encoder.encode(fresh)))
+            ids = dict(zip(fresh, encoder.encode(fresh, kind)))
             if last is not None:
                 ids[last] = last_ids
             rows = batch.column(0).to_pylist()
@@ -199,18 +226,21 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, decode: bool = True) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and, if asked for, the text that the ids decode to."""
     path = path or default_tokenizer()
+    kind = id_kind(path)
 
     def rejoin(held, coded):
         if not held.num_rows:
             raise ValueError("ids of an unknown block: the input did not repeat its rows in order")
         table: list = [None] * coded.num_rows
-        for code, ids in zip(coded["code"].to_pylist(), coded["ids"].to_pylist()):
-            table[code] = ids
         pieces = pieces_of(path)
-        texts = [" ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]) for ids in table] if decode else []
+        texts: list = [None] * coded.num_rows
+        for code, raw in zip(coded["code"].to_pylist(), coded["ids"].to_pylist()):
+            ids = np.frombuffer(raw, kind)
+            table[code] = ids.astype("<u4").tobytes()
+            texts[code] = " ".join([pieces[i] for i in ids.tolist()])
         out = []
         for data, doc_ids, sizes in zip(held["codes"].to_pylist(), held["doc_ids"].to_pylist(), held["n_words"].to_pylist()):
-            codes = np.frombuffer(zstandard.decompress(data), np.uint32)
+            codes = unsqueezed(data)
             if len(codes) and int(codes.max()) >= len(table):
                 raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
             ends = np.cumsum(sizes).tolist()

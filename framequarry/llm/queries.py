@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequarry.llm import audio, bpe, licenses, packing, quality, sharding
+from framequarry.llm import audio, bpe, licenses, near_dedup, packing, pii, quality, sharding, toxicity, warc
 from framequarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,12 @@ def queries() -> dict[str, Query]:
         "op2_packing": over("documents", packing.pack_digests),
         "op3_media": over("documents", audio.media_digests),
         "op4_quality": over("documents", quality.judge_digests),
+        "op5_near_dedup": over("documents", near_dedup.near_duplicate_digests),
+        "op6_toxicity": lambda spark, sf_dir: toxicity.score_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op7_sharding": over("documents", sharding.shard_digests),
+        "op8_pii": over("documents", pii.find_digests),
         "op9_licenses": over("documents", licenses.scan_digests),
+        "op10_warc": over("pages", warc.revisit_digests),
     }
 
 
