@@ -15,10 +15,16 @@ from framequarry.runtime import materialise, table
 BROADCAST_ROWS = 500_000
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Every row as one struct, so that no column's name can clash, besides what a judgement reads."""
+    source = [F.col("source")] if "source" in docs.columns else []
+    return docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "text", *source)
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is among those gone; rows without an id stay.
 
-    What goes is the smaller part: its ids are kept as a table, and its size decides on a broadcast.
+    The ids that go are kept as a table, whose size decides on a broadcast.
     """
     gone = materialise(gone.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
@@ -28,12 +34,12 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labelled documents of the original table."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return without(docs, toxicity.score(docs, model).where("score >= 0.5"))
+    return toxicity.score(whole_rows(docs), model, keep=["row_"]).where("score < 0.5").select("row_.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and their host's verdict."""
-    return without(docs, quality.judge(docs).where("not kept"))
+    return quality.judge(whole_rows(docs), keep=("row_",)).where("kept").select("row_.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
