@@ -48,14 +48,14 @@ def word_array(text: Column) -> Column:
     return F.slice(parts, lead + 1, F.greatest(F.lit(0), F.size(parts) - lead - last))
 
 
-def counts(docs: DataFrame, host: str | None = "source") -> DataFrame:
-    """doc_id, host and the exact counts of each text.
+def counts(docs: DataFrame, host: str | None = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host and the exact counts of each text, besides the columns to keep.
 
     Words in repeated 3-word windows: windows are hashed to see which texts repeat any at all; only for those are the
     windows themselves sorted, equal neighbours found, and the words that they cover counted.
     """
     of_host = F.col(host).cast("string") if host in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_host.alias("host"), F.coalesce("text", F.lit("")).alias("t"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_host.alias("host"), F.coalesce("text", F.lit("")).alias("t"), *keep)
     base = base.withColumns({
         "w": word_array(F.col("t")),
         "lines": F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD_CHAR)),
@@ -117,9 +117,9 @@ def host_verdicts(totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return totals.withColumn("rate", rate).withColumns({"rejected": F.col("rate") >= limits.reject_rate, "blocked": F.col("rate") >= limits.block_rate})
 
 
-def judge(docs: DataFrame, host: str | None = "source", limits: Limits = Limits()) -> DataFrame:
-    """Counts, rule failures, the host's shrunk rate and the verdict of each document."""
-    failed = materialise(failures(counts(docs, host), limits), "rule-failures")
+def judge(docs: DataFrame, host: str | None = "source", limits: Limits = Limits(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, rule failures, the host's shrunk rate and the verdict of each document, besides the columns to keep."""
+    failed = materialise(failures(counts(docs, host, keep), limits), "rule-failures")
     verdicts = host_verdicts(materialise(host_totals(failed), "host-totals"), limits).select(F.col("host").alias("of_host"), "rate", "rejected", "blocked")
     salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))))
     dealt = failed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(limits.salts)).cast("int"))
