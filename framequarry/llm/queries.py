@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framequarry.llm import audio, bpe, licenses, near_dedup, packing, pii, quality, sharding, toxicity, warc
+from framequarry.llm.oracles import oracle_sql
 from framequarry.runtime import table
 
+__all__ = ["oracle_sql", "queries"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,7 +32,3 @@ def queries() -> dict[str, Query]:
         "op9_licenses": over("documents", licenses.scan_digests),
         "op10_warc": over("pages", warc.revisit_digests),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
