@@ -12,10 +12,17 @@ DEFAULT_SHARED_DIR = "file:///tmp/checkpoints/framequarry"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-    spark.sparkContext.setCheckpointDir(root)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+        delete_on_exit(spark, spark.sparkContext.getCheckpointDir())
     return root
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -25,9 +32,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,8 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from framequarry.functions.scalars import target_size
+
 DETECTION_SCHEMA = "video_id string, det_ord long, frame_idx long, embedding array<float>, det_score float, bbox struct<x1:double,y1:double,x2:double,y2:double>, pose struct<yaw:double,pitch:double,roll:double>"
 
 
@@ -42,6 +44,11 @@ class Remuxer(Protocol):
         """Writes target from a stream, by copying its packets or by encoding anew; raises on failure."""
 
 
+class Encoder(Protocol):
+    def encode(self, video_id: str, frame_idx: int, width: int, height: int) -> bytes:
+        """A frame, resized and encoded as JPEG; raises EOFError where it can't be read."""
+
+
 class HttpFetcher:
     """Plain HTTP; statuses from 400 on are failures."""
 
@@ -182,6 +189,26 @@ def remuxed(streams: DataFrame, remuxer: Remuxer) -> DataFrame:
     return streams.select("url", "target").mapInArrow(run, "url string, target string, method string, error string")
 
 
+def encoded_frames(frames: DataFrame, encoder: Encoder) -> DataFrame:
+    """(video_id, frame_idx, key, width, height) to objects: key, content, content_type, metadata, with video_id and
+    frame_idx. Frames that can't be read are dropped, so their person or pick is, too; sizes are those of the video."""
+    size = target_size(F.col("width"), F.col("height"))
+    rows = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "key", size["width"].alias("w"), size["height"].alias("h"))
+
+    def run(batches):
+        kind = pa.schema([("video_id", pa.string()), ("frame_idx", pa.int64()), ("key", pa.string()), ("content", pa.binary()), ("content_type", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
+        for batch in batches:
+            out = []
+            for video_id, frame_idx, key, w, h in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    out.append({"video_id": video_id, "frame_idx": frame_idx, "key": key, "content": encoder.encode(video_id, frame_idx, w, h), "content_type": "image/jpeg", "metadata": []})
+                except EOFError:
+                    continue
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return rows.mapInArrow(run, "video_id string, frame_idx long, key string, content binary, content_type string, metadata map<string,string>")
+
+
 class TableDetector:
     """A fake: detections by (video_id, frame_idx)."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from framequarry.functions.scalars import is_transport_stream, url_join
+from framequarry.runtime import materialise
 from framequarry.sources.media import Fetcher, fetched
 
 
@@ -75,3 +76,41 @@ def diagnostics(playlists: DataFrame) -> DataFrame:
         "segment_count": F.coalesce("segment_count", F.lit(0)),
         "first_variant_url": F.get("variant_details", F.lit(0))["url"],
     }).withColumn("is_variant_playlist", F.col("variant_count") > 0)
+
+
+def fetch_playlists(urls: DataFrame, fetcher: Fetcher) -> tuple[DataFrame, DataFrame]:
+    """(playlist_url, text of those that could be fetched; playlist_url, error of the others)."""
+    got = materialise(fetched(urls.select("playlist_url"), "playlist_url", fetcher), "playlists")
+    return got.where("ok").select("playlist_url", F.decode("content", "UTF-8").alias("text")), got.where("not ok").select("playlist_url", "error")
+
+
+def assemble_streams(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """(playlist_url, segments, fetched, content, error, is_ts): from a master or media playlist to the joined segments.
+
+    A playlist with segments is used as it is; of a master playlist, the media playlist of its best variant is.
+    """
+    first, lost = fetch_playlists(urls, fetcher)
+    direct = segments(first)
+    masters = first.join(direct.select("playlist_url").distinct(), "playlist_url", "left_anti")
+    chosen = materialise(best_variants(variants(masters)).select(F.col("playlist_url").alias("asked"), F.col("url").alias("playlist_url")), "variants")
+    second, lost_variants = fetch_playlists(chosen, fetcher)
+    found = direct.withColumn("asked", F.col("playlist_url")).unionByName(segments(second).join(chosen, "playlist_url"))
+    parts = fetched(segment_urls(found), "url", fetcher)
+    whole = assembled(parts.withColumn("playlist_url", F.col("asked")))
+    failed = lost.unionByName(lost_variants.join(chosen, "playlist_url").select(F.col("asked").alias("playlist_url"), "error"))
+    why = F.coalesce("lost_error", "error", F.when(F.col("segments").isNull(), F.lit("No segments found")))
+    joined = urls.select("playlist_url").distinct().join(whole, "playlist_url", "left").join(failed.withColumnRenamed("error", "lost_error"), "playlist_url", "left")
+    return joined.select("playlist_url", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("fetched", F.lit(0)).alias("fetched"), "content", why.alias("error"), "is_ts")
+
+
+def tested(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """Diagnostics of playlists that are fetched now, with whether the first variant and the first segment answer."""
+    texts, lost = fetch_playlists(urls, fetcher)
+    told = materialise(diagnostics(texts), "diagnostics")
+    variant_texts, variant_lost = fetch_playlists(told.where("first_variant_url is not null").select(F.col("first_variant_url").alias("playlist_url")).distinct(), fetcher)
+    inner = diagnostics(variant_texts).select(F.col("playlist_url").alias("first_variant_url"), F.lit(True).alias("variant_playlist_accessible"), F.col("segment_count").alias("variant_segment_count"), F.col("first_segment_url").alias("variant_first_segment_url"))
+    rows = told.join(inner, "first_variant_url", "left").join(variant_lost.select(F.col("playlist_url").alias("first_variant_url"), F.col("error").alias("variant_playlist_error")), "first_variant_url", "left")
+    rows = rows.withColumn("first_segment_url", F.coalesce("first_segment_url", "variant_first_segment_url")).drop("variant_first_segment_url")
+    heads = fetched(rows.where("first_segment_url is not null").select("first_segment_url").distinct(), "first_segment_url", fetcher, content=False)
+    rows = rows.join(heads.select("first_segment_url", (F.col("status") == 200).alias("first_segment_accessible"), F.col("error").alias("first_segment_error")), "first_segment_url", "left")
+    return rows.withColumn("playlist_accessible", F.lit(True)).withColumn("error", F.lit(None).cast("string")).unionByName(lost.withColumn("playlist_accessible", F.lit(False)), allowMissingColumns=True)

@@ -6,7 +6,7 @@ import json
 import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ALL_FIELDS = {"ignoreNullFields": "false"}
 
@@ -57,6 +57,24 @@ def archive_metadata(job_id, source_url, title, archived_at, frames):
     return F.create_map(F.lit("job-id"), text(job_id), F.lit("source-url"), text(source_url), F.lit("title"), text(title), F.lit("archived-at"), text(archived_at), F.lit("total-frames"), text(frames))
 
 
+def archived(jobs: DataFrame, content: DataFrame, put: Callable[[str, bytes, str, dict], None], at: Column, url_base: str = "") -> DataFrame:
+    """(video_id, archived_s3_key, archived_s3_url); both null where the upload failed, which fails nothing else.
+
+    jobs: video_id, job_id, base_path, source_url, total_frames and metadata; content: video_id and content.
+    """
+    title = F.try_element_at("metadata", F.lit("broadcast_title"))
+    rows = jobs.join(content.select("video_id", "content"), "video_id").select("video_id", F.concat("base_path", F.lit("/video.mp4")).alias("key"), "content", F.lit("video/mp4").alias("content_type"), archive_metadata(F.col("job_id"), F.col("source_url"), title, at, F.col("total_frames")).alias("metadata"))
+    stored = put_objects(rows, put).where("ok").select(F.col("key").alias("archived_s3_key"))
+    found = rows.select("video_id", F.col("key").alias("archived_s3_key")).join(stored, "archived_s3_key")
+    done = found.select("video_id", "archived_s3_key", F.concat(F.lit(url_base), "archived_s3_key").alias("archived_s3_url"))
+    return jobs.select("video_id").join(done, "video_id", "left")
+
+
+def iso_now() -> Column:
+    """The current time as ISO-8601 text."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def post_results(results: DataFrame, url: str | None, timeout: float = 5.0, post: Callable[[str, bytes, float], None] | None = None) -> None:
     """Posts each row as JSON; no URL, no post. Best effort: errors are ignored, and a retried task posts again."""
     if not url:

@@ -14,7 +14,7 @@ from framequarry.operators import clustering, context, payload, requests, sampli
 from framequarry.operators.components import connected_components
 from framequarry.plans import pipeline
 from framequarry.plans.profiles import CANONICAL, JOB, LEGACY, ORGANIZED, PROFILES
-from framequarry.sources import media, playlist, sinks, vtt
+from framequarry.sources import config, media, playlist, sinks, vtt
 from framequarry.streaming import ingest
 
 
@@ -171,8 +171,10 @@ def test_clusters_agree(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 202), (202, 201), (None, 3)] + [(500, 500 + i) for i in range(1, 300)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[100] == 100 and got[201] == got[202] == 200 and all(got[500 + i] == 500 for i in range(300))
+    edges = spark.createDataFrame(chain, "a long, b long").repartition(9)
+    for local in (10**6, 30):
+        got = {r["node"]: r["component"] for r in connected_components(edges, "a", "b", local).collect()}
+        assert all(got[i] == 0 for i in range(61)) and got[100] == 100 and got[201] == got[202] == 200 and all(got[500 + i] == 500 for i in range(300))
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
@@ -212,6 +214,50 @@ def test_playlists(spark):
     assert sum(r["ok"] for r in heads) == 2
 
 
+def test_streams_from_urls(spark):
+    pages = {"https://h/x/m.m3u8": MASTER, "https://h/x/sub/b.m3u8": MEDIA, "https://h/x/a.m3u8": MEDIA, "https://h/y.m3u8": MEDIA, "https://h/e.m3u8": "#EXTM3U\n"}
+    contents = {u: t.encode() for u, t in pages.items()} | {"https://h/x/sub/s1.ts": b"G1", "https://h/x/sub/s2.ts": b"2", "https://h/x/s1.ts": b"G"}
+    urls = spark.createDataFrame([(u,) for u in ("https://h/x/m.m3u8", "https://h/y.m3u8", "https://h/e.m3u8", "https://h/none.m3u8")], "playlist_url string")
+    got = {r["playlist_url"]: r for r in playlist.assemble_streams(urls, media.DictFetcher(contents)).collect()}
+    assert bytes(got["https://h/x/m.m3u8"]["content"]) == b"G12" and got["https://h/x/m.m3u8"]["is_ts"]
+    assert got["https://h/y.m3u8"]["error"] == "Failed to download any segments"
+    assert got["https://h/e.m3u8"]["error"] == "No segments found" and "404" in got["https://h/none.m3u8"]["error"]
+    told = {r["playlist_url"]: r for r in playlist.tested(urls, media.DictFetcher(contents)).collect()}
+    assert told["https://h/x/m.m3u8"]["variant_segment_count"] == 3 and told["https://h/x/m.m3u8"]["first_segment_accessible"]
+    assert not told["https://h/none.m3u8"]["playlist_accessible"] and not told["https://h/y.m3u8"]["first_segment_accessible"]
+
+
+def test_credentials():
+    env = {"OBJECT_STORE_ACCESS_KEY": "", "OBJECT_STORE_REGION": "eu"}
+    with pytest.raises(ValueError, match="SECRET"):
+        config.credentials({}, env)
+    got = config.credentials({"access_key": "abcdefgh", "secret_key": "s"}, env)
+    assert (got.access_key, got.region) == ("abcdefgh", "eu") and "abcd" not in repr(got)
+    assert config.credentials({"access_key": "a", "secret_key": "s"}, {}).region == config.DEFAULT_REGION
+
+
+class Draws:
+    def encode(self, video_id, frame_idx, width, height):
+        if frame_idx > 9:
+            raise EOFError
+        return f"{video_id}:{frame_idx}:{width}x{height}".encode()
+
+
+def test_encoding_and_archive(spark):
+    frames = spark.createDataFrame([("v", 1, "k1", 640, 360), ("v", 99, "k2", 640, 360), ("w", 2, "k3", 3, 4)], "video_id string, frame_idx long, key string, width int, height int")
+    got = {r["key"]: bytes(r["content"]) for r in media.encoded_frames(frames, Draws()).collect()}
+    assert got == {"k1": b"v:1:1920x1080", "k3": b"w:2:1080x1920"}
+
+    def put(key, content, kind, meta):
+        if "bad" in key or set(meta) != {"job-id", "source-url", "title", "archived-at", "total-frames"}:
+            raise OSError
+
+    jobs = spark.createDataFrame([("v", "j", "good", "u", 5), ("w", "j", "bad", "u", 5)], "video_id string, job_id string, base_path string, source_url string, total_frames long").withColumn("metadata", F.create_map().cast("map<string,string>"))
+    content = spark.createDataFrame([("v", b"x"), ("w", b"y")], "video_id string, content binary")
+    rows = {r["video_id"]: r["archived_s3_url"] for r in sinks.archived(jobs, content, put, sinks.iso_now(), "s://").collect()}
+    assert rows == {"v": "s://good/video.mp4", "w": None}
+
+
 def test_requests(spark):
     texts = [
         {"request_id": "1", "video_url": "https://v/1.mp4", "metadata": {"a": "1"}},
