@@ -243,10 +243,13 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = True) -> Dat
             codes = unsqueezed(data)
             if len(codes) and int(codes.max()) >= len(table):
                 raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
-            ends = np.cumsum(sizes).tolist()
-            parts = [codes[e - n : e].tolist() for n, e in zip(sizes, ends)]
-            decoded = [" ".join([t for t in map(texts.__getitem__, p) if t]) for p in parts] if decode else [None] * len(parts)
-            out.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array([b"".join(map(table.__getitem__, p)) for p in parts], pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]))
+            found, decoded, at = [], [], 0
+            for n in sizes:
+                own = codes[at : at + n].tolist()
+                at += n
+                found.append(b"".join(map(table.__getitem__, own)))
+                decoded.append(" ".join([t for t in map(texts.__getitem__, own) if t]) if decode else None)
+            out.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(found, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]))
         return pa.concat_tables(out)
 
     coded = encode_words(distinct_words(docs, path), path)
