@@ -5,8 +5,8 @@ shuffle), each host's failure rate is shrunk towards the corpus by an empirical
 method of moments over hosts), and the host's verdict goes back to its documents: a document that fails a soft rule
 falls only with a rejected host or a second soft failure, and a blocked host loses all its documents.
 
-Counts are computed once and kept as a narrow table in the shared folder; texts are never shuffled. The join with host
-verdicts is salted, as one host may hold a third of all rows.
+Counts are computed once and kept as a narrow table in the shared folder; texts are never shuffled. Host verdicts are
+broadcast where their counted number is small; else the join is salted, as one host may hold a third of all rows.
 
 Defined cases: a null text has no words; a null host is a host of its own, as is the empty one; null ids stay; equal
 rows count and return once each; an empty table gives no rows; other columns of the input are ignored.
@@ -38,6 +38,7 @@ class Limits:
     reject_rate: float = 0.5
     block_rate: float = 0.9
     salts: int = 64
+    broadcast_hosts: int = 20_000
 
 
 def word_array(text: Column) -> Column:
@@ -120,10 +121,14 @@ def host_verdicts(totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def judge(docs: DataFrame, host: str | None = "source", limits: Limits = Limits(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts, rule failures, the host's shrunk rate and the verdict of each document, besides the columns to keep."""
     failed = materialise(failures(counts(docs, host, keep), limits), "rule-failures")
-    verdicts = host_verdicts(materialise(host_totals(failed), "host-totals"), limits).select(F.col("host").alias("of_host"), "rate", "rejected", "blocked")
-    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))))
-    dealt = failed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(limits.salts)).cast("int"))
-    joined = dealt.join(salted, F.col("host").eqNullSafe(F.col("of_host")) & (dealt["salt"] == salted["salt"]), "left").drop("salt", "of_host")
+    totals = materialise(host_totals(failed), "host-totals")
+    verdicts = host_verdicts(totals, limits).select(F.col("host").alias("of_host"), "rate", "rejected", "blocked")
+    if totals.count() <= limits.broadcast_hosts:
+        joined = failed.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("of_host")), "left").drop("of_host")
+    else:  # a host's rows are dealt over salts, over which its verdict is repeated
+        salted = verdicts.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1)))).hint("merge")
+        dealt = failed.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(limits.salts)).cast("int"))
+        joined = dealt.join(salted, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("salt_") == F.col("of_salt")), "left").drop("salt_", "of_salt", "of_host")
     falls = F.col("base_failed") | F.col("blocked") | (F.col("soft_failures") >= 2) | ((F.col("soft_failures") >= 1) & F.col("rejected"))
     return joined.withColumn("kept", ~falls)
 
