@@ -181,7 +181,8 @@ def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, seed:
     """A model from labelled texts, taken in the order given; clean_weight: how many clean rows each one stands for, as
     against toxic ones, when the threshold is set."""
     y = np.array(labels, np.int64)
-    docs = [words_of(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # equal words share one string
+    docs = [[one.setdefault(w, w) for w in words_of(t.lower())] for t in texts]
     have = [i for i, ws in enumerate(docs) if ws]
     docs, y = [docs[i] for i in have], y[have]
     if not len(y) or len(set(y.tolist())) < 2:
