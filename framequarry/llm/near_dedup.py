@@ -16,9 +16,10 @@ standard deviations below what a link has.
 Confirmation: the set of each document that has a candidate is built once more and pairs are compared on full sets.
 The two best pairs of each document go first; pairs inside a component thus found need no comparison any more, and the
 others all follow. Then the documents with candidates make a second, smaller forest, in which those of small components meet
-up to WIDE neighbours on either side, from other components only: this finds the link of a document that resembles many
-members of a crowded group but reaches the similarity with few of them. Components come from alternating star
-contraction.
+up to WIDE neighbours on either side, from other components only. What the windows leave out in crowded regions is found
+exactly: the rows of those regions are joined on the prefixes of their sets, between different components only, and what
+sizes and parity maps do not rule out is compared on full sets, until no link is left. Components come from alternating
+star contraction.
 
 Defined cases: null and empty texts, and texts without words, have no set, link with nothing and stay; fewer words than
 a shingle make one shingle of the whole; a null doc_id is never linked: its component is null and it is kept; of
@@ -46,6 +47,10 @@ CROWD, BEST = 32, 2
 WIDE, WIDE_BEST = 1024, 14
 #: Of MINHASHES signature bits, a link at 0.8 differs in 0.1 of them on average; five deviations more are let through.
 BITS_SLACK = 5.0
+#: Bits of a set's parity map, and rows of a component that one task of the exact join holds of one shingle.
+PARITY, HELD = 512, 4096
+#: Documents whose shingles tell which are frequent, and how many of those are told apart: for the order alone.
+SAMPLED, FREQUENT = 2000, 100_000
 #: Ids that a semi-join may broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -171,6 +176,18 @@ def pairs_in_order(rows: dict, similarity: float, window: int, best: int, border
         yield i[take], j[take], differ[take]
 
 
+def crowded_rows(key: np.ndarray, whole: bool) -> np.ndarray:
+    """Which rows, in sorted order, lie in a region of more than CROWD rows that share FLOOR values; unless whole, regions
+    at either end may run on over it and count double."""
+    head = key[:, : 1 + 4 * FLOOR]
+    region = np.cumsum(np.concatenate([[True], (head[1:] != head[:-1]).any(axis=1)])) - 1
+    size = np.bincount(region)
+    if not whole:
+        ends = [0, -1]
+        size[ends] = CROWD + 1 if len(size) == 1 else 2 * size[ends]
+    return size[region] > CROWD
+
+
 def most_differing_bits(similarity: float) -> int:
     p = (1 - similarity) / 2
     return int(np.ceil(MINHASHES * p + BITS_SLACK * np.sqrt(MINHASHES * p * (1 - p))))
@@ -193,7 +210,9 @@ def pair_columns(rep, i, j, differ) -> list[pa.Array]:
 
 
 def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: int = BEST) -> DataFrame:
-    """Distinct candidate pairs (a < b) with their differing bits; reps: rep, n, signature, bits, part, asks."""
+    """Distinct candidate pairs (a < b) with their differing bits; reps: rep, n, signature, bits, part, asks.
+
+    Rows of crowded regions, whose windows may leave neighbours out, follow as pairs of a row with itself."""
     width = 4 * DEPTH
     names = [*PAIR_NAMES, "edge", "side", "place", *ROW_NAMES]
 
@@ -206,6 +225,9 @@ def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: in
             if len(i):
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
                 yield pa.RecordBatch.from_arrays([*pair_columns(rows["rep"], i, j, differ), *none], names=names)
+        i = np.unique(rows["rep"][crowded_rows(rows["key"], False)])
+        none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(i), pa.array(np.zeros(len(i), np.int32)), *none], names=names)
         me, head, key = TaskContext.get().partitionId(), 1 + 4 * FLOOR, rows["key"]
         first = np.flatnonzero((key[: window - 1, :head] == key[0, :head]).all(axis=1))
         last = len(key) - 1 - np.flatnonzero((key[::-1][: window - 1, :head] == key[-1, :head]).all(axis=1))[::-1]
@@ -221,6 +243,8 @@ def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: in
         nothing = np.zeros(0, np.int64)
         found = list(pairs_in_order(rows, similarity, window, best, border)) if 0 < border < got.num_rows else []
         i, j, differ = (np.concatenate(c) for c in zip(*found)) if found else (nothing, nothing, nothing)
+        more = np.flatnonzero(crowded_rows(rows["key"], True))
+        i, j, differ = np.concatenate([i, more]), np.concatenate([j, more]), np.concatenate([differ, np.zeros(len(more), np.int64)])
         return pa.table(pair_columns(rows["rep"], i, j, differ), names=PAIR_NAMES)
 
     trees = reps.select("rep", "n", "bits", "signature", "part", "asks", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -265,6 +289,132 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def frequent_shingles(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of sets have, sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], names=["shingle"])
+
+    sample = sets.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, rows // SAMPLED))) == 0).select("shingles")
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 2")
+    got = counts.orderBy(F.desc("held"), "shingle").limit(FREQUENT).toArrow()
+    shingles, held = got["shingle"].to_numpy().view(np.uint64), got["held"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], held[order]
+
+
+def prefixes(sets: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """rep, n, parity and prefix of every set.
+
+    prefix: the first shingles in an order that is the same for all sets (frequent ones last), as many as a set that
+    reaches the similarity must share one of. parity: for each of PARITY bits, whether an odd number of shingles falls
+    on it; two maps differ in no more bits than the sets differ in shingles.
+    """
+    percent = round(similarity * 100)
+    shingles, held = frequent_shingles(sets, rows)
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                sizes, parity, prefix = [], [], []
+                for x in batch.column(1)[first : first + 500]:
+                    x = np.frombuffer(x.as_py(), np.uint64)
+                    sizes.append(len(x))
+                    parity.append(np.packbits((np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
+                    at = np.searchsorted(shingles, x)
+                    at[at == len(shingles)] = 0
+                    often = np.where(shingles[at] == x, held[at], 0) if len(shingles) else np.zeros(len(x), np.int64)
+                    prefix.append(x[np.lexsort((x, often))][: len(x) + percent * -len(x) // 100 + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + 500], pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["rep", "n", "parity", "prefix"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, "rep long, n long, parity binary, prefix array<long>")
+
+
+def pairs_of_run(rows: dict, percent: int):
+    """(i, j, parity bits that differ) of the pairs among rows of one shingle and salt that can reach the similarity and
+    lie in different components. One row of a pair is outside the shingle's main component; where both are, the salt
+    that the first of them falls on has the pair."""
+    rep, component, n, parity, outside, salt, salts = (rows[c] for c in ("rep", "component", "n", "parity", "outside", "salt", "salts"))
+    out = np.flatnonzero(outside)
+    step = max(1, (1 << 17) // len(rep))
+    for at in range(0, len(out), step):
+        i = out[at : at + step, None]
+        fits = (component[i] != component) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n))
+        fits &= ~outside | ((rep[i] < rep) & (rep[i] % salts == salt))
+        x, y = np.nonzero(fits)
+        x = i[x, 0]
+        differ = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+        # Sets of a similarity of at least percent differ in at most (100 - percent) / (100 + percent) of their sizes.
+        ok = differ * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+        yield x[ok], y[ok], differ[ok]
+
+
+REMAINDER_NAMES = ["shingle", "salt", "salts", "rep", "component", "n", "outside", "parity"]
+
+
+def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """The pairs (a, b) of different components that share a shingle of their prefixes and whose sizes and parity maps
+    let them reach the similarity; none that reaches it is left out. nearest: of each two components that a batch of
+    shingles brings together, only the pair whose maps differ least.
+
+    Of each shingle's rows those of the component with most go to one salt each, and all others to every salt, so that
+    neither a frequent shingle nor a large component gathers in one task.
+    """
+    percent = round(similarity * 100)
+
+    def found(table: pa.Table):
+        rows = {c: table[c].to_numpy() for c in REMAINDER_NAMES[:-1]}
+        parity = fixed(table["parity"], PARITY // 8).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1])]))
+        got, rep, component = [], rows["rep"], rows["component"]
+        for start, end in zip(starts, [*starts[1:], len(rep)]):
+            if end - start > 1:
+                own = {c: v[start:end] for c, v in rows.items()} | {"parity": parity[start:end], "salt": rows["salt"][start], "salts": rows["salts"][start]}
+                got += [(i + start, j + start, d) for i, j, d in pairs_of_run(own, percent) if len(i)]
+        if not got:
+            return
+        i, j, differ = (np.concatenate(c) for c in zip(*got))
+        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        if nearest:
+            low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+            order = np.lexsort((b, a, differ, high, low))
+            low, high = low[order], high[order]
+            order = order[np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])]
+            a, b = a[order], b[order]
+        a, b = np.unique(np.stack([a, b]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 20_000:
+                continue
+            table = pa.Table.from_batches(held)
+            shingle, salt = table["shingle"].to_numpy(), table["salt"].to_numpy()
+            last = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))  # the last run may go on in the next batch
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from found(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), 0
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    placed = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    spread = placed.select("rep", "component", "n", "parity", F.explode("prefix").alias("shingle"))
+    counts = placed.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
+    mixed = counts.groupBy("shingle").agg(F.max(F.struct("held", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
+    mixed = mixed.where("components > 1").select(F.col("shingle").alias("of_shingle"), F.col("most.component").alias("main"), F.ceil(F.col("most.held") / HELD).cast("int").alias("salts"))
+    met = spread.join(mixed, F.col("shingle") == F.col("of_shingle")).withColumn("outside", F.col("component") != F.col("main"))
+    salt = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
+    dealt = met.withColumn("salt", F.explode(salt)).select(*REMAINDER_NAMES)
+    width = shuffle_width(rows.sparkSession)
+    return dealt.repartition(width, "shingle", "salt").sortWithinPartitions("shingle", "salt").mapInArrow(run, "a long, b long").distinct()
+
+
 def best_pairs(pairs: DataFrame, each: int = 2) -> DataFrame:
     """For each document its pairs with the fewest differing bits; ties by a hash, so that no document draws them all.
     A document has no more pairs than the windows of all trees hold."""
@@ -284,8 +434,9 @@ def component_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: float) -> DataFrame:
     """(node, component) over the representatives that candidate pairs confirmed on full sets connect."""
     first = classes.select("rep", "n", "signature", "bits", F.col("rep").alias("part"), F.lit(True).alias("asks"))
-    pairs = materialise(candidates(first, similarity), "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "pair-ids")
+    met = materialise(candidates(first, similarity), "pairs")
+    pairs, crowded = met.where("a < b"), met.where("a = b").select(F.col("a").alias("rep"))
+    ids = materialise(met.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "pair-ids")
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
     sets = materialise(full_sets(docs, ids, words_per), "shingle-sets")
@@ -300,8 +451,19 @@ def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: floa
     again = classes.join(ids, "rep", "left_semi").join(placed, F.col("rep") == F.col("node"), "left")
     again = again.select("rep", "n", "signature", "bits", F.coalesce("component", "rep").alias("part"), (F.coalesce("size", F.lit(1)) <= CROWD).alias("asks"))
     wide = candidates(materialise(again, "second-pass"), similarity, WIDE, WIDE_BEST).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(confirm(wide, sets, similarity), "more-links")
-    return labels if more.isEmpty() else connected_components(links.unionByName(more), "a", "b")
+    links = materialise(links.unionByName(confirm(wide, sets, similarity)), "links")
+    labels = materialise(connected_components(links, "a", "b"), "labels")
+    # What the windows left out in crowded regions: an exact join of their rows, first the nearest pairs, which join
+    # most of what belongs together, then all that still lie in different components.
+    held = crowded.count()
+    if held:
+        rows = materialise(prefixes(sets.join(crowded, "rep", "left_semi"), held, similarity), "prefixes")
+        for nearest in (True, False):
+            more = materialise(confirm(remaining_pairs(rows, labels, similarity, nearest), sets, similarity), "more-links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = materialise(connected_components(links, "a", "b"), "labels")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, words_per: int = 5, similarity: float = 0.8) -> DataFrame:
