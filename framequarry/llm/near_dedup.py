@@ -15,8 +15,7 @@ standard deviations below what a link has.
 
 Confirmation: the set of each document that has a candidate is built once more and pairs are compared on full sets.
 The two best pairs of each document go first; pairs inside a component thus found need no comparison any more, and the
-others all follow. Then the documents with candidates make a second, smaller forest, in which those of small components meet
-up to WIDE neighbours on either side, from other components only. What the windows leave out in crowded regions is found
+others all follow. What the windows leave out in crowded regions is found
 exactly: the rows of those regions are joined on the prefixes of their sets, between different components only, and what
 sizes and parity maps do not rule out is compared on full sets, until no link is left. Components come from alternating
 star contraction.
@@ -43,8 +42,6 @@ from framequarry.runtime import materialise, shuffle_width
 TREES, DEPTH, FLOOR = 24, 8, 4
 MINHASHES = TREES * DEPTH
 CROWD, BEST = 32, 2
-#: The second pass: neighbours on either side that a document in a component of up to CROWD meets, and keeps, by tree.
-WIDE, WIDE_BEST = 1024, 14
 #: Of MINHASHES signature bits, a link at 0.8 differs in 0.1 of them on average; five deviations more are let through.
 BITS_SLACK = 5.0
 #: Bits of a set's parity map, and rows of a component that one task of the exact join holds of one shingle.
@@ -55,7 +52,7 @@ SAMPLED, FREQUENT = 2000, 100_000
 BROADCAST_IDS = 500_000
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hash binary, signature binary, bits binary"
-FOREST_SCHEMA = "a long, b long, differ int, edge long, side int, place int, key binary, rep long, n long, bits binary, part long, asks boolean"
+FOREST_SCHEMA = "a long, b long, differ int, edge long, side int, place int, key binary, rep long, n long, bits binary"
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = (_rng.integers(0, 1 << 32, MINHASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -121,13 +118,13 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def pairs_in_order(rows: dict, similarity: float, window: int, best: int, border: int | None = None):
+def pairs_in_order(rows: dict, similarity: float, border: int | None = None):
     """Candidates (i, j, differing bits) among rows in sorted order.
 
-    rows: key (rows x (1 + 4 * DEPTH) bytes, tree first), rep, n, bits, and part and asks: pairs within one part are
-    known to be connected, and a pair needs a row that asks. border: only pairs of a row before it with one from it on.
+    rows: key (rows x (1 + 4 * DEPTH) bytes, tree first), rep, n and bits. border: only pairs of a row before it with one
+    from it on.
     """
-    key, rep, n, bits, part, asks = (rows[c] for c in ("key", "rep", "n", "bits", "part", "asks"))
+    key, n, bits = (rows[c] for c in ("key", "n", "bits"))
     count = len(key)
     if count < 2:
         return
@@ -140,10 +137,8 @@ def pairs_in_order(rows: dict, similarity: float, window: int, best: int, border
         group = np.cumsum(np.concatenate([[True], lcp < depth])) - 1
         run.append(group)
         room.append(np.bincount(group)[group] <= CROWD)
-    asking = np.flatnonzero(asks)
-    for lag in range(1, window):
-        later, earlier = asking[asking < count - lag], asking[asking >= lag] - lag
-        i = later if len(later) == count - lag else np.union1d(later, earlier)
+    for lag in range(1, min(CROWD, count)):
+        i = np.arange(count - lag)
         if border is not None:
             i = i[(i < border) & (i + lag >= border)]
         i = i[run[0][i] == run[0][i + lag]]
@@ -152,7 +147,7 @@ def pairs_in_order(rows: dict, similarity: float, window: int, best: int, border
                 break
             continue
         j = i + lag
-        fits = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (part[i] != part[j])
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[fits], j[fits]
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
@@ -172,7 +167,7 @@ def pairs_in_order(rows: dict, similarity: float, window: int, best: int, border
             order = np.lexsort((j - i, differ, end))
             sorted_end = end[order]
             rank = np.arange(len(order)) - np.searchsorted(sorted_end, sorted_end)
-            take[order[(rank < best) & asks[sorted_end]]] = True
+            take[order[rank < BEST]] = True
         yield i[take], j[take], differ[take]
 
 
@@ -197,20 +192,20 @@ def fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-PAIR_NAMES, ROW_NAMES = ["a", "b", "differ"], ["key", "rep", "n", "bits", "part", "asks"]
-ROW_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+PAIR_NAMES, ROW_NAMES = ["a", "b", "differ"], ["key", "rep", "n", "bits"]
+ROW_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def arrays_of(table: pa.Table) -> dict:
-    return {"key": fixed(table["key"], 1 + 4 * DEPTH), "bits": fixed(table["bits"], MINHASHES // 8)} | {c: table[c].to_numpy() for c in ("rep", "n", "part", "asks")}
+    return {"key": fixed(table["key"], 1 + 4 * DEPTH), "bits": fixed(table["bits"], MINHASHES // 8)} | {c: table[c].to_numpy() for c in ("rep", "n")}
 
 
 def pair_columns(rep, i, j, differ) -> list[pa.Array]:
     return [pa.array(np.minimum(rep[i], rep[j]), pa.int64()), pa.array(np.maximum(rep[i], rep[j]), pa.int64()), pa.array(differ, pa.int32())]
 
 
-def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: int = BEST) -> DataFrame:
-    """Distinct candidate pairs (a < b) with their differing bits; reps: rep, n, signature, bits, part, asks.
+def candidates(reps: DataFrame, similarity: float) -> DataFrame:
+    """Distinct candidate pairs (a < b) with their differing bits; reps: rep, n, signature, bits.
 
     Rows of crowded regions, whose windows may leave neighbours out, follow as pairs of a row with itself."""
     width = 4 * DEPTH
@@ -221,7 +216,7 @@ def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: in
         if table is None or not table.num_rows:
             return
         rows = arrays_of(table)
-        for i, j, differ in pairs_in_order(rows, similarity, window, best):
+        for i, j, differ in pairs_in_order(rows, similarity):
             if len(i):
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
                 yield pa.RecordBatch.from_arrays([*pair_columns(rows["rep"], i, j, differ), *none], names=names)
@@ -229,8 +224,8 @@ def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: in
         none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(i), pa.array(np.zeros(len(i), np.int32)), *none], names=names)
         me, head, key = TaskContext.get().partitionId(), 1 + 4 * FLOOR, rows["key"]
-        first = np.flatnonzero((key[: window - 1, :head] == key[0, :head]).all(axis=1))
-        last = len(key) - 1 - np.flatnonzero((key[::-1][: window - 1, :head] == key[-1, :head]).all(axis=1))[::-1]
+        first = np.flatnonzero((key[: CROWD - 1, :head] == key[0, :head]).all(axis=1))
+        last = len(key) - 1 - np.flatnonzero((key[::-1][: CROWD - 1, :head] == key[-1, :head]).all(axis=1))[::-1]
         for side, edge, index in ((1, me, first), (0, me + 1, last)):
             none = [pa.nulls(len(index), t) for t in (pa.int64(), pa.int64(), pa.int32())]
             where = [pa.array(np.full(len(index), edge), pa.int64()), pa.array(np.full(len(index), side), pa.int32()), pa.array(np.arange(len(index)), pa.int32())]
@@ -241,15 +236,15 @@ def candidates(reps: DataFrame, similarity: float, window: int = CROWD, best: in
         border = int((got["side"].to_numpy() == 0).sum())
         rows = arrays_of(got)
         nothing = np.zeros(0, np.int64)
-        found = list(pairs_in_order(rows, similarity, window, best, border)) if 0 < border < got.num_rows else []
+        found = list(pairs_in_order(rows, similarity, border)) if 0 < border < got.num_rows else []
         i, j, differ = (np.concatenate(c) for c in zip(*found)) if found else (nothing, nothing, nothing)
         more = np.flatnonzero(crowded_rows(rows["key"], True))
         i, j, differ = np.concatenate([i, more]), np.concatenate([j, more]), np.concatenate([differ, np.zeros(len(more), np.int64)])
         return pa.table(pair_columns(rows["rep"], i, j, differ), names=PAIR_NAMES)
 
-    trees = reps.select("rep", "n", "bits", "signature", "part", "asks", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trees = reps.select("rep", "n", "bits", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     key = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {width} + 1, {width})"))
-    rows = trees.select(key.alias("key"), "rep", "n", "bits", "part", "asks")
+    rows = trees.select(key.alias("key"), "rep", "n", "bits")
     ordered = rows.repartitionByRange(shuffle_width(reps.sparkSession), "key", "rep").sortWithinPartitions("key", "rep")
     found = materialise(ordered.mapInArrow(in_partition, FOREST_SCHEMA), "forest")
     crossing = found.where("edge is not null").select("edge", "side", "place", *ROW_NAMES).groupBy("edge").applyInArrow(across, "a long, b long, differ int")
@@ -433,8 +428,7 @@ def component_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: float) -> DataFrame:
     """(node, component) over the representatives that candidate pairs confirmed on full sets connect."""
-    first = classes.select("rep", "n", "signature", "bits", F.col("rep").alias("part"), F.lit(True).alias("asks"))
-    met = materialise(candidates(first, similarity), "pairs")
+    met = materialise(candidates(classes, similarity), "pairs")
     pairs, crowded = met.where("a < b"), met.where("a = b").select(F.col("a").alias("rep"))
     ids = materialise(met.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "pair-ids")
     few = ids.count() <= BROADCAST_IDS
@@ -445,14 +439,6 @@ def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: floa
     open_pairs = component_of(pairs, labels).where("c_a <> c_b")
     links = materialise(links.unionByName(confirm(open_pairs, sets, similarity)), "links")
     labels = materialise(connected_components(links, "a", "b"), "labels")
-    # Documents of small components that had candidates look again, and wider, for a link to any other component.
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = labels.join(sizes, "component").select("node", "component", "size")
-    again = classes.join(ids, "rep", "left_semi").join(placed, F.col("rep") == F.col("node"), "left")
-    again = again.select("rep", "n", "signature", "bits", F.coalesce("component", "rep").alias("part"), (F.coalesce("size", F.lit(1)) <= CROWD).alias("asks"))
-    wide = candidates(materialise(again, "second-pass"), similarity, WIDE, WIDE_BEST).join(pairs, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(confirm(wide, sets, similarity)), "links")
-    labels = materialise(connected_components(links, "a", "b"), "labels")
     # What the windows left out in crowded regions: an exact join of their rows, first the nearest pairs, which join
     # most of what belongs together, then all that still lie in different components.
     held = crowded.count()

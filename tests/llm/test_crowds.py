@@ -30,3 +30,19 @@ def test_one_link_into_a_crowd(spark):
     crowd = [changed(base, [70 + i % 120], f"m{i}") for i in range(600)]
     found = components(spark, [base, *crowd, *bridges, *outside])
     assert set(found.values()) == {0}
+
+
+def test_one_link_between_crowds(spark):
+    """Pairs of groups of hundreds, at 0.83 to each other, of which one pair of members reaches the similarity."""
+    texts, pairs = [], []
+    for k in range(4):
+        shared = [f"p{k}w{i}" for i in range(182)]
+        one, two = (shared + [f"p{k}g{g}w{i}" for i in range(18)] for g in range(2))
+        first = len(texts)
+        for g, base in enumerate((one, two)):
+            texts += [base, *(changed(base, [10 + i % 160], f"p{k}m{g}i{i}") for i in range(300))]
+        texts.append(one[:192])
+        pairs.append((first, len(texts)))
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicate_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: first for first, end in pairs for i in range(first, end)}
