@@ -64,7 +64,9 @@ class Splitter:
         letters = "a-zA-Z" + "".join(c for c in latin if unicodedata.category(c)[0] == "L")
         digits = "0-9" + "".join(c for c in latin if unicodedata.category(c)[0] == "N")
         spaces = "\t\n\r \xa0"
-        self.odd = re.compile(r"[^\t\n\r -~\xa0-ɏ]|<\|")
+        # Capitals whose lower-case letter lies beyond the range are the library's; İ has its own way below.
+        plain = "".join(c for c in latin if c == "İ" or max(c.lower()) < "ɐ")
+        self.odd = re.compile(rf"[^\t\n\r -~{plain}]|<\|")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
 
     def split(self, text: str) -> list[str]:
