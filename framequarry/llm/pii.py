@@ -4,13 +4,15 @@ Base entities (email, ip, card, phone) are found by patterns whose quantifiers a
 long, makes them backtrack; matches that fail a check (parts of an address, Luhn, numbers of digits) are dropped.
 Positions come from the lengths of what lies between matches.
 
-Terms: the words within CONTEXT code points of an entity are its candidate terms. Over the corpus, n(t, e) documents
-have a term near an entity, n(t) have the term anywhere, n(e) the entity. A term's disclosure of an entity is the share
+Terms: all words of the texts that hold an entity are its candidate terms. Over the corpus, n(t, e) documents have a
+term and the entity, n(t) have the term, n(e) the entity. A term's disclosure of an entity is the share
 of the entity's information that it gives away, pointwise mutual information over information content:
 log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)). Where a pair is seen in at least SUPPORT different texts, a disclosure
-from GENERALISE on generalises the term in that entity's contexts, one from REMOVE on removes it.
+from GENERALISE on generalises the term at all its places in all texts, one from REMOVE on removes it. Places inside a
+base entity are the entity's own.
 
-Texts never shuffle for the counts; only matches, contexts and words do. Joins on what copies share are salted.
+Texts never shuffle for the counts; only matches and words do. Places of terms are found beside the texts, to which few
+terms are broadcast; many are joined with the texts by key. Joins on what copies share are salted.
 
 Defined cases: a null text is empty and has no spans; null ids stay; equal rows return equal rows, and copies of a text
 are one text for SUPPORT; a corpus of one document discloses nothing; an empty table gives no rows; other columns of
@@ -34,8 +36,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-TERM = r"\p{L}{4,}"
-CONTEXT = 100
+TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 SALTS = 32
@@ -94,40 +95,56 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumns({f"s_{k}": F.expr(f"filter(s_{k}, x -> {CHECKS[k]})") for k in KINDS}).select(*keep, "t", *(f"s_{k}" for k in KINDS))
 
 
-def with_contexts(rows: DataFrame) -> DataFrame:
-    """Adds `near`: every term near an entity, as entity, term, start and end."""
-    entities = F.concat(*(F.expr(f"transform(s_{k}, x -> named_struct('entity', concat('{k}:', {ENTITY[k]}), 'start', x.start, 'end', x.end))") for k in KINDS))
-    # A context takes one code point more on its outer side, so that a word that runs on over its edge is seen to.
-    sides = f"""flatten(transform(entities, e -> array(
-        named_struct('entity', e.entity, 'from', greatest(e.start - {CONTEXT} - 1, 0), 'ctx', substring(t, greatest(e.start - {CONTEXT} - 1, 0) + 1, e.start - greatest(e.start - {CONTEXT} - 1, 0)), 'cut', if(e.start > {CONTEXT}, '^\\\\p{{L}}+', '^\\\\z.')),
-        named_struct('entity', e.entity, 'from', e.end, 'ctx', substring(t, e.end + 1, {CONTEXT} + 1), 'cut', if(length(substring(t, e.end + 1, {CONTEXT} + 1)) > {CONTEXT}, '\\\\p{{L}}+$', '^\\\\z.')))))"""
-    # The word at a cut edge is dropped where it lies: at the left edge it moves the origin.
-    trimmed = """transform(sides, c -> named_struct('entity', c.entity,
-        'ctx', regexp_replace(c.ctx, c.cut, ''),
-        'from', if(startswith(c.cut, '^'), c.from + length(c.ctx) - length(regexp_replace(c.ctx, c.cut, '')), c.from)))"""
-    split_up = f"transform(sides, c -> named_struct('entity', c.entity, 'from', c.from, 'm', regexp_extract_all(c.ctx, '{TERM.replace(chr(92), chr(92) * 2)}', 0), 'p', split(c.ctx, '{TERM.replace(chr(92), chr(92) * 2)}')))"
-    near = f"flatten(transform(filter(sides, c -> size(c.m) > 0), c -> transform({located('c.m', 'c.p', 'c.from')}, x -> named_struct('entity', c.entity, 'term', lower(x.text), 'start', x.start, 'end', x.end))))"
-    rows = rows.withColumn("entities", F.when(sum((F.size(f"s_{k}") for k in KINDS), F.lit(0)) > 0, entities))
-    rows = rows.withColumn("sides", F.expr(sides)).withColumn("sides", F.expr(trimmed)).withColumn("sides", F.expr(split_up))
-    return rows.withColumn("near", F.expr(near)).drop("sides", "entities")
+def words_of(text: str):
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """term and n_t, the number of documents that have it; over all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))
-    return texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return texts.select(F.explode(words_of("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def disclosures(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, strength) of the pairs whose disclosure passes GENERALISE; found: key, copies, near."""
-    seen = found.select("key", "copies", F.explode("near").alias("x")).select("key", "copies", "x.entity", "x.term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
-    entities = found.select("key", "copies", F.explode("entity_names").alias("entity")).distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    counted = materialise(pairs, "term-pairs").join(entities, "entity").join(term_counts(texts), "term")
+    """(term, strength) of the terms whose disclosure of some entity passes GENERALISE; found: key, copies, words,
+    entity_names."""
     n = F.lit(float(n_docs))
+    entities = found.select("copies", F.explode("entity_names").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    entities = materialise(entities.where((F.col("texts") >= SUPPORT) & (F.col("n_e") < n)).drop("texts"), "entities")
+    # A term in more documents than this passes for no entity, as n(t, e) is at most n(e).
+    most = n_docs ** (1 - GENERALISE) * (entities.agg(F.max("n_e")).first()[0] or 0) ** GENERALISE
+    terms = term_counts(texts).where(F.col("n_t").between(SUPPORT, most * (1 + 1e-9)))
+    holders = materialise(found.select("key", "copies", F.explode("entity_names").alias("entity")).join(entities, "entity"), "holders")
+    words = found.join(holders.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term")).join(terms, "term")
+    pairs = words.join(holders, "key").groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
     information = F.log2(n / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return counted.where(F.col("n_e") < n).withColumn("strength", mutual / information).where(F.col("strength") >= GENERALISE).select("entity", "term", "strength")
+    return pairs.withColumn("strength", mutual / information).where(F.col("strength") >= GENERALISE).groupBy("term").agg(F.max("strength").alias("strength"))
+
+
+def term_places(texts: DataFrame, strong: DataFrame) -> DataFrame:
+    """key and the array of term spans with action, for every text that has a disclosing term outside its base spans."""
+    strong = strong.withColumn("action", F.when(F.col("strength") >= REMOVE, "removed").otherwise("generalised")).select(F.col("term").alias("of_term"), "action")
+    strong = F.broadcast(strong) if strong.count() <= BROADCAST_SPANS else strong
+    words = texts.select("key", F.explode(words_of("t")).alias("term"))
+    hits = words.join(strong, F.col("term") == F.col("of_term")).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+    held = joined(texts, materialise(hits, "text-terms"), "inner")
+    own = F.concat(*(F.transform(f"s_{k}", lambda x: F.struct(x["start"], x["end"])) for k in KINDS))
+    # Stored, since one plan of both steps would repeat the patterns' expressions in each other.
+    rows = materialise(base_spans(held, ["key", "terms"]).select("key", "t", "terms", own.alias("own")), "term-texts")
+    rows = rows.withColumns({"m": F.regexp_extract_all("t", F.lit(TERM), 0), "p": F.split("t", TERM), "hits": F.map_from_entries("terms")})
+    # One pass over the words; only places of terms that disclose are added. What the lambdas read is the argument of an
+    # outer transform, so that it is computed once a text and not once a word.
+    kind = "struct<start:int,end:int,action:string>"
+    places = f"""aggregate(sequence(0, size(z.m) - 1), named_struct('at', 0, 'out', {none_of(kind)}),
+        (acc, i) -> named_struct(
+            'at', acc.at + length(get(z.p, i)) + length(get(z.m, i)),
+            'out', if(z.hits[lower(get(z.m, i))] is null, acc.out, concat(acc.out, array(named_struct(
+                'start', acc.at + length(get(z.p, i)), 'end', acc.at + length(get(z.p, i)) + length(get(z.m, i)), 'action', z.hits[lower(get(z.m, i))]))))),
+        acc -> acc.out)"""
+    outside = f"get(transform(array(named_struct('m', m, 'p', p, 'hits', hits, 'own', own)), z -> filter({places}, x -> not exists(z.own, y -> x.start < y.end and y.start < x.end))), 0)"
+    # Filtered after the aggregate only: pushed below it, the condition would repeat all of the expressions above.
+    return rows.withColumn("terms", F.expr(outside)).groupBy("key").agg(F.first("terms").alias("terms")).where(F.size("terms") > 0)
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,35 +152,29 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     key stands for the text. Both are stored tables; the second has texts with a disclosing term only.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
-    keyed = with_contexts(base_spans(texts.withColumn("key", F.md5("t")), ["doc_id", "key"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t")).withColumn("key", F.md5("t"))
     places = {f"s_{k}": F.transform(f"s_{k}", lambda x: F.struct(x["start"], x["end"])) for k in KINDS}
     names = F.concat(*(F.expr(f"transform(s_{k}, x -> concat('{k}:', {ENTITY[k]}))") for k in KINDS))
-    rows = materialise(keyed.withColumn("entity_names", F.array_distinct(names)).withColumns(places).drop("t"), "base-spans")
+    named = base_spans(texts, ["doc_id", "key"]).withColumn("entity_names", F.array_distinct(names))
+    rows = materialise(named.withColumn("words", F.when(F.size("entity_names") > 0, words_of("t"))).withColumns(places).drop("t"), "base-spans")
     holding = rows.where(F.size("entity_names") > 0)
-    copies = holding.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("near").alias("near"), F.first("entity_names").alias("entity_names"))
-    found = materialise(copies, "entity-texts")
-    strong = disclosures(found, texts, rows.count())
-    salted = strong.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    places_of = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.start", "x.end").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    marked = places_of.join(salted, ["entity", "term", "salt"]).groupBy("key", "start", "end").agg(F.max("strength").alias("strength"))
-    action = F.when(F.col("strength") >= REMOVE, "removed").otherwise("generalised")
-    terms = marked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
-    return rows, materialise(terms, "term-spans")
+    copies = holding.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("entity_names").alias("entity_names"))
+    strong = materialise(disclosures(materialise(copies, "entity-texts"), texts, rows.count()), "disclosing-terms")
+    return rows.drop("words"), materialise(term_places(texts, strong), "term-spans")
 
 
-def joined(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows (with key) and the term spans of their texts.
+def joined(rows: DataFrame, terms: DataFrame, how: str = "left") -> DataFrame:
+    """rows (with key) and the terms, or term spans, of their texts.
 
     Few spans, by their counted number, are broadcast. Else copies of one text are dealt over salts, over which its
     spans are repeated.
     """
     of_key = terms.withColumnRenamed("key", "of_key")
     if (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_SPANS:
-        return rows.join(F.broadcast(of_key), F.col("key") == F.col("of_key"), "left").drop("of_key")
+        return rows.join(F.broadcast(of_key), F.col("key") == F.col("of_key"), how).drop("of_key")
     spread = of_key.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     dealt = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, (F.col("key") == F.col("of_key")) & (F.col("salt_") == F.col("of_salt")), "left").drop("of_key", "of_salt", "salt_")
+    return dealt.join(spread, (F.col("key") == F.col("of_key")) & (F.col("salt_") == F.col("of_salt")), how).drop("of_key", "of_salt", "salt_")
 
 
 def span_strings(kind: str, spans: str):
