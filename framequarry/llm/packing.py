@@ -6,42 +6,96 @@ decreasing length into the tightest open window, which a segment tree over remai
 O(log window). Groups are independent, so the cost of splitting the placement is at most a few part-filled windows a
 group (about one in a thousand).
 
+Ids are those of the tokenizers library. Texts of Latin letters are split here, on a pattern that gives the library's
+own pieces, and the library's model encodes each piece that a worker meets anew; any other text goes through the
+library whole.
+
+Pieces are dealt by a hash of id, start, checksum and the row's place in its task, so neither a long document nor an id
+or a text that many rows share gathers in one group. The place is the same in every run if the input repeats its rows
+in order, as stored tables do; give it one.
+
 Defined cases: a null text counts as empty; an empty document is the end id alone; a null id stays null and is packed
-like any other; equal rows are packed once each; an empty table gives no rows; other columns of the input are ignored.
+like any other; equal rows are packed once each; the vocabulary's special strings in a text become their ids; texts of
+any length are encoded, millions of equal characters included; an empty table gives no rows; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import functools
+import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from framequarry.runtime import bounded_batches, lean, resident
+
 WINDOW = 2048
 END_ID = 1
 #: Pieces that one placement group holds on average; bounds the memory of a task.
 GROUP_PIECES = 4096
+#: Pieces of text whose ids a worker keeps, and the longest of them.
+KNOWN, KNOWN_CHARS = 100_000, 48
 
-PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, place long, ids binary"
 
 
-def default_ranks() -> str:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def byte_bpe(ranks_path: str):
-    """The byte-level BPE of a ranks file; its end-of-text string is the one special token, as in the JSON form."""
-    import public_tokenizers
-    import tiktoken
+def latin_pieces() -> tuple[re.Pattern, re.Pattern]:
+    """(what a text may not hold to be split here, the pattern of its pieces): letters, digits and spaces up to U+024F by
+    their Unicode classes, as the vocabulary's own pattern names them."""
+    latin = [chr(c) for c in range(0x250)]
+    of = lambda kind: "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind)
+    letters, digits, spaces = of("L"), of("N"), "\t\n\x0b\x0c\r\x20\x85\xa0"
+    pattern = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+    return re.compile(r"[^\x00-\u024f]|<\|endoftext\|>"), re.compile(pattern)
+
+
+class ByteBpe:
+    """Texts to ids, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.foreign, pieces = latin_pieces()
+        self.pieces = pieces.findall
+        self.known: dict[str, bytes] = {}
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    def encode(self, text: str) -> bytes:
+        if self.foreign.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = self.pieces(text)
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            own = self.learned(pieces)
+            return b"".join(map(own.__getitem__, pieces))
+
+    def learned(self, pieces: list[str]) -> dict[str, bytes]:
+        """A table that has all of these pieces; short ones stay known."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        long = {}
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for piece, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                (self.known if len(piece) <= KNOWN_CHARS else long)[piece] = np.array(got.ids, "<u4").tobytes()
+        return self.known | long if long else self.known
+
+
+def byte_bpe(path: str) -> ByteBpe:
+    return resident(("byte_bpe", path), lambda: ByteBpe(path))
 
 
 def cut_points(n_tokens: int, window: int) -> list[tuple[int, int]]:
@@ -49,36 +103,41 @@ def cut_points(n_tokens: int, window: int) -> list[tuple[int, int]]:
     return [(s, min(window, n_tokens - s)) for s in range(0, n_tokens, window)]
 
 
-def tokenise(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, ids): ids are little-endian unsigned 32-bit."""
-    ranks_path = ranks_path or default_ranks()
+def tokenise(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """Pieces (doc_id, start, length, doc_tokens, ids_crc32, place, ids): ids are little-endian unsigned 32-bit, place is
+    the row's number in its task."""
+    path = path or default_tokenizer()
+    end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches):
-        bpe = byte_bpe(ranks_path)
-        special = {"<|endoftext|>"}
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        bpe = byte_bpe(path)
+        place = 0
         for batch in batches:
-            doc_ids, starts, lengths, totals, ids = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                got = bpe.encode(text, allowed_special=special) if "<|endoftext|>" in text else bpe.encode_ordinary(text)
-                got.append(end_id)
-                raw = np.array(got, dtype="<u4").tobytes()
-                for start, length in cut_points(len(got), window):
-                    doc_ids.append(doc_id)
-                    starts.append(start)
-                    lengths.append(length)
-                    totals.append(len(got))
-                    ids.append(raw[4 * start : 4 * (start + length)])
-                if len(ids) >= 1024:
-                    yield piece_batch(doc_ids, starts, lengths, totals, ids)
-                    doc_ids, starts, lengths, totals, ids = [], [], [], [], []
-            yield piece_batch(doc_ids, starts, lengths, totals, ids)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE_SCHEMA)
-
-
-def piece_batch(doc_ids, starts, lengths, totals, ids) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                raw = bpe.encode(text.as_py()) + end
+                for start, length in cut_points(len(raw) // 4, window):
+                    ids = raw[4 * start : 4 * (start + length)]
+                    rows.append((doc_id.as_py(), start, length, len(raw) // 4, zlib.crc32(ids), place, ids))
+                    size += len(ids)
+                place += 1
+                if size >= 1 << 22:
+                    yield piece_batch(rows)
+                    rows, size = [], 0
+            yield piece_batch(rows)
+
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE_SCHEMA)
+
+
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "place", "ids"]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names=names)
 
 
 class CapacityTree:
@@ -130,11 +189,11 @@ def best_fit_decreasing(lengths, window: int) -> tuple[list[int], list[int]]:
     return sequences, offsets
 
 
-def place(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
+def place(pieces: DataFrame, groups: int, window: int = WINDOW, dealt_by: tuple[str, ...] = ("doc_id", "start", "ids_crc32", "place")) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, start and length; carries every other column along.
 
-    groups: how many independent placements; pieces are dealt to them by a hash of (doc_id, start), so that neither a
-    long document nor a hot id gathers in one.
+    groups: how many independent placements; dealt_by: the columns whose hash deals pieces to them. With the row's place
+    among them, no id and no text that many rows share gathers in one group.
     """
 
     def run(key, got):
@@ -144,7 +203,7 @@ def place(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
         got = got.drop_columns(["placement_group"])
         return got.append_column("sequence_id", pa.array([base + s for s in sequences], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("placement_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("placement_group", F.pmod(F.xxhash64(*dealt_by), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("placement_group").applyInArrow(run, schema)
 
@@ -155,13 +214,12 @@ def placement_groups(docs: DataFrame, window: int = WINDOW, per_group: int = GRO
     return max(1, -(-(rows + size // (2 * window)) // per_group))
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces with their ids, sequence and offset."""
-    return place(tokenise(docs, ranks_path, window, end_id), placement_groups(docs, window), window)
+    return place(tokenise(docs, path, window, end_id), placement_groups(docs, window), window).drop("place")
 
 
-def pack_digests(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_digests(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The packing with a checksum in place of the ids, which then need not be shuffled."""
-    pieces = tokenise(docs, ranks_path, window, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    placed = place(pieces, placement_groups(docs, window), window)
+    placed = place(tokenise(docs, path, window, end_id).drop("ids"), placement_groups(docs, window), window)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -57,11 +57,33 @@ def test_decode_joins_pieces(spark):
 
 
 def test_byte_bpe_matches_library():
-    tok, own = library("byte_bpe_50k.json"), packing.byte_bpe(packing.default_ranks())
+    tok, own = library("byte_bpe_50k.json"), packing.byte_bpe(packing.default_tokenizer())
     rng = random.Random(6)
-    pool = "ab é'  \t\n\r\x0b\x1c\x85\xa0 ́१Ⅷ²½.,!<|>_-01日本👍sdtre"
-    for text in [t for _, t in texts_of(TEXTS)] + ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(2000)]:
-        assert own.encode(text, allowed_special={"<|endoftext|>"}) == tok.encode(text, add_special_tokens=False).ids, repr(text[:80])
+    pool = "ab é'  \t\n\r\x0b\x1c\x85\xa0 ́१Ⅷ²½.,!<|>_-01日本👍sdtre"
+    plain = [c for c in pool if c < "\u0250"]
+    texts = [t for _, t in texts_of(TEXTS)] + ["".join(rng.choice(p) for _ in range(rng.randint(0, 40))) for p in (pool, plain) for _ in range(2000)]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}." for c in range(0x250)]
+    for text in texts:
+        assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:80])
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    tok, own = library("byte_bpe_50k.json"), packing.ByteBpe(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "KNOWN", 50)
+    for k in range(40):
+        text = " ".join(f"w{k}x{i}" for i in range(30)) + " " + "z" * 200
+        assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(own.known) < 200
+
+
+def test_packing_of_hot_ids_and_endless_texts(spark):
+    """20,000 rows of one id and as many of none, and millions of equal characters: no group beyond twice GROUP_PIECES."""
+    rows = [(7, "one two three")] * 20_000 + [(None, "")] * 20_000 + [(8, " " * 2_000_000), (9, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_digests(docs).collect()
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert max(groups.values()) <= 2 * packing.GROUP_PIECES
+    check_packing(got, [(i, t) for i, t in rows])
 
 
 def check_packing(rows, texts, window=packing.WINDOW):
