@@ -2,9 +2,11 @@
 
 Texts are split into words by the rules of the tokenizer's file. Documents travel in blocks of bounded size as word
 codes: each block holds its distinct words once, and only those leave it, as rows (word, block, code). The rows meet by
-word, each distinct word is encoded once, and (block, code, ids) rows return to the block, where ids are joined back
-by position. No key gathers more than one row per block, however frequent the word. Decoding joins ids with the
-id-to-piece table, whose size is that of the vocabulary, and therefore fixed.
+word; of them the distinct words make a table in which each is encoded once, its ids are joined with the id-to-piece
+table (fixed in size by the vocabulary) and the pieces meet again by position, which decodes it. Rows and table are
+partitioned alike, so their join moves nothing. What the blocks then get back is bundled by block, and ids and decoded
+words are joined by position, one document at a time. A word has one row a block at most, so no word gathers more than
+a block's share of a task's rows.
 
 A block is named by a hash of what it holds, and two branches of the plan read the blocks, so the input must be a
 stored table (which repeats its rows in the same order); a block whose ids do not arrive ends the job with an error,
@@ -17,7 +19,6 @@ the input are ignored. A text longer than a block is a block of its own.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -25,15 +26,21 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from framequarry.runtime import bounded_batches, lean, resident, shuffle_width
+
 #: Bytes of text, about, that one block holds.
 BLOCK_BYTES = 16 << 20
+#: Rows of ids that a task gathers before it bundles them by block, and bytes of results that it returns at a time.
+BUNDLE_ROWS, OUT_BYTES = 1 << 18, 4 << 20
 
 WORDS_SCHEMA = "word string, block long, code int"
-BLOCK_SCHEMA = "block long, doc_ids array<long>, n_words array<long>, codes binary"
-CODED_SCHEMA = "block long, code int, ids binary"
+#: side 0: bundled ids of some of a block's words; side 1: its documents as word codes.
+BLOCK_SCHEMA = "block long, side int, rows binary, codes binary"
+NO_WORDS = pa.schema([("code", pa.int32()), ("ids", pa.list_(pa.uint32())), ("decoded", pa.string())])
 ENCODED_SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -93,23 +100,19 @@ class WordEncoder:
         spec |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]}
         self.model = Tokenizer.from_str(json.dumps(spec))
 
-    def encode(self, words: list[str], kind: str = "<u4") -> list[bytes]:
-        """Ids of each word, as little-endian unsigned integers."""
-        found = self.model.encode_batch(words, add_special_tokens=False)
-        return [np.array([self.special[w]] if w in self.special else e.ids, kind).tobytes() for w, e in zip(words, found)]
+    def encode(self, words: list[str]) -> list[list[int]]:
+        found = self.model.encode_batch_fast(words, add_special_tokens=False)
+        return [[self.special[w]] if w in self.special else e.ids for w, e in zip(words, found)]
 
 
-@functools.lru_cache(maxsize=2)
 def splitter(path: str) -> Splitter:
-    return Splitter(path)
+    return resident(("splitter", path), lambda: Splitter(path))
 
 
-@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return resident(("words", path), lambda: WordEncoder(path))
 
 
-@functools.lru_cache(maxsize=2)
 def pieces_of(path: str) -> list[str]:
     """Piece of each id, special tokens included."""
     with open(path, encoding="utf-8") as f:
@@ -126,11 +129,6 @@ class Codes(dict):
         return code
 
 
-def id_kind(path: str) -> str:
-    """The least width that holds every id of the vocabulary, for ids on the way."""
-    return "<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4"
-
-
 def blocks(batches, path: str):
     """(block, ids of documents, words per document, word codes, distinct words in the order of their codes)."""
     split = splitter(path).split
@@ -169,11 +167,12 @@ def closed(held: tuple) -> tuple:
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """Each block's distinct words: (word, block, code)."""
 
+    @lean
     def run(batches):
         for block, _, _, _, words in blocks(batches, path):
             order = sorted(range(len(words)), key=words.__getitem__)  # neighbours that are alike compress
-            for at in range(0, len(order), 1 << 16):
-                part = order[at : at + (1 << 16)]
+            for at in range(0, len(order), 1 << 15):
+                part = order[at : at + (1 << 15)]
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in part], pa.string()), pa.array([block] * len(part), pa.int64()), pa.array(part, pa.int32())], names=["word", "block", "code"])
 
     return plain(docs).mapInArrow(run, WORDS_SCHEMA)
@@ -182,14 +181,32 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
 def coded_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Each block's documents as word codes."""
 
+    @lean
     def run(batches):
         for block, doc_ids, sizes, codes, _ in blocks(batches, path):
-            data = squeezed(codes)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "doc_ids", "n_words", "codes"])
+            rows = stored(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_words"]))
+            yield block_batch([(block, 1, rows, squeezed(codes))])
 
     return plain(docs).mapInArrow(run, BLOCK_SCHEMA)
 
 
+def block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "side": pa.int32(), "rows": pa.binary(), "codes": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def stored(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_back(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def squeezed(codes: np.ndarray) -> bytes:
     """Codes, byte by byte of all in turn, as the high bytes hardly vary."""
     return zstandard.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -200,67 +217,124 @@ def unsqueezed(data: bytes) -> np.ndarray:
 
 
 def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """id and piece: as many rows as the vocabulary has."""
+    pieces = pieces_of(path or default_tokenizer())
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pieces}))
+
+
+def with_pieces(spread: DataFrame, path: str | None) -> DataFrame:
+    """Joins id with its piece; the table is that of the vocabulary, so it is broadcast."""
+    return spread.join(F.broadcast(piece_table(spread.sparkSession, path)), "id", "left")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, block, code) to (block, code, ids): rows meet by word and are sorted, so each word is encoded once."""
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids, decoded) of distinct words, partitioned as they are: each is encoded once and decoded by its pieces."""
 
-    kind = id_kind(path)
+    @F.arrow_udf("array<int>")
+    def ids_of(word: pa.Array) -> pa.Array:
+        return pa.array(word_encoder(path).encode(word.to_pylist()), pa.list_(pa.int32()))
 
+    spread = words.select("word", F.posexplode_outer(ids_of("word")).alias("pos", "id"))
+    own = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id", "piece"))))
+    grouped = with_pieces(spread, path).groupBy("word").agg(own.alias("own"))
+    text = F.array_join(F.transform(F.filter("own", lambda x: x["piece"] != ""), lambda x: x["piece"]), " ")
+    return grouped.select("word", F.transform("own", lambda x: x["id"]).alias("ids"), text.alias("decoded"))
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, block, code) to (block, code, ids, decoded).
+
+    The rows are dealt by word once. That the distinct words carry the other columns along keeps both branches reading
+    one and the same exchange.
+    """
+    dealt = words.repartition(shuffle_width(words.sparkSession), "word")
+    distinct = dealt.groupBy("word").agg(F.max("block").alias("b"), F.max("code").alias("c")).where("b is not null and c is not null")
+    return dealt.join(word_table(distinct, path), "word").select("block", "code", "ids", "decoded")
+
+
+def bundled(coded: DataFrame) -> DataFrame:
+    """(block, code, ids, decoded) to rows of BLOCK_SCHEMA, each with what a task has for one block."""
+
+    def by_block(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).sort_by([("block", "ascending")]).combine_chunks()
+        block = table["block"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        ids = pc.cast(table["ids"], pa.list_(pa.uint32()))
+        rows = pa.table([table["code"], ids, table["decoded"]], names=["code", "ids", "decoded"])
+        for start, end in zip(starts, [*starts[1:], len(block)]):
+            own = rows.slice(start, end - start).combine_chunks().to_batches()
+            yield block_batch([(int(block[start]), 0, stored(own[0]), None)])
+
+    @lean
     def run(batches):
-        encoder = word_encoder(path)
-        last, last_ids = None, b""  # a word's rows may run on into the next batch
+        held, size = [], 0
         for batch in batches:
-            fresh = [w for w in dict.fromkeys(batch.column(0).to_pylist()) if w != last]
-            ids = dict(zip(fresh, encoder.encode(fresh, kind)))
-            if last is not None:
-                ids[last] = last_ids
-            rows = batch.column(0).to_pylist()
-            if rows:
-                last, last_ids = rows[-1], ids[rows[-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([ids[w] for w in rows], pa.binary())], names=["block", "code", "ids"])
-
-    width = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.repartition(width, "word").sortWithinPartitions("word").mapInArrow(run, CODED_SCHEMA)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BUNDLE_ROWS:
+                yield from by_block(held)
+                held, size = [], 0
+        if size:
+            yield from by_block(held)
+
+    return coded.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def documents_of(codes: np.ndarray, rows: pa.Table, words: pa.Table, decode: bool):
+    """Batches of (doc_id, ids, decoded) of one block, from its word codes and its words' ids."""
+    order, at = np.unique(words["code"].to_numpy(), return_index=True)  # a block that came twice has each word twice
+    if len(codes) and (int(codes.max()) >= len(order) or int(order[-1]) != len(order) - 1):
+        raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
+    words = words.take(pa.array(at))
+    ids = words["ids"].combine_chunks()
+    texts = words["decoded"].to_pylist() if decode else []
+    out, size, first = [], 0, 0
+    for doc_id, n in zip(rows["doc_id"].to_pylist(), rows["n_words"].to_pylist()):
+        own = codes[first : first + n]
+        first += n
+        raw = ids.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes() if n else b""
+        text = " ".join([t for t in map(texts.__getitem__, own.tolist()) if t]) if decode else None
+        out.append((doc_id, raw, text))
+        size += len(raw) + len(text or "")
+        if size >= OUT_BYTES:
+            yield encoded_batch(out)
+            out, size = [], 0
+    yield encoded_batch(out)
+
+
+def encoded_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "decoded": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def encode(docs: DataFrame, path: str | None = None, decode: bool = True) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and, if asked for, the text that the ids decode to."""
     path = path or default_tokenizer()
-    kind = id_kind(path)
-
-    def rejoin(held, coded):
-        if not held.num_rows:
-            raise ValueError("ids of an unknown block: the input did not repeat its rows in order")
-        table: list = [None] * coded.num_rows
-        pieces = pieces_of(path)
-        texts: list = [None] * coded.num_rows
-        for code, raw in zip(coded["code"].to_pylist(), coded["ids"].to_pylist()):
-            ids = np.frombuffer(raw, kind)
-            table[code] = ids.astype("<u4").tobytes()
-            texts[code] = " ".join([pieces[i] for i in ids.tolist()])
-        out = []
-        for data, doc_ids, sizes in zip(held["codes"].to_pylist(), held["doc_ids"].to_pylist(), held["n_words"].to_pylist()):
-            codes = unsqueezed(data)
-            if len(codes) and int(codes.max()) >= len(table):
-                raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
-            found, decoded, at = [], [], 0
-            for n in sizes:
-                own = codes[at : at + n].tolist()
-                at += n
-                found.append(b"".join(map(table.__getitem__, own)))
-                decoded.append(" ".join([t for t in map(texts.__getitem__, own) if t]) if decode else None)
-            out.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(found, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]))
-        return pa.concat_tables(out)
-
-    coded = encode_words(distinct_words(docs, path), path)
-    return coded_blocks(docs, path).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(rejoin, ENCODED_SCHEMA)
-
 
-def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """id and piece: as many rows as the vocabulary has."""
-    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces_of(path or default_tokenizer()))), pa.int32()), "piece": pieces_of(path or default_tokenizer())}))
+    @lean
+    def rejoin(batches):
+        name, held = None, []
+        for batch in batches:
+            for block, side, rows, codes in zip(*(c for c in batch.columns)):
+                if name != block.as_py():
+                    name, held = block.as_py(), []
+                if side.as_py() == 0:
+                    held.append(read_back(rows.as_py()))
+                    continue
+                got = unsqueezed(codes.as_py())
+                if len(got) and not held:
+                    raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
+                words = pa.concat_tables(held or [NO_WORDS.empty_table()])
+                held = [words]
+                yield from documents_of(got, read_back(rows.as_py()), words, decode)
+
+    coded = bundled(encoded_words(distinct_words(docs, path), path))
+    both = coded.unionByName(coded_blocks(docs, path))
+    return both.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "side").mapInArrow(rejoin, ENCODED_SCHEMA)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -270,7 +344,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).withColumn("row", F.monotonically_increasing_id())
     spread = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = spread.join(F.broadcast(piece_table(encoded.sparkSession, path)), "id", "left")
+    joined = with_pieces(spread, path)
     ordered = F.array_sort(F.collect_list(F.when(F.col("piece") != "", F.struct("pos", "piece"))))
     return joined.groupBy("row", "doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("decoded")).select("doc_id", "decoded")
 

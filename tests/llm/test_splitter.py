@@ -1,6 +1,5 @@
 """The splitter's fast path against the library, for every code point it takes."""
 
-import numpy as np
 from test_tokens import library
 
 from framequarry.llm import bpe
@@ -12,5 +11,5 @@ def test_every_plain_code_point():
     for c in map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x250)]):
         for text in (c, f"AZ{c}RBAYCAN x", f"1{c}2 .{c}!", f"{c}{c} a{c}"):
             words = split.split(text)
-            ids = np.frombuffer(b"".join(encoder.encode(words)) if words else b"", "<u4").tolist()
+            ids = sum(encoder.encode(words), []) if words else []
             assert ids == tok.encode(text, add_special_tokens=False).ids, repr(text)

@@ -44,7 +44,7 @@ def test_splitter_on_random_text():
     for _ in range(3000):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))
         words = split.split(text)
-        ids = np.frombuffer(b"".join(encoder.encode(words)) if words else b"", "<u4").tolist()
+        ids = sum(encoder.encode(words), []) if words else []
         assert ids == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
