@@ -253,7 +253,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """
     dealt = words.repartition(shuffle_width(words.sparkSession), "word")
     distinct = dealt.groupBy("word").agg(F.max("block").alias("b"), F.max("code").alias("c")).where("b is not null and c is not null")
-    return dealt.join(word_table(distinct, path), "word").select("block", "code", "ids", "decoded")
+    return dealt.join(word_table(distinct, path).hint("merge"), "word").select("block", "code", "ids", "decoded")
 
 
 def bundled(coded: DataFrame) -> DataFrame:
