@@ -57,7 +57,7 @@ def test_decode_joins_pieces(spark):
 
 
 def test_byte_bpe_matches_library():
-    tok, own = library("byte_bpe_50k.json"), packing.byte_bpe(packing.default_tokenizer())
+    tok, own = library("byte_bpe_50k.json"), packing.byte_bpe(packing.default_tokenizer(), packing.default_ranks())
     rng = random.Random(6)
     pool = "ab é'  \t\n\r\x0b\x1c\x85\xa0 ́१Ⅷ²½.,!<|>_-01日本👍sdtre"
     plain = [c for c in pool if c < "\u0250"]
@@ -67,15 +67,6 @@ def test_byte_bpe_matches_library():
         assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:80])
 
 
-def test_known_pieces_are_bounded(monkeypatch):
-    tok, own = library("byte_bpe_50k.json"), packing.ByteBpe(packing.default_tokenizer())
-    monkeypatch.setattr(packing, "KNOWN", 50)
-    for k in range(40):
-        text = " ".join(f"w{k}x{i}" for i in range(30)) + " " + "z" * 200
-        assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(own.known) < 200
-
-
 def test_packing_of_hot_ids_and_endless_texts(spark):
     """20,000 rows of one id and as many of none, and millions of equal characters: no group beyond twice GROUP_PIECES."""
     rows = [(7, "one two three")] * 20_000 + [(None, "")] * 20_000 + [(8, " " * 2_000_000), (9, "x" * 1_000_000)]
