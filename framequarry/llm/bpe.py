@@ -2,11 +2,10 @@
 
 Texts are split into words by the rules of the tokenizer's file. Documents travel in blocks of bounded size as word
 codes: each block holds its distinct words once, and only those leave it, as rows (word, block, code). The rows meet by
-word; of them the distinct words make a table in which each is encoded once, its ids are joined with the id-to-piece
-table (fixed in size by the vocabulary) and the pieces meet again by position, which decodes it. Rows and table are
-partitioned alike, so their join moves nothing. What the blocks then get back is bundled by block, and ids and decoded
-words are joined by position, one document at a time. A word has one row a block at most, so no word gathers more than
-a block's share of a task's rows.
+word, so each distinct word is encoded once; its ids are joined with the id-to-piece table (fixed in size by the
+vocabulary) and the pieces meet again by position, which decodes it. All that happens in one stage: words stay in
+order, and what leads to a block is bundled and sent to it, where ids and decoded words are joined by position, one
+document at a time. A word has one row a block at most, so no word gathers more than a block's share of a task's rows.
 
 A block is named by a hash of what it holds, and two branches of the plan read the blocks, so the input must be a
 stored table (which repeats its rows in the same order); a block whose ids do not arrive ends the job with an error,
@@ -34,13 +33,14 @@ from framequarry.runtime import bounded_batches, lean, resident, shuffle_width
 
 #: Bytes of text, about, that one block holds.
 BLOCK_BYTES = 16 << 20
-#: Rows of ids that a task gathers before it bundles them by block, and bytes of results that it returns at a time.
-BUNDLE_ROWS, OUT_BYTES = 1 << 18, 4 << 20
+#: Rows of pieces that a task gathers before it bundles them by block, and bytes of results that it returns at a time.
+BUNDLE_ROWS, OUT_BYTES = 1 << 19, 4 << 20
 
 WORDS_SCHEMA = "word string, block long, code int"
+#: One row a word, or a part of its rows: whom it leads to, and its ids.
+SPELLED_SCHEMA = "n int, blocks array<long>, codes array<int>, ids array<int>"
 #: side 0: bundled ids of some of a block's words; side 1: its documents as word codes.
 BLOCK_SCHEMA = "block long, side int, rows binary, codes binary"
-NO_WORDS = pa.schema([("code", pa.int32()), ("ids", pa.list_(pa.uint32())), ("decoded", pa.string())])
 ENCODED_SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -184,8 +184,9 @@ def coded_blocks(docs: DataFrame, path: str) -> DataFrame:
     @lean
     def run(batches):
         for block, doc_ids, sizes, codes, _ in blocks(batches, path):
-            rows = stored(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_words"]))
-            yield block_batch([(block, 1, rows, squeezed(codes))])
+            known = np.array([d is not None for d in doc_ids])
+            rows = packed(np.array([d or 0 for d in doc_ids], np.int64), known.astype(np.uint8), np.array(sizes, np.int64))
+            yield block_batch([(block, 1, rows, packed(codes))])
 
     return plain(docs).mapInArrow(run, BLOCK_SCHEMA)
 
@@ -195,25 +196,24 @@ def block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
-def stored(batch: pa.RecordBatch) -> bytes:
-    """A batch as a compressed Arrow stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, byte by byte of all in turn, as the high bytes hardly vary."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
+    head = np.array([len(columns), *(c.itemsize for c in columns), *map(len, planes)], "<u8").tobytes()
+    return zstandard.compress(head + b"".join(planes), 5)
 
 
-def read_back(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
-
-
-def squeezed(codes: np.ndarray) -> bytes:
-    """Codes, byte by byte of all in turn, as the high bytes hardly vary."""
-    return zstandard.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
-
-
-def unsqueezed(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The columns, as unsigned numbers."""
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    head = np.frombuffer(raw, "<u8", 1 + 2 * n)[1:].astype(np.int64)
+    out, at = [], 8 * (1 + 2 * n)
+    for width, size in zip(head[:n].tolist(), head[n:].tolist()):
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(width, -1)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += size
+    return out
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -231,79 +231,106 @@ def with_pieces(spread: DataFrame, path: str | None) -> DataFrame:
     return spread.join(F.broadcast(piece_table(spread.sparkSession, path)), "id", "left")
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) of distinct words, partitioned as they are: each is encoded once and decoded by its pieces."""
-
-    @F.arrow_udf("array<int>")
-    def ids_of(word: pa.Array) -> pa.Array:
-        return pa.array(word_encoder(path).encode(word.to_pylist()), pa.list_(pa.int32()))
-
-    spread = words.select("word", F.posexplode_outer(ids_of("word")).alias("pos", "id"))
-    own = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id", "piece"))))
-    grouped = with_pieces(spread, path).groupBy("word").agg(own.alias("own"))
-    text = F.array_join(F.transform(F.filter("own", lambda x: x["piece"] != ""), lambda x: x["piece"]), " ")
-    return grouped.select("word", F.transform("own", lambda x: x["id"]).alias("ids"), text.alias("decoded"))
-
+def spelled(words: DataFrame, path: str) -> DataFrame:
+    """(word, block, code) to rows of SPELLED_SCHEMA: rows meet by word and are sorted, so each word is encoded once."""
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, block, code) to (block, code, ids, decoded).
-
-    The rows are dealt by word once. That the distinct words carry the other columns along keeps both branches reading
-    one and the same exchange.
+    @lean
+    def run(batches):
+        encoder = word_encoder(path)
+        last, last_ids = None, []  # a word's rows may run on into the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(0)
+            starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]))
+            own = word.take(pa.array(starts)).to_pylist()
+            known = own[0] == last
+            ids = [last_ids] * known + encoder.encode(own[known:])
+            last, last_ids = own[-1], ids[-1]
+            offsets = pa.array(np.append(starts, batch.num_rows), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(k)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(i) for i in ids], pa.int32()), *lists, pa.array(ids, pa.list_(pa.int32()))], names=["n", "blocks", "codes", "ids"])
+
+    return words.repartition(shuffle_width(words.sparkSession), "word").sortWithinPartitions("word").mapInArrow(run, SPELLED_SCHEMA)
+
+
+def bundled(words: DataFrame, path: str) -> DataFrame:
+    """Rows of SPELLED_SCHEMA to rows of BLOCK_SCHEMA, each with what a task has for one block.
+
+    Ids are joined with their pieces one by one; neither the explosion nor a broadcast join changes the order of rows,
+    so a word's pieces arrive together, by position, which is checked.
     """
-    dealt = words.repartition(shuffle_width(words.sparkSession), "word")
-    distinct = dealt.groupBy("word").agg(F.max("block").alias("b"), F.max("code").alias("c")).where("b is not null and c is not null")
-    return dealt.join(word_table(distinct, path).hint("merge"), "word").select("block", "code", "ids", "decoded")
 
-
-def bundled(coded: DataFrame) -> DataFrame:
-    """(block, code, ids, decoded) to rows of BLOCK_SCHEMA, each with what a task has for one block."""
-
-    def by_block(held: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(held).sort_by([("block", "ascending")]).combine_chunks()
-        block = table["block"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        ids = pc.cast(table["ids"], pa.list_(pa.uint32()))
-        rows = pa.table([table["code"], ids, table["decoded"]], names=["code", "ids", "decoded"])
-        for start, end in zip(starts, [*starts[1:], len(block)]):
-            own = rows.slice(start, end - start).combine_chunks().to_batches()
-            yield block_batch([(int(block[start]), 0, stored(own[0]), None)])
+    def by_block(table: pa.Table):
+        pos, n = table["pos"].to_numpy(), table["n"].to_numpy()
+        starts = np.flatnonzero(pos == 0)
+        lengths = np.diff(np.append(starts, len(pos)))
+        if starts[0] or (lengths != n[starts]).any() or (pos != np.arange(len(pos)) - np.repeat(starts, lengths)).any():
+            raise ValueError("the pieces of a word did not stay together")
+        offsets = pa.array(np.append(starts, len(pos)), pa.int32())
+        ids = pa.ListArray.from_arrays(offsets, table["id"].combine_chunks())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, table["piece"].combine_chunks()), " ")
+        first = table.select(["blocks", "codes"]).take(pa.array(starts)).combine_chunks()
+        of_word = np.repeat(np.arange(len(starts)), pc.list_value_length(first["blocks"]).to_numpy())
+        block, code = (pc.list_flatten(first[c]).to_numpy() for c in ("blocks", "codes"))
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for part in np.split(order, cuts):
+            mine = pa.array(of_word[part])
+            own_ids, own_texts = ids.take(mine), texts.take(mine)
+            raw = np.frombuffer("".join(own_texts.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8)
+            rows = packed(code[part].astype(np.uint32), lengths[of_word[part]].astype(np.uint32), own_ids.flatten().to_numpy().astype(np.uint32), pc.binary_length(own_texts).to_numpy().astype(np.uint32), raw)
+            yield block_batch([(int(block[part[0]]), 0, rows, None)])
 
     @lean
     def run(batches):
-        held, size = [], 0
+        held = None
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= BUNDLE_ROWS:
-                yield from by_block(held)
-                held, size = [], 0
-        if size:
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            if held.num_rows >= BUNDLE_ROWS:
+                cut = int(np.flatnonzero(held["pos"].to_numpy() == 0)[-1])  # the last word may run on in the next batch
+                if cut:
+                    yield from by_block(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
             yield from by_block(held)
 
-    return coded.mapInArrow(run, BLOCK_SCHEMA)
-
-
-def documents_of(codes: np.ndarray, rows: pa.Table, words: pa.Table, decode: bool):
-    """Batches of (doc_id, ids, decoded) of one block, from its word codes and its words' ids."""
-    order, at = np.unique(words["code"].to_numpy(), return_index=True)  # a block that came twice has each word twice
-    if len(codes) and (int(codes.max()) >= len(order) or int(order[-1]) != len(order) - 1):
-        raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
-    words = words.take(pa.array(at))
-    ids = words["ids"].combine_chunks()
-    texts = words["decoded"].to_pylist() if decode else []
-    out, size, first = [], 0, 0
-    for doc_id, n in zip(rows["doc_id"].to_pylist(), rows["n_words"].to_pylist()):
-        own = codes[first : first + n]
-        first += n
-        raw = ids.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes() if n else b""
-        text = " ".join([t for t in map(texts.__getitem__, own.tolist()) if t]) if decode else None
-        out.append((doc_id, raw, text))
-        size += len(raw) + len(text or "")
-        if size >= OUT_BYTES:
-            yield encoded_batch(out)
-            out, size = [], 0
-    yield encoded_batch(out)
+    spread = words.select("n", "blocks", "codes", F.posexplode("ids").alias("pos", "id"))
+    first = F.col("pos") == 0
+    spread = spread.select("n", "pos", "id", F.when(first, F.col("blocks")).alias("blocks"), F.when(first, F.col("codes")).alias("codes"))
+    return with_pieces(spread, path).select("n", "pos", "id", "piece", "blocks", "codes").mapInArrow(run, BLOCK_SCHEMA)
+
+
+class BlockWords:
+    """Ids and decoded texts of a block's words, by code."""
+
+    def __init__(self, bundles: list[bytes]):
+        columns = [unpacked(b) for b in bundles] or [[np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint8)]]
+        code, n_ids, ids, n_bytes, raw = (np.concatenate(c) for c in zip(*columns))
+        offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), pa.int64())
+        codes, at = np.unique(code, return_index=True)  # a block that came twice has each word twice
+        self.count = len(codes) if not len(codes) or int(codes[-1]) == len(codes) - 1 else -1
+        self.ids = pa.LargeListArray.from_arrays(offsets(n_ids), pa.array(ids)).take(pa.array(at))
+        texts = pa.LargeStringArray.from_buffers(len(code), offsets(n_bytes).buffers()[1], pa.py_buffer(raw.tobytes()))
+        self.texts = texts.take(pa.array(at)).to_pylist()
+
+    def documents(self, codes: np.ndarray, rows: bytes, decode: bool):
+        """Batches of (doc_id, ids, decoded) from the word codes of the block's documents."""
+        if len(codes) and int(codes.max()) >= self.count:
+            raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
+        out, size, first = [], 0, 0
+        for doc_id, known, n in zip(*(c.tolist() for c in unpacked(rows))):
+            own = codes[first : first + n]
+            first += n
+            raw = self.ids.take(pa.array(own)).flatten().to_numpy().astype("<u4").tobytes() if n else b""
+            text = " ".join([t for t in map(self.texts.__getitem__, own.tolist()) if t]) if decode else None
+            out.append((int(np.uint64(doc_id).view(np.int64)) if known else None, raw, text))
+            size += len(raw) + len(text or "")
+            if size >= OUT_BYTES:
+                yield encoded_batch(out)
+                out, size = [], 0
+        yield encoded_batch(out)
 
 
 def encoded_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -317,22 +344,19 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = True) -> Dat
 
     @lean
     def rejoin(batches):
-        name, held = None, []
+        name, held, words = None, [], None
         for batch in batches:
-            for block, side, rows, codes in zip(*(c for c in batch.columns)):
+            for block, side, rows, codes in zip(*batch.columns):
                 if name != block.as_py():
-                    name, held = block.as_py(), []
+                    name, held, words = block.as_py(), [], None
                 if side.as_py() == 0:
-                    held.append(read_back(rows.as_py()))
+                    held.append(rows.as_py())
                     continue
-                got = unsqueezed(codes.as_py())
-                if len(got) and not held:
-                    raise ValueError("ids of a block are missing: the input did not repeat its rows in order")
-                words = pa.concat_tables(held or [NO_WORDS.empty_table()])
-                held = [words]
-                yield from documents_of(got, read_back(rows.as_py()), words, decode)
-
-    coded = bundled(encoded_words(distinct_words(docs, path), path))
+                words = words or BlockWords(held)
+                held = []
+                yield from words.documents(unpacked(codes.as_py())[0], rows.as_py(), decode)
+
+    coded = bundled(spelled(distinct_words(docs, path), path), path)
     both = coded.unionByName(coded_blocks(docs, path))
     return both.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "side").mapInArrow(rejoin, ENCODED_SCHEMA)
 
