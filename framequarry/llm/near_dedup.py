@@ -9,16 +9,18 @@ by longest common prefix: at least FLOOR values must agree; where a region (rows
 CROWD rows, it is cut at the next depth, and so on, so depth adapts to each region's density. Rows of a region within
 CROWD are all compared; a row of a crowded region meets the CROWD rows on either side of it, which in sorted order are
 those with the longest common prefixes, and keeps in each tree the BEST of them by signature bits, besides all that
-chose it. Neighbours across partition borders meet in a second, narrow step. Pairs
-whose sizes rule out the similarity go at once, exactly; so do pairs whose 192 signature bits lie more than five
-standard deviations below what a link has.
+chose it. A task reads its rows as a stream of CHUNK rows, each with enough of its neighbours to judge regions whole.
+Rows at a partition's ends meet those beyond the border, over as many partitions as the window spans, in a second,
+narrow step. Pairs whose sizes rule out the similarity go at once, exactly; so do pairs whose 192 signature bits lie
+more than six standard deviations below what a link has (one link in 10^9).
 
 Confirmation: the set of each document that has a candidate is built once more and pairs are compared on full sets.
 The two best pairs of each document go first; pairs inside a component thus found need no comparison any more, and the
 others all follow. What the windows leave out in crowded regions is found
 exactly: the rows of those regions are joined on the prefixes of their sets, between different components only, and what
-sizes and parity maps do not rule out is compared on full sets, until no link is left. Components come from alternating
-star contraction.
+sizes and parity maps do not rule out is compared on full sets, until no link is left. A shingle that many rows share
+is dealt to cells of at most about two times HELD rows, which together hold every pair once. Components come from
+alternating star contraction.
 
 Defined cases: null and empty texts, and texts without words, have no set, link with nothing and stay; fewer words than
 a shingle make one shingle of the whole; a null doc_id is never linked: its component is null and it is kept; of
@@ -37,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from framequarry.operators.components import connected_components
-from framequarry.runtime import materialise, shuffle_width
+from framequarry.runtime import bounded_batches, lean, materialise, shuffle_width
 
 TREES, DEPTH, FLOOR = 24, 8, 4
 MINHASHES = TREES * DEPTH
-CROWD, BEST = 32, 2
-#: Of MINHASHES signature bits, a link at 0.8 differs in 0.1 of them on average; five deviations more are let through.
-BITS_SLACK = 5.0
+CROWD, BEST = 32, 8
+#: Rows of a sorted order that a task handles at a time, and rows on either side that it sees with them.
+CHUNK, CONTEXT = 1 << 15, 3 * CROWD
+#: Of MINHASHES signature bits, a link at 0.8 differs in 0.1 of them on average; six deviations more are let through.
+BITS_SLACK = 6.0
 #: Bits of a set's parity map, and rows of a component that one task of the exact join holds of one shingle.
 PARITY, HELD = 512, 4096
 #: Documents whose shingles tell which are frequent, and how many of those are told apart: for the order alone.
@@ -58,7 +62,9 @@ _rng = np.random.default_rng(20)
 _MULTIPLY = (_rng.integers(0, 1 << 32, MINHASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _FLIP = _rng.integers(0, 1 << 32, MINHASHES, dtype=np.uint64).astype(np.uint32)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Hashes of words that a worker has met lately, and how many.
 _CACHE: dict[bytes, int] = {}
+CACHED = 50_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -72,7 +78,7 @@ def shingle_set(text: str, words_per: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_CACHE) > 200_000:
+    if len(_CACHE) > CACHED:
         _CACHE.clear()
     for w in dict.fromkeys(words):
         if w not in _CACHE:
@@ -97,6 +103,7 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, words_per: int) -> DataFrame:
     """doc_id, size and hash of the shingle set, signatures of all trees (big-endian, so bytes sort like values), bits."""
 
+    @lean
     def run(batches):
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
@@ -110,22 +117,24 @@ def sketches(docs: DataFrame, words_per: int) -> DataFrame:
                     signatures.append(low.astype(">u4").tobytes())
                     bits.append(np.packbits((low ^ (low >> np.uint32(16))) & np.uint32(1)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first : first + 1000], pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (hashes, signatures, bits))], names=["doc_id", "n_shingles", "set_hash", "signature", "bits"])
+        _CACHE.clear()
 
     return plain(docs).mapInArrow(run, SKETCH_SCHEMA)
 
 
 def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def pairs_in_order(rows: dict, similarity: float, border: int | None = None):
-    """Candidates (i, j, differing bits) among rows in sorted order.
+def pairs_in_order(rows: dict, similarity: float, low: int = 0, high: int | None = None, border: int | None = None):
+    """Candidates (i, j, differing bits) among rows in sorted order, i from low to before high.
 
-    rows: key (rows x (1 + 4 * DEPTH) bytes, tree first), rep, n and bits. border: only pairs of a row before it with one
-    from it on.
+    rows: key (rows x (1 + 4 * DEPTH) bytes, tree first), rep, n and bits; where they go on before low or after high,
+    CONTEXT rows of that are among them. border: only pairs of a row before it with one from it on.
     """
     key, n, bits = (rows[c] for c in ("key", "n", "bits"))
     count = len(key)
+    high = count if high is None else high
     if count < 2:
         return
     differs = (key[1:] != key[:-1]).argmax(axis=1)  # first byte that differs; 0 also where none does
@@ -137,8 +146,9 @@ def pairs_in_order(rows: dict, similarity: float, border: int | None = None):
         group = np.cumsum(np.concatenate([[True], lcp < depth])) - 1
         run.append(group)
         room.append(np.bincount(group)[group] <= CROWD)
+    first = max(0, low - CROWD)  # pairs from here on compete for the best of a row's neighbours
     for lag in range(1, min(CROWD, count)):
-        i = np.arange(count - lag)
+        i = np.arange(first, min(count - lag, high + CROWD))
         if border is not None:
             i = i[(i < border) & (i + lag >= border)]
         i = i[run[0][i] == run[0][i + lag]]
@@ -149,15 +159,16 @@ def pairs_in_order(rows: dict, similarity: float, border: int | None = None):
         j = i + lag
         fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[fits], j[fits]
-        for at in range(0, len(i), 1 << 16):
-            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
             ok = differ <= most_differing_bits(similarity)
             x, y, differ = x[ok], y[ok], differ[ok]
             close = np.zeros(len(x), bool)
             for group, roomy in zip(run, room):
                 close |= roomy[x] & (group[x] == group[y])
-            yield x[close], y[close], differ[close]
+            own = close & (x >= low) & (x < high)
+            yield x[own], y[own], differ[own]
             if not close.all():
                 crowded.append((x[~close], y[~close], differ[~close]))
     if crowded:
@@ -168,21 +179,42 @@ def pairs_in_order(rows: dict, similarity: float, border: int | None = None):
             sorted_end = end[order]
             rank = np.arange(len(order)) - np.searchsorted(sorted_end, sorted_end)
             take[order[rank < BEST]] = True
+        take &= (i >= low) & (i < high)
         yield i[take], j[take], differ[take]
 
 
-def crowded_rows(key: np.ndarray, whole: bool) -> np.ndarray:
-    """Which rows, in sorted order, lie in a region of more than CROWD rows that share FLOOR values; unless whole, regions
-    at either end may run on over it and count double."""
+def crowded_rows(key: np.ndarray, opens: bool = False, closes: bool = False) -> np.ndarray:
+    """Which rows, in sorted order, lie in a region of more than CROWD rows that share FLOOR values. opens, closes: the
+    first, or last, region may go on beyond a partition's border and counts double; one that does at both ends counts
+    as crowded."""
     head = key[:, : 1 + 4 * FLOOR]
     region = np.cumsum(np.concatenate([[True], (head[1:] != head[:-1]).any(axis=1)])) - 1
     size = np.bincount(region)
-    if not whole:
-        ends = [0, -1]
-        size[ends] = CROWD + 1 if len(size) == 1 else 2 * size[ends]
+    if len(size) == 1 and opens and closes:
+        size[0] = CROWD + 1
+    else:
+        size[0] *= 1 + opens
+        size[-1] *= 1 + closes
     return size[region] > CROWD
 
 
+def chunks(batches):
+    """(rows, low, high) of a sorted stream: rows low to high are new, with CONTEXT rows, where there are any, around."""
+    held, low = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        high = held.num_rows - CONTEXT
+        if high - low >= CHUNK:
+            yield held, low, high
+            start = max(0, high - CONTEXT)
+            held, low = held.slice(start), high - start
+    if held is not None:
+        yield held, low, held.num_rows
+
+
 def most_differing_bits(similarity: float) -> int:
     p = (1 - similarity) / 2
     return int(np.ceil(MINHASHES * p + BITS_SLACK * np.sqrt(MINHASHES * p * (1 - p))))
@@ -211,34 +243,45 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     width = 4 * DEPTH
     names = [*PAIR_NAMES, "edge", "side", "place", *ROW_NAMES]
 
+    def with_edge(table, part, side):
+        nothing = [pa.nulls(table.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        where = [pa.array(np.full(table.num_rows, v), t) for v, t in ((part, pa.int64()), (side, pa.int32()), (0, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*nothing, *where, *(pa.array(table[c].to_pylist(), t) for c, t in zip(ROW_NAMES, ROW_TYPES))], names=names)
+
+    def pairs_batch(rep, i, j, differ):
+        nothing = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
+        return pa.RecordBatch.from_arrays([*pair_columns(rep, i, j, differ), *nothing], names=names)
+
+    @lean
     def in_partition(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        rows = arrays_of(table)
-        for i, j, differ in pairs_in_order(rows, similarity):
-            if len(i):
-                none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
-                yield pa.RecordBatch.from_arrays([*pair_columns(rows["rep"], i, j, differ), *none], names=names)
-        i = np.unique(rows["rep"][crowded_rows(rows["key"], False)])
-        none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32(), *ROW_TYPES)]
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(i), pa.array(np.zeros(len(i), np.int32)), *none], names=names)
-        me, head, key = TaskContext.get().partitionId(), 1 + 4 * FLOOR, rows["key"]
-        first = np.flatnonzero((key[: CROWD - 1, :head] == key[0, :head]).all(axis=1))
-        last = len(key) - 1 - np.flatnonzero((key[::-1][: CROWD - 1, :head] == key[-1, :head]).all(axis=1))[::-1]
-        for side, edge, index in ((1, me, first), (0, me + 1, last)):
-            none = [pa.nulls(len(index), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-            where = [pa.array(np.full(len(index), edge), pa.int64()), pa.array(np.full(len(index), side), pa.int32()), pa.array(np.arange(len(index)), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, *where, *(pa.array(table[c].take(pa.array(index)).to_pylist(), t) for c, t in zip(ROW_NAMES, ROW_TYPES))], names=names)
+        me, head, seen, table = TaskContext.get().partitionId(), 1 + 4 * FLOOR, 0, None
+        for table, low, high in chunks(batches):
+            rows = arrays_of(table)
+            for i, j, differ in pairs_in_order(rows, similarity, low, high):
+                if len(i):
+                    yield pairs_batch(rows["rep"], i, j, differ)
+            last = high == table.num_rows
+            crowded = low + np.flatnonzero(crowded_rows(rows["key"], not seen, last)[low:high])
+            yield pairs_batch(rows["rep"], crowded, crowded, np.zeros(len(crowded), np.int64))
+            if not seen:
+                yield with_edge(table.take(pa.array(np.flatnonzero((rows["key"][:CROWD, :head] == rows["key"][0, :head]).all(axis=1)))), me, 1)
+            seen += high - low
+        if table is not None:
+            ends = table.slice(max(0, table.num_rows - CROWD))
+            key = fixed(ends["key"], width + 1)
+            yield with_edge(ends.take(pa.array(np.flatnonzero((key[:, :head] == key[-1, :head]).all(axis=1)))), me, 0)
+            nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            counted = [pa.array([v], t) for v, t in ((me, pa.int64()), (2, pa.int32()), (min(seen, CROWD), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*nothing, *counted, *(pa.nulls(1, t) for t in ROW_TYPES)], names=names)
 
     def across(got):
-        got = got.sort_by([("side", "ascending"), ("place", "ascending")])
+        got = got.sort_by([("side", "ascending"), ("key", "ascending"), ("rep", "ascending")])
         border = int((got["side"].to_numpy() == 0).sum())
         rows = arrays_of(got)
         nothing = np.zeros(0, np.int64)
-        found = list(pairs_in_order(rows, similarity, border)) if 0 < border < got.num_rows else []
+        found = list(pairs_in_order(rows, similarity, border=border)) if 0 < border < got.num_rows else []
         i, j, differ = (np.concatenate(c) for c in zip(*found)) if found else (nothing, nothing, nothing)
-        more = np.flatnonzero(crowded_rows(rows["key"], True))
+        more = np.flatnonzero(crowded_rows(rows["key"]))
         i, j, differ = np.concatenate([i, more]), np.concatenate([j, more]), np.concatenate([differ, np.zeros(len(more), np.int64)])
         return pa.table(pair_columns(rows["rep"], i, j, differ), names=PAIR_NAMES)
 
@@ -247,19 +290,40 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     rows = trees.select(key.alias("key"), "rep", "n", "bits")
     ordered = rows.repartitionByRange(shuffle_width(reps.sparkSession), "key", "rep").sortWithinPartitions("key", "rep")
     found = materialise(ordered.mapInArrow(in_partition, FOREST_SCHEMA), "forest")
-    crossing = found.where("edge is not null").select("edge", "side", "place", *ROW_NAMES).groupBy("edge").applyInArrow(across, "a long, b long, differ int")
+    # As many rows as there are partitions: how many rows, up to a window, each has.
+    counts = {r["edge"]: r["place"] for r in found.where("side = 2").select("edge", "place").collect()}
+    reached = reps.sparkSession.createDataFrame(borders(counts), "part long, of_side int, border long")
+    ends = found.where("side < 2").join(F.broadcast(reached), (F.col("edge") == F.col("part")) & (F.col("side") == F.col("of_side")))
+    crossing = ends.select("border", "side", *ROW_NAMES).groupBy("border").applyInArrow(across, "a long, b long, differ int")
     return found.where("edge is null").select("a", "b", "differ").unionByName(crossing).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
+def borders(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(partition, side, border) for the rows at the ends of partitions: a border is named by the partition behind it, and
+    is reached by the last rows (side 0) and first rows (side 1) of all partitions within CROWD rows of it."""
+    parts, out = sorted(counts), []
+    for at in range(1, len(parts)):
+        for side, near in ((0, reversed(parts[:at])), (1, parts[at:])):
+            between = 0
+            for part in near:
+                out.append((part, side, parts[at]))
+                between += counts[part]
+                if between >= CROWD:
+                    break
+    return out
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words_per: int) -> DataFrame:
     """(rep, shingles) of the documents whose id is among ids."""
 
+    @lean
     def run(batches):
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for first in range(0, len(doc_ids), 500):
                 sets = [shingle_set(t.as_py(), words_per).tobytes() for t in batch.column(1)[first : first + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first : first + 500], pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+        _CACHE.clear()
 
     wanted = plain(docs).join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
     return wanted.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
@@ -269,6 +333,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     percent = round(similarity * 100)
 
+    @lean
     def run(batches):
         for batch in batches:
             keep = []
@@ -310,6 +375,7 @@ def prefixes(sets: DataFrame, rows: int, similarity: float) -> DataFrame:
     percent = round(similarity * 100)
     shingles, held = frequent_shingles(sets, rows)
 
+    @lean
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
@@ -327,17 +393,23 @@ def prefixes(sets: DataFrame, rows: int, similarity: float) -> DataFrame:
     return sets.select("rep", "shingles").mapInArrow(run, "rep long, n long, parity binary, prefix array<long>")
 
 
-def pairs_of_run(rows: dict, percent: int):
-    """(i, j, parity bits that differ) of the pairs among rows of one shingle and salt that can reach the similarity and
-    lie in different components. One row of a pair is outside the shingle's main component; where both are, the salt
-    that the first of them falls on has the pair."""
-    rep, component, n, parity, outside, salt, salts = (rows[c] for c in ("rep", "component", "n", "parity", "outside", "salt", "salts"))
-    out = np.flatnonzero(outside)
+def pairs_of_cell(rows: dict, percent: int):
+    """(i, j, parity bits that differ) of the pairs among rows of one cell that can reach the similarity and lie in
+    different components.
+
+    Of a shingle, rows of its main component are dealt to `salts` salts and those outside it to `parts` parts. The first
+    salts x parts cells hold one of each: pairs of a row outside with any row of the main component there, and of two
+    rows of the part, in the cell that the first of them falls on. The cells behind hold two parts: pairs of one with
+    the other.
+    """
+    rep, component, n, parity, outside, part, cell, salts, parts = (rows[c] for c in ("rep", "component", "n", "parity", "outside", "part", "cell", "salts", "parts"))
+    both = cell >= salts * parts
+    out = np.flatnonzero(part == (cell - salts * parts) // parts) if both else np.flatnonzero(outside)
     step = max(1, (1 << 17) // len(rep))
     for at in range(0, len(out), step):
         i = out[at : at + step, None]
         fits = (component[i] != component) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n))
-        fits &= ~outside | ((rep[i] < rep) & (rep[i] % salts == salt))
+        fits &= part != part[i] if both else ~outside | ((rep[i] < rep) & (rep[i] % salts == cell // parts))
         x, y = np.nonzero(fits)
         x = i[x, 0]
         differ = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
@@ -346,7 +418,7 @@ def pairs_of_run(rows: dict, percent: int):
         yield x[ok], y[ok], differ[ok]
 
 
-REMAINDER_NAMES = ["shingle", "salt", "salts", "rep", "component", "n", "outside", "parity"]
+REMAINDER_NAMES = ["shingle", "cell", "salts", "parts", "part", "rep", "component", "n", "outside", "parity"]
 
 
 def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
@@ -354,20 +426,20 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
     let them reach the similarity; none that reaches it is left out. nearest: of each two components that a batch of
     shingles brings together, only the pair whose maps differ least.
 
-    Of each shingle's rows those of the component with most go to one salt each, and all others to every salt, so that
-    neither a frequent shingle nor a large component gathers in one task.
+    The rows of a shingle are dealt to cells (see pairs_of_cell) of about HELD rows of its largest component and as many
+    others, so neither a frequent shingle nor a large component gathers in one task.
     """
     percent = round(similarity * 100)
 
     def found(table: pa.Table):
         rows = {c: table[c].to_numpy() for c in REMAINDER_NAMES[:-1]}
         parity = fixed(table["parity"], PARITY // 8).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1])]))
+        starts = np.flatnonzero(np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])]))
         got, rep, component = [], rows["rep"], rows["component"]
         for start, end in zip(starts, [*starts[1:], len(rep)]):
             if end - start > 1:
-                own = {c: v[start:end] for c, v in rows.items()} | {"parity": parity[start:end], "salt": rows["salt"][start], "salts": rows["salts"][start]}
-                got += [(i + start, j + start, d) for i, j, d in pairs_of_run(own, percent) if len(i)]
+                own = {c: v[start:end] for c, v in rows.items()} | {"parity": parity[start:end]} | {c: int(rows[c][start]) for c in ("cell", "salts", "parts")}
+                got += [(i + start, j + start, d) for i, j, d in pairs_of_cell(own, percent) if len(i)]
         if not got:
             return
         i, j, differ = (np.concatenate(c) for c in zip(*got))
@@ -381,6 +453,7 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
         a, b = np.unique(np.stack([a, b]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    @lean
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -389,8 +462,8 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
             if size < 20_000:
                 continue
             table = pa.Table.from_batches(held)
-            shingle, salt = table["shingle"].to_numpy(), table["salt"].to_numpy()
-            last = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))  # the last run may go on in the next batch
+            shingle, cell = table["shingle"].to_numpy(), table["cell"].to_numpy()
+            last = np.flatnonzero((shingle != shingle[-1]) | (cell != cell[-1]))  # the last cell may go on in the next batch
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from found(table.slice(0, cut))
@@ -401,13 +474,19 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
     placed = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     spread = placed.select("rep", "component", "n", "parity", F.explode("prefix").alias("shingle"))
     counts = placed.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
-    mixed = counts.groupBy("shingle").agg(F.max(F.struct("held", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
-    mixed = mixed.where("components > 1").select(F.col("shingle").alias("of_shingle"), F.col("most.component").alias("main"), F.ceil(F.col("most.held") / HELD).cast("int").alias("salts"))
+    mixed = counts.groupBy("shingle").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("all"), F.count(F.lit(1)).alias("components"))
+    share = lambda held: F.greatest(F.lit(1), F.ceil(held / HELD)).cast("long")
+    mixed = mixed.where("components > 1").select(F.col("shingle").alias("of_shingle"), F.col("most.component").alias("main"), share(F.col("most.held")).alias("salts"), share(F.col("all") - F.col("most.held")).alias("parts"))
     met = spread.join(mixed, F.col("shingle") == F.col("of_shingle")).withColumn("outside", F.col("component") != F.col("main"))
-    salt = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")))
-    dealt = met.withColumn("salt", F.explode(salt)).select(*REMAINDER_NAMES)
+    met = met.withColumn("part", F.when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(-1)))
+    cells = F.expr("""if(outside,
+        concat(
+            transform(sequence(0, salts - 1), m -> m * parts + part),
+            transform(filter(sequence(0, parts - 1), q -> q <> part), q -> salts * parts + least(part, q) * parts + greatest(part, q))),
+        transform(sequence(0, parts - 1), q -> pmod(xxhash64(rep), salts) * parts + q))""")
+    dealt = met.withColumn("cell", F.explode(cells)).select(*REMAINDER_NAMES)
     width = shuffle_width(rows.sparkSession)
-    return dealt.repartition(width, "shingle", "salt").sortWithinPartitions("shingle", "salt").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(width, "shingle", "cell").sortWithinPartitions("shingle", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def best_pairs(pairs: DataFrame, each: int = 2) -> DataFrame:
@@ -463,7 +542,8 @@ def near_duplicates(docs: DataFrame, words_per: int = 5, similarity: float = 0.8
     rows = sketched.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     # A class of copies may hold a third of all rows: its single row is repeated over salts that the copies share.
     salts = 32
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    # Dealt by place in the stored table, as rows may even share their id.
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     spread = found.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = dealt.join(spread, (F.col("set_hash") == F.col("of_set")) & (F.col("salt") == F.col("of_salt")), "left")
     component = F.coalesce("component", alone)
