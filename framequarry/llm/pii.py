@@ -2,7 +2,8 @@
 
 Base entities (email, ip, card, phone) are found by patterns whose quantifiers are possessive, so no text, however
 long, makes them backtrack; matches that fail a check (parts of an address, Luhn, numbers of digits) are dropped.
-Positions come from the lengths of what lies between matches.
+Positions come from running sums of the lengths of what lies between matches, in blocks, so a text's cost is about
+linear in its matches.
 
 Terms: all words of the texts that hold an entity are its candidate terms. Over the corpus, n(t, e) documents have a
 term and the entity, n(t) have the term, n(e) the entity. A term's disclosure of an entity is the share
@@ -11,12 +12,14 @@ log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)). Where a pair is seen in at least
 from GENERALISE on generalises the term at all its places in all texts, one from REMOVE on removes it. Places inside a
 base entity are the entity's own.
 
-Texts never shuffle for the counts; only matches and words do. Places of terms are found beside the texts, to which few
-terms are broadcast; many are joined with the texts by key. Joins on what copies share are salted.
+Pairs of term and entity are counted first, over the texts that hold an entity; only words that may be among their
+terms are then counted over the corpus, and only words that may disclose something leave a text with their places. Which
+words may is told by a table of hash buckets, broadcast, with at most BUCKETS rows at any size of the corpus; an exact
+join follows. The plan is the same at every size, and joins may be split where copies share a text.
 
 Defined cases: a null text is empty and has no spans; null ids stay; equal rows return equal rows, and copies of a text
 are one text for SUPPORT; a corpus of one document discloses nothing; an empty table gives no rows; other columns of
-the input are ignored by `find` and kept by `sanitise`.
+the input are ignored by `find` and kept by `sanitise`; texts may have any number of matches.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ PATTERNS = {
 TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
-SALTS = 32
-#: Term spans that a join may broadcast: about 10 MB.
-BROADCAST_SPANS = 200_000
+#: Hash buckets that tell which words matter: the bound of what is broadcast.
+BUCKETS = 1 << 20
+#: Numbers that are summed in a row, and code points of a text that are cut out of one piece.
+BLOCK, PIECE = 64, 4096
 
 #: What stands in a sanitised text for each kind; a removed term leaves nothing.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
@@ -49,17 +53,60 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 _SPAN = "struct<start:int,end:int,text:string>"
 
 
-def located(matches: str, parts: str, offset: str = "0") -> str:
-    """Spans of matches from the parts between them, both arrays; positions are code points from offset."""
-    length = f"length(get({parts}, i)) "
-    return f"""
-        aggregate(
-            sequence(0, size({matches}) - 1),
-            named_struct('at', cast({offset} as int), 'out', cast(array() as array<{_SPAN}>)),
-            (acc, i) -> named_struct(
-                'at', acc.at + {length} + length(get({matches}, i)),
-                'out', concat(acc.out, array(named_struct('start', acc.at + {length}, 'end', acc.at + {length} + length(get({matches}, i)), 'text', get({matches}, i))))),
-            acc -> acc.out)"""
+def let(name: str, value: str, body: str) -> str:
+    """body, in which name stands for value; value is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running(numbers: str, step: str, kind: str = "int") -> str:
+    """Running values of an array of numbers that isn't empty; step: SQL of what a and y, the value so far and the next
+    number, give. Blocks of BLOCK numbers first, so nothing is appended to a long array number by number."""
+    whole = f"aggregate(x, cast(null as {kind}), (a, y) -> {step})"
+    before = f"""aggregate(rb, named_struct('at', cast(null as {kind}), 'out', cast(array() as array<{kind}>)),
+        (s, x) -> named_struct('at', {let("a", "s.at", let("y", whole, step))}, 'out', concat(s.out, array(s.at))), s -> s.out)"""
+    inside = f"""aggregate(x, named_struct('at', get(rs, k), 'out', cast(array() as array<{kind}>)),
+        (s, y) -> {let("v", let("a", "s.at", step), "named_struct('at', v, 'out', concat(s.out, array(v)))")}, s -> s.out)"""
+    blocks = f"transform(sequence(0, (size(rn) - 1) div {BLOCK}), k -> slice(rn, k * {BLOCK} + 1, {BLOCK}))"
+    return let("rn", numbers, let("rb", blocks, let("rs", before, f"flatten(transform(rb, (x, k) -> {inside}))")))
+
+
+SUM, MOST = "coalesce(a, 0) + y", "greatest(coalesce(a, y), y)"
+
+
+def starts_of(matches: str, parts: str) -> str:
+    """Code points before each of the matches, from the parts between them; both are arrays, matches isn't empty."""
+    steps = "transform(lm, (x, i) -> length(get(lp, i)) + if(i > 0, length(get(lm, i - 1)), 0))"
+    return let("lm", matches, let("lp", parts, running(steps, SUM)))
+
+
+def located(matches: str, parts: str) -> str:
+    """Spans of matches, with their texts."""
+    spans = "transform(lx, (x, i) -> named_struct('start', get(ls, i), 'end', get(ls, i) + length(x), 'text', x))"
+    return let("lx", matches, let("ls", starts_of("lx", parts), spans))
+
+
+def merged(spans: str) -> str:
+    """Sorted spans (start, end, label), not none, with those that overlap as one, by the label of the first."""
+    reach = running("transform(mx, x -> x.end)", MOST)
+    first = "filter(sequence(0, size(mx) - 1), i -> i = 0 or get(mx, i).start >= get(mr, i - 1))"
+    whole = "transform(mi, (i, k) -> named_struct('start', get(mx, i).start, 'end', get(mr, coalesce(get(mi, k + 1), size(mx)) - 1), 'label', get(mx, i).label))"
+    return let("mx", spans, let("mr", reach, let("mi", first, whole)))
+
+
+def cut(start: str, end: str) -> str:
+    """Code points from start to before end of the text whose pieces are cp; reads only the pieces that hold them."""
+    head = f"substring(get(cp, cast({start} div {PIECE} as int)), {start} % {PIECE} + 1, if({start} div {PIECE} = {end} div {PIECE}, {end} - {start}, {PIECE}))"
+    middle = f"array_join(slice(cp, cast({start} div {PIECE} as int) + 2, greatest(0, cast({end} div {PIECE} - {start} div {PIECE} as int) - 1)), '')"
+    tail = f"if({start} div {PIECE} < {end} div {PIECE}, coalesce(substring(get(cp, cast({end} div {PIECE} as int)), 1, {end} % {PIECE}), ''), '')"
+    return f"concat(coalesce({head}, ''), {middle}, {tail})"
+
+
+def replaced(text: str, spans: str, label: str) -> str:
+    """A text with its merged spans, not none, replaced; label: SQL of what stands for span x."""
+    between = let("ca", "coalesce(get(cs, i - 1).end, 0)", let("cb", "x.start", cut("ca", "cb")))
+    rest = let("ca", "get(cs, size(cs) - 1).end", let("cb", "cn", cut("ca", "cb")))
+    whole = f"concat(array_join(transform(cs, (x, i) -> concat({between}, {label})), ''), {rest})"
+    return let("cs", spans, let("cn", f"length({text})", let("cp", f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)", whole)))
 
 
 def none_of(kind: str) -> str:
@@ -100,9 +147,15 @@ def words_of(text: str):
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """term and n_t, the number of documents that have it; over all documents."""
-    return texts.select(F.explode(words_of("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+def bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS))
+
+
+def maybe(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of words (with term) that may be among the terms: all that are, and some more. At most BUCKETS rows are
+    broadcast."""
+    wanted = F.broadcast(terms.select(bucket("term").alias("bucket")).distinct())
+    return words.join(wanted, bucket("term") == F.col("bucket"), "left_semi")
 
 
 def disclosures(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
@@ -110,41 +163,31 @@ def disclosures(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     entity_names."""
     n = F.lit(float(n_docs))
     entities = found.select("copies", F.explode("entity_names").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    entities = materialise(entities.where((F.col("texts") >= SUPPORT) & (F.col("n_e") < n)).drop("texts"), "entities")
-    # A term in more documents than this passes for no entity, as n(t, e) is at most n(e).
-    most = n_docs ** (1 - GENERALISE) * (entities.agg(F.max("n_e")).first()[0] or 0) ** GENERALISE
-    terms = term_counts(texts).where(F.col("n_t").between(SUPPORT, most * (1 + 1e-9)))
+    entities = entities.where((F.col("texts") >= SUPPORT) & (F.col("n_e") < n)).drop("texts")
     holders = materialise(found.select("key", "copies", F.explode("entity_names").alias("entity")).join(entities, "entity"), "holders")
-    words = found.join(holders.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term")).join(terms, "term")
-    pairs = words.join(holders, "key").groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    words = found.join(holders.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term"))
+    pairs = words.join(holders, "key").groupBy("entity", "term", "n_e").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    pairs = materialise(pairs.drop("texts"), "term-pairs")
+    counts = maybe(texts.select(F.explode_outer(words_of("t")).alias("term")), pairs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     information = F.log2(n / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return pairs.withColumn("strength", mutual / information).where(F.col("strength") >= GENERALISE).groupBy("term").agg(F.max("strength").alias("strength"))
+    return pairs.join(counts, "term").withColumn("strength", mutual / information).where(F.col("strength") >= GENERALISE).groupBy("term").agg(F.max("strength").alias("strength"))
 
 
 def term_places(texts: DataFrame, strong: DataFrame) -> DataFrame:
     """key and the array of term spans with action, for every text that has a disclosing term outside its base spans."""
-    strong = strong.withColumn("action", F.when(F.col("strength") >= REMOVE, "removed").otherwise("generalised")).select(F.col("term").alias("of_term"), "action")
-    strong = F.broadcast(strong) if strong.count() <= BROADCAST_SPANS else strong
-    words = texts.select("key", F.explode(words_of("t")).alias("term"))
-    hits = words.join(strong, F.col("term") == F.col("of_term")).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
-    held = joined(texts, materialise(hits, "text-terms"), "inner")
-    own = F.concat(*(F.transform(f"s_{k}", lambda x: F.struct(x["start"], x["end"])) for k in KINDS))
-    # Stored, since one plan of both steps would repeat the patterns' expressions in each other.
-    rows = materialise(base_spans(held, ["key", "terms"]).select("key", "t", "terms", own.alias("own")), "term-texts")
-    rows = rows.withColumns({"m": F.regexp_extract_all("t", F.lit(TERM), 0), "p": F.split("t", TERM), "hits": F.map_from_entries("terms")})
-    # One pass over the words; only places of terms that disclose are added. What the lambdas read is the argument of an
-    # outer transform, so that it is computed once a text and not once a word.
-    kind = "struct<start:int,end:int,action:string>"
-    places = f"""aggregate(sequence(0, size(z.m) - 1), named_struct('at', 0, 'out', {none_of(kind)}),
-        (acc, i) -> named_struct(
-            'at', acc.at + length(get(z.p, i)) + length(get(z.m, i)),
-            'out', if(z.hits[lower(get(z.m, i))] is null, acc.out, concat(acc.out, array(named_struct(
-                'start', acc.at + length(get(z.p, i)), 'end', acc.at + length(get(z.p, i)) + length(get(z.m, i)), 'action', z.hits[lower(get(z.m, i))]))))),
-        acc -> acc.out)"""
-    outside = f"get(transform(array(named_struct('m', m, 'p', p, 'hits', hits, 'own', own)), z -> filter({places}, x -> not exists(z.own, y -> x.start < y.end and y.start < x.end))), 0)"
-    # Filtered after the aggregate only: pushed below it, the condition would repeat all of the expressions above.
-    return rows.withColumn("terms", F.expr(outside)).groupBy("key").agg(F.first("terms").alias("terms")).where(F.size("terms") > 0)
+    action = F.when(F.col("strength") >= REMOVE, "removed").otherwise("generalised")
+    own = F.expr("transform(" + " || ".join(f"s_{k}" for k in KINDS) + ", x -> named_struct('start', x.start, 'end', x.end, 'label', ''))")
+    spans = base_spans(texts, ["key"]).select("key", "t", F.array_sort(own).alias("own"))
+    blank = replaced("t", merged("own"), "repeat(' ', x.end - x.start)")
+    # What stands outside base spans, at its own places.
+    bare = spans.select("key", F.expr(f"if(size(own) > 0, {blank}, t)").alias("t"))
+    words = bare.select("key", F.regexp_extract_all("t", F.lit(TERM), 0).alias("m"), F.split("t", TERM).alias("p"))
+    places = let("wm", "m", let("ws", starts_of("wm", "p"), "transform(wm, (x, i) -> named_struct('term', lower(x), 'start', get(ws, i), 'end', get(ws, i) + length(x)))"))
+    # The outer form, as for the other one the planner adds a filter that computes the whole array once more.
+    spread = words.select("key", F.explode_outer(F.expr(places)).alias("w")).select("key", "w.term", "w.start", "w.end")
+    hits = maybe(spread, strong).join(strong.select("term", action.alias("action")), "term")
+    return hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,18 +206,10 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("words"), materialise(term_places(texts, strong), "term-spans")
 
 
-def joined(rows: DataFrame, terms: DataFrame, how: str = "left") -> DataFrame:
-    """rows (with key) and the terms, or term spans, of their texts.
-
-    Few spans, by their counted number, are broadcast. Else copies of one text are dealt over salts, over which its
-    spans are repeated.
-    """
-    of_key = terms.withColumnRenamed("key", "of_key")
-    if (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_SPANS:
-        return rows.join(F.broadcast(of_key), F.col("key") == F.col("of_key"), how).drop("of_key")
-    spread = of_key.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, (F.col("key") == F.col("of_key")) & (F.col("salt_") == F.col("of_salt")), how).drop("of_key", "of_salt", "salt_")
+def joined(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows (with key) and the term spans of their texts. A text may hold a third of all rows: its partition can be split,
+    as the other side has one row a text."""
+    return rows.join(terms.withColumnRenamed("key", "of_key"), F.col("key") == F.col("of_key"), "left").drop("of_key")
 
 
 def span_strings(kind: str, spans: str):
@@ -202,13 +237,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
     entry = lambda k: F.transform(f"s_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(LABELS[k]).alias("label")))
     of_terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", LABELS["removed"]).otherwise(LABELS["generalised"]).alias("label")))
     rows = rows.withColumn("spans", F.array_sort(F.concat(*(entry(k) for k in KINDS), of_terms)))
-    merged = """aggregate(spans, cast(array() as array<struct<start:int,end:int,label:string>>), (acc, x) ->
-        if(size(acc) > 0 and x.start < get(acc, size(acc) - 1).end,
-            concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', get(acc, size(acc) - 1).start, 'end', greatest(get(acc, size(acc) - 1).end, x.end), 'label', get(acc, size(acc) - 1).label))),
-            concat(acc, array(x))))"""
-    rows = rows.withColumn("spans", F.expr(f"if(size(spans) > 0, {merged}, spans)"))
-    rebuilt = """concat(
-        array_join(transform(spans, (x, i) -> concat(substring(t, coalesce(get(spans, i - 1).end, 0) + 1, x.start - coalesce(get(spans, i - 1).end, 0)), x.label)), ''),
-        substring(t, get(spans, size(spans) - 1).end + 1))"""
-    rows = rows.withColumn("clean", F.expr(f"if(size(spans) > 0, {rebuilt}, row.text)"))
+    rows = rows.withColumn("clean", F.expr(f"if(size(spans) > 0, {replaced('t', merged('spans'), 'x.label')}, row.text)"))
     return rows.select(*(F.col("clean").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))

@@ -1,5 +1,14 @@
 """Terms count and are marked over whole texts, wherever they stand and however short they are."""
 
+import hashlib
+import itertools
+import math
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
 from framequarry.llm import pii
 
 
@@ -19,3 +28,86 @@ def test_terms_far_from_the_entity(spark):
     assert all(found[10 + i] == [""] for i in range(60))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert clean[9] == f"only [TERM] {gap}" and "Zed" not in clean[0] and "x7" not in clean[0]
+
+
+def test_endless_matches(spark):
+    """100,000 addresses in one text: counted, located and replaced in a time that is about linear."""
+    many = " ".join(f"a{i}@b.cd" for i in range(100_000))
+    text = f"x {many} y"
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_digests(docs).collect()}
+    assert time.time() - began < 30  # about 6 on eight cores
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+@\S+", text))
+    assert got[1]["n_email"] == 100_000 and got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean == {1: "x " + " ".join(["[EMAIL]"] * 100_000) + " y", 2: "plain"}
+
+
+def test_running_and_merging(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 63, 64, 65, 500):
+        numbers = [rng.randint(0, 9) for _ in range(n)]
+        spans, at = [], 0
+        for _ in range(n):
+            at += rng.randint(0, 4)
+            spans.append((at, at + rng.randint(1, 6), str(rng.randint(0, 9))))
+        row = spark.createDataFrame([(numbers, sorted(spans))], "n array<int>, s array<struct<start:int,end:int,label:string>>").selectExpr(f"{pii.running('n', pii.SUM)} AS total", f"{pii.running('n', pii.MOST)} AS most", f"{pii.merged('s')} AS merged").first()
+        assert row["total"] == list(itertools.accumulate(numbers))
+        assert row["most"] == list(itertools.accumulate(numbers, max))
+        want = []
+        for start, end, label in sorted(spans):
+            if want and start < want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], end), want[-1][2])
+            else:
+                want.append((start, end, label))
+        assert [tuple(x) for x in row["merged"]] == want
+
+
+def test_replacing_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 8)
+    rng = random.Random(3)
+    for _ in range(20):
+        text = "".join(rng.choice("ab\n👍é ") for _ in range(rng.randint(1, 60)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(1, 4)) // 2 * 2))
+        spans = [(a, b, "<>") for a, b in zip(cuts[::2], cuts[1::2])]
+        if not spans:
+            continue
+        got = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,label:string>>").selectExpr(f"{pii.replaced('t', 's', 'x.label')} AS r").first()["r"]
+        want, at = "", 0
+        for a, b, label in spans:
+            want, at = want + text[at:a] + label, b
+        assert got == want + text[at:]
+
+
+def test_strengths_against_plain_counts(spark):
+    rng = random.Random(6)
+    people = [f"p{i}@x.org" for i in range(6)]
+    texts = []
+    for i in range(300):
+        words = [f"w{rng.randint(0, 60)}" for _ in range(12)]
+        if rng.random() < 0.4:
+            who = rng.randrange(len(people))
+            words += [people[who], f"name{who}", f"city{who // 2}"]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").withColumn("key", F.md5("t"))
+    named = pii.base_spans(docs, ["doc_id", "key"])
+    found = named.select("key", F.transform("s_email", lambda x: F.concat(F.lit("email:"), x["text"])).alias("entity_names"), pii.words_of("t").alias("words")).where("size(entity_names) > 0")
+    found = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("entity_names").alias("entity_names"))
+    got = {r["term"]: r["strength"] for r in pii.disclosures(found, docs, len(texts)).collect()}
+    n, has = len(texts), [set(re.findall(r"[a-z0-9]+", t)) for t in texts]
+    want = {}
+    for who in people:
+        holding = [who in t for t in texts]
+        n_e, kinds = sum(holding), len({t for t, h in zip(texts, holding) if h})
+        for term in set().union(*has):
+            n_t, n_te = sum(term in h for h in has), sum(term in h and e for h, e in zip(has, holding))
+            seen = len({t for t, h, e in zip(texts, has, holding) if e and term in h})
+            if kinds >= pii.SUPPORT and seen >= pii.SUPPORT and n_e < n:
+                strength = math.log2(n_te * n / (n_t * n_e)) / math.log2(n / n_e)
+                if strength >= pii.GENERALISE:
+                    want[term] = max(want.get(term, 0), strength)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert want

@@ -213,13 +213,16 @@ def test_terms_disclose(spark):
     assert all(clean[i] == dict(rows)[i] for i in range(10, 70))
 
 
-def test_salted_join_agrees(spark, monkeypatch):
+def test_shuffled_joins_agree(spark):
     rng = np.random.default_rng(1)
     rows = [(i, f"Zebraman wrote from zed@corp.org text{'abcd'[i % 4]}") for i in range(8)] + [(10 + i, " ".join(rng.choice(["some", "other", "words"], 9))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = sorted(map(tuple, pii.find_digests(docs).collect()))
-    monkeypatch.setattr(pii, "BROADCAST_SPANS", -1)
-    assert one == sorted(map(tuple, pii.find_digests(docs).collect())) and any("term:" in r[-1] for r in one)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert one == sorted(map(tuple, pii.find_digests(docs).collect())) and any("term:" in r[-1] for r in one)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_sanitise_keeps_rows(spark):
