@@ -4,7 +4,8 @@ The bytes of a text, zero-padded to a positive multiple of 64, become the sample
 lossless. What is read back from that file is resampled by a polyphase filter (one short filter per output phase),
 cut into overlapped windows, turned into log-mel energies and segmented by energy with hysteresis: a segment opens
 where the energy passes the upper threshold and reaches as far as it stays above the lower one. The energies are
-stored as tensors of one fixed shape, each with the time it spans.
+stored as Arrow tensors of one fixed shape (PATCH frames x MELS), each with the time it spans: a column of Arrow streams,
+one a document, of start_s, end_s, frames and tensor.
 
 Every document is computed alone and in one fixed order, so equal texts give equal values on any partitioning.
 
@@ -21,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from framequarry.runtime import bounded_batches, lean
+
 PAD = 64
 RATE = 8000
 UP, DOWN = 2, 5
@@ -31,8 +34,8 @@ HEADER = 44
 #: Output samples that are filtered at a time, and frames that are transformed at a time.
 BLOCK = 1 << 16
 
-SCHEMA = "doc_id long, n_bytes long, media binary, feature string, segments array<struct<start_s:double,end_s:double>>, patches array<struct<start_s:double,end_s:double,frames:int,tensor:array<float>>>"
-PATCH_TYPE = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.list_(pa.float32()))])
+SCHEMA = "doc_id long, n_bytes long, media binary, feature string, segments array<struct<start_s:double,end_s:double>>, n_tensors long, tensors binary"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
 SEGMENT_TYPE = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
@@ -112,8 +115,8 @@ def segments(energy: np.ndarray, low: float, high: float) -> list[tuple[int, int
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if peaks[b] > peaks[a]]
 
 
-def features(payload: bytes, tensors: bool = True) -> tuple[str, list, list]:
-    """(summary, segments, patches) of 8-bit samples."""
+def features(payload: bytes) -> tuple[str, list, np.ndarray]:
+    """(summary, segments, log-mel energies) of 8-bit samples."""
     rate = RATE * UP / DOWN
     x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
     mel = log_mel(resample(x), rate)
@@ -121,20 +124,35 @@ def features(payload: bytes, tensors: bool = True) -> tuple[str, list, list]:
     middle, spread = float(energy.mean()), float(energy.std())
     found = segments(energy, middle, middle + 0.5 * spread)
     spans = [{"start_s": a * HOP / rate, "end_s": ((b - 1) * HOP + FRAME) / rate} for a, b in found]
-    patches = []
-    if tensors:
-        for at in range(0, len(mel), PATCH):
-            part = mel[at : at + PATCH].astype(np.float32)
-            fixed = np.zeros((PATCH, MELS), np.float32)
-            fixed[: len(part)] = part
-            patches.append({"start_s": at * HOP / rate, "end_s": ((at + len(part) - 1) * HOP + FRAME) / rate, "frames": len(part), "tensor": fixed.ravel()})
     profile = ",".join(f"{v:.2f}" for v in (mel.mean(axis=0) + 0.0).tolist())
-    return f"frames={len(mel)};segments={len(found)};active={sum(b - a for a, b in found)};mel={profile}", spans, patches
+    return f"frames={len(mel)};segments={len(found)};active={sum(b - a for a, b in found)};mel={profile}", spans, mel
+
+
+def tensor_stream(mel: np.ndarray, rate: float = RATE * UP / DOWN) -> tuple[int, bytes]:
+    """How many tensors, and the Arrow stream that holds them; the last is zero-padded."""
+    n = -(-len(mel) // PATCH)
+    fixed = np.zeros((n * PATCH, MELS), np.float32)
+    fixed[: len(mel)] = mel
+    first = np.arange(n) * PATCH
+    frames = np.minimum(PATCH, len(mel) - first)
+    columns = [first * HOP / rate, ((first + frames - 1) * HOP + FRAME) / rate, frames.astype(np.int32)]
+    tensor = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(fixed.ravel(), PATCH * MELS))
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), tensor], names=["start_s", "end_s", "frames", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return n, sink.getvalue().to_pybytes()
+
 
+def tensors_of(stream: bytes) -> pa.Table:
+    """start_s, end_s, frames and tensor of a document's stream."""
+    return pa.ipc.open_stream(stream).read_all()
 
-def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
-    """doc_id, n_bytes, the WAV file, a summary, active time spans, and log-mel patches (none unless tensors)."""
 
+def media_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the WAV file, a summary, active time spans, and the log-mel tensors with theirs."""
+
+    @lean
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
@@ -142,33 +160,26 @@ def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 media = wav(raw + bytes(-len(raw) % PAD or (PAD if not raw else 0)))
-                rows.append((doc_id, len(raw), media, *features(samples_of(media), tensors)))
-                size += len(media)
-                if size >= 8 << 20:
+                feature, spans, mel = features(samples_of(media))
+                rows.append((doc_id, len(raw), media, feature, spans, *tensor_stream(mel)))
+                size += len(media) + len(rows[-1][-1])
+                if size >= 4 << 20:
                     yield media_batch(rows)
                     rows, size = [], 0
             yield media_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def media_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(SEGMENT_TYPE), pa.list_(PATCH_TYPE)]
-    names = ["doc_id", "n_bytes", "media", "feature", "segments", "patches"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
-
-
-def tensor_array(flat: pa.Array) -> pa.FixedShapeTensorArray:
-    """The tensors of patches as an Arrow array of one fixed shape (PATCH x MELS)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
-    values = flat.flatten() if pa.types.is_list(flat.type) or pa.types.is_large_list(flat.type) else flat
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, PATCH * MELS))
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "feature": pa.string(), "segments": pa.list_(SEGMENT_TYPE), "n_tensors": pa.int64(), "tensors": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The stored files reduced to sizes and checksums, all taken from the stored form."""
+    """The stored files and tensors reduced to sizes and checksums, all taken from the stored form."""
     payload = F.expr(f"substring(media, {HEADER + 1})")
-    return media_columns(docs, tensors=False).select(
+    return media_columns(docs).select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
@@ -177,4 +188,6 @@ def media_digests(docs: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "n_tensors",
+        F.sha2("tensors", 256).alias("tensors_sha256"),
     )

@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from framequarry.runtime import bounded_batches, lean
+
 #: Phrases that the base count looks for, with their labels.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -58,8 +60,9 @@ IDENTIFIER_LABELS = {
 PERMISSIVE = {"mit", "apache-2", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "cc0", "unlicense", "cc-by", "0bsd"}
 
 TAG_WORDS = "spdx license identifier"
-#: An expression ends with its line; one longer than this is read only so far as tokens go, never cut inside one.
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: The tag's words as the automaton takes them, whatever ASCII stands between, and what follows up to the line's end.
+_GAP, _WORD_CHAR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_EXPRESSION = re.compile(rf"(?<!{_WORD_CHAR})spdx{_GAP}+license{_GAP}+identifier(?!{_WORD_CHAR})[ \t]*[:=]?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -79,12 +82,13 @@ def label_of(identifier: str) -> str:
 def to_postfix(expression: str) -> tuple[list[str], bool]:
     """Shunting-yard: postfix tokens, and whether the expression was well formed up to where it stopped.
 
-    Reading stops at the first token that cannot continue the expression, so prose behind an identifier is left alone.
+    Reading stops at the first token that cannot continue the expression, so prose behind an identifier is left alone; a
+    closing parenthesis that nothing opened, or that follows no operand, makes the expression malformed.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = True  # whether one is expected next
-    depth = 0
+    depth, closed_well = 0, True
     for match in _TOKEN.finditer(expression):
         token = match[0]
         word = token.lower()
@@ -102,6 +106,7 @@ def to_postfix(expression: str) -> tuple[list[str], bool]:
             depth += 1
         elif token == ")":
             if operand or not depth:
+                closed_well = False
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
@@ -112,7 +117,7 @@ def to_postfix(expression: str) -> tuple[list[str], bool]:
             operand = False
         else:
             break
-    valid = bool(out) and not operand and not depth
+    valid = bool(out) and not operand and not depth and closed_well
     out += [t for t in reversed(stack) if t != "("]
     return out, valid
 
@@ -192,6 +197,7 @@ def scan_text(text: str) -> tuple:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: words, base places and labels, all labels, parsed expressions, score."""
 
+    @lean
     def run(batches):
         kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("expressions", pa.list_(pa.struct([("text", pa.string()), ("valid", pa.bool_()), ("permissive", pa.bool_())]))), ("score", pa.float64())])
         for batch in batches:
@@ -199,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * (len(kind) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kind)[1:]))], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:

@@ -1,34 +1,53 @@
 """Sharding through fixed virtual slots.
 
 Records hash into thousands of fixed slots; bytes and rows are summed per slot (one partial aggregate, as many rows as
-there are slots); a versioned slot-to-shard map gives slots to shards. The first version deals slots by decreasing
-bytes to the lightest shard, which makes shard sizes near equal. Later versions edit the map: `grow` moves slots only
-into the new shard, `rebalance` moves as few slots as it needs. Where a record goes never depends on anything but its
-slot and the map's version.
+there are slots); a versioned slot-to-shard map, stored in a folder of its own, gives slots to shards. A new map deals
+slots in turn (version 1) and is edited to what the slots then hold; every edit reads the latest version and writes the
+next one beside it, so older versions stay readable. `grow` moves slots only into the new shard, `rebalance` moves as
+few slots as it needs. Where a record goes never depends on anything but its slot and the map's version.
+
+Law `bytes`: sizes of shards near equal. Rows of one text are a group that may hold a third of all rows, which no shard
+of near equal size could take whole; slots hash the id with the text's checksum, so a group of copies is spread over all
+slots, and so are rows of one id with different texts. Rows that share both, id and text, are told apart by nothing but
+their place in the stored table, which deals them over slots as well.
 
 Defined cases: a null text has size 1 and no checksum bytes (crc32 of nothing, 0); a null id hashes like a value of
-its own, together with the text; equal rows get positions one after the other; an empty table gives no rows; other
-columns of the input are ignored. A row id that many rows share is still spread, as the text's checksum is hashed too.
+its own, together with the text; equal rows get positions one after the other in their slot; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from framequarry.runtime import materialise
+from framequarry.runtime import materialise, shared_dir
 
 SLOTS = 4096
 SHARDS = 8
 MAP_SCHEMA = "version int, vslot int, shard int"
+#: Copies of a row, id and text, that the hash of a row's place tells apart.
+PLACES = 1024
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each row; the text goes no further."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size and text_crc32 of each row; the text goes no further."""
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+
+
+def with_slots(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Adds vslot to the rows of a stored table of `sized`.
+
+    A record's slot is the hash of its id and checksum. Only where an id and text come more than once does the place in
+    the stored table, which is the same whenever it is read, count too: for all rows of it but about one in PLACES.
+    """
+    one = rows.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_id").alias("of_id"), F.col("text_crc32").alias("of_crc"))
+    placed = rows.withColumn("place", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PLACES)))
+    met = placed.join(one, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_crc32") == F.col("of_crc")), "left")
+    place = F.when(F.col("of_crc").isNotNull(), F.col("place")).otherwise(F.lit(0))
+    return met.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", place), F.lit(slots)).cast("int")).drop("place", "of_id", "of_crc")
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
@@ -36,15 +55,9 @@ def slot_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def deal(totals: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """First version of a map: slots by decreasing bytes, each to the shard with the fewest so far."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for slot in sorted(range(slots), key=lambda s: (-totals.get(s, 0), s)):
-        load, shard = heapq.heappop(heap)
-        placed[slot] = shard
-        heapq.heappush(heap, (load + totals.get(slot, 0), shard))
-    return placed
+def deal(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """First version of a map: slots in turn."""
+    return {slot: slot % shards for slot in range(slots)}
 
 
 def grow(current: dict[int, int], totals: dict[int, int], new_shard: int) -> dict[int, int]:
@@ -96,9 +109,40 @@ def rebalance(current: dict[int, int], totals: dict[int, int], tolerance: float
     return moved
 
 
-def slot_map(spark: SparkSession, versions: dict[int, dict[int, int]]) -> DataFrame:
-    """The versioned map as a table: slots x versions rows."""
-    return spark.createDataFrame([(v, slot, shard) for v, placed in sorted(versions.items()) for slot, shard in sorted(placed.items())], MAP_SCHEMA)
+class SlotMap:
+    """The versions of one map, stored as tables in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def versions(self) -> list[int]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        done = (x.getPath() for x in files.listStatus(path) if files.exists(x.getPath().suffix("/_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in done)
+
+    def table(self, version: int) -> DataFrame:
+        """version, vslot and shard: as many rows as there are slots."""
+        return self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.folder}/v{version}")
+
+    def placed(self, version: int) -> dict[int, int]:
+        return {r["vslot"]: r["shard"] for r in self.table(version).collect()}
+
+    def store(self, placed: dict[int, int]) -> int:
+        """Writes the next version; one that another writer has just written is an error."""
+        version = max(self.versions(), default=0) + 1
+        rows = [(version, slot, shard) for slot, shard in sorted(placed.items())]
+        self.spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("error").parquet(f"{self.folder}/v{version}")
+        return version
+
+    def edit(self, change) -> int:
+        """Loads the latest version and stores what change makes of it as the next; none where nothing moves."""
+        latest = max(self.versions())
+        before = self.placed(latest)
+        after = change(before)
+        return self.store(after) if after != before else latest
 
 
 def assign(rows: DataFrame, placed: DataFrame) -> DataFrame:
@@ -117,15 +161,22 @@ def assign(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", (F.col("first") + F.col("nth")).cast("long")).drop("first", "nth")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(rows with vslot, shard and slot; the stored map with version 1). Sizes of the shards are near equal."""
+def shard(docs: DataFrame, folder: str | None = None, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = 0.0002) -> tuple[DataFrame, SlotMap, int]:
+    """(rows with vslot, shard and slot; the stored map; its version that gave them).
+
+    folder: where the map lives; it is made there if there is none, else its latest version is edited to these rows. By
+    default a new one in the shared folder, which stays.
+    """
     spark = docs.sparkSession
-    rows = materialise(with_slots(docs, slots), "slotted")
+    stored = SlotMap(spark, folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}")
+    rows = materialise(with_slots(materialise(sized(docs), "sized"), slots), "slotted")
     totals = {r["vslot"]: r["bytes"] for r in slot_totals(rows).collect()}  # at most `slots` rows
-    stored = materialise(slot_map(spark, {1: deal(totals, shards, slots)}).coalesce(1), "slot-map")
-    return assign(rows, stored.where("version = 1")), stored
+    if not stored.versions():
+        stored.store(deal(shards, slots))
+    version = stored.edit(lambda placed: rebalance(placed, totals, tolerance))
+    return assign(rows, stored.table(version)), stored, version
 
 
 def shard_digests(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    rows, _ = shard(docs, shards, slots)
+    rows, _, _ = shard(docs, shards=shards, slots=slots)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
