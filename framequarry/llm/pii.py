@@ -2,7 +2,7 @@
 
 Base entities (email, ip, card, phone) are found by patterns whose quantifiers are possessive, so no text, however
 long, makes them backtrack; matches that fail a check (parts of an address, Luhn, numbers of digits) are dropped.
-Positions come from running sums of the lengths of what lies between matches, in blocks, so a text's cost is about
+Positions are sums of the lengths of what lies between matches, kept for blocks of them, so a text's cost is about
 linear in its matches.
 
 Terms: all words of the texts that hold an entity are its candidate terms. Over the corpus, n(t, e) documents have a
@@ -44,7 +44,7 @@ SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 #: Hash buckets that tell which words matter: the bound of what is broadcast.
 BUCKETS = 1 << 20
-#: Numbers that are summed in a row, and code points of a text that are cut out of one piece.
+#: Matches whose lengths are summed together, and code points of a text that are cut out of one piece.
 BLOCK, PIECE = 64, 4096
 
 #: What stands in a sanitised text for each kind; a removed term leaves nothing.
@@ -58,39 +58,44 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def running(numbers: str, step: str, kind: str = "int") -> str:
-    """Running values of an array of numbers that isn't empty; step: SQL of what a and y, the value so far and the next
-    number, give. Blocks of BLOCK numbers first, so nothing is appended to a long array number by number."""
-    whole = f"aggregate(x, cast(null as {kind}), (a, y) -> {step})"
-    before = f"""aggregate(rb, named_struct('at', cast(null as {kind}), 'out', cast(array() as array<{kind}>)),
-        (s, x) -> named_struct('at', {let("a", "s.at", let("y", whole, step))}, 'out', concat(s.out, array(s.at))), s -> s.out)"""
-    inside = f"""aggregate(x, named_struct('at', get(rs, k), 'out', cast(array() as array<{kind}>)),
-        (s, y) -> {let("v", let("a", "s.at", step), "named_struct('at', v, 'out', concat(s.out, array(v)))")}, s -> s.out)"""
-    blocks = f"transform(sequence(0, (size(rn) - 1) div {BLOCK}), k -> slice(rn, k * {BLOCK} + 1, {BLOCK}))"
-    return let("rn", numbers, let("rb", blocks, let("rs", before, f"flatten(transform(rb, (x, k) -> {inside}))")))
+def in_blocks(size: str, of_block: str) -> str:
+    """What of_block, SQL over k, gives for the blocks of BLOCK elements that `size` elements make (one if there are none)."""
+    return f"transform(sequence(0, ({size} - 1) div {BLOCK}), k -> {of_block})"
 
 
-SUM, MOST = "coalesce(a, 0) + y", "greatest(coalesce(a, y), y)"
+def joined_length(array: str, first: str, count: str) -> str:
+    """Code points of count elements from first on, whatever the array's length."""
+    return f"length(array_join(slice({array}, cast({first} as int) + 1, cast({count} as int)), ''))"
 
 
-def starts_of(matches: str, parts: str) -> str:
-    """Code points before each of the matches, from the parts between them; both are arrays, matches isn't empty."""
-    steps = "transform(lm, (x, i) -> length(get(lp, i)) + if(i > 0, length(get(lm, i - 1)), 0))"
-    return let("lm", matches, let("lp", parts, running(steps, SUM)))
+def block_starts(matches: str, parts: str) -> str:
+    """Code points before each block of matches, from the parts between them; both are arrays."""
+    of_block = joined_length("bp", f"k * {BLOCK}", str(BLOCK)) + " + " + joined_length("bm", f"k * {BLOCK}", str(BLOCK))
+    sums = "aggregate(bl, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    return let("bm", matches, let("bp", parts, let("bl", in_blocks("size(bm)", of_block), sums)))
+
+
+def start_of(i: str, matches: str, parts: str, blocks: str) -> str:
+    """Code points before match i, of which at most a block's matches are looked at."""
+    first = f"({i} - {i} % {BLOCK})"
+    return f"get({blocks}, cast({i} div {BLOCK} as int)) + {joined_length(parts, first, f'{i} % {BLOCK} + 1')} + {joined_length(matches, first, f'{i} % {BLOCK}')}"
 
 
 def located(matches: str, parts: str) -> str:
     """Spans of matches, with their texts."""
-    spans = "transform(lx, (x, i) -> named_struct('start', get(ls, i), 'end', get(ls, i) + length(x), 'text', x))"
-    return let("lx", matches, let("ls", starts_of("lx", parts), spans))
+    span = let("v", start_of("i", "lx", "lp", "lb"), "named_struct('start', v, 'end', v + length(x), 'text', x)")
+    return let("lx", matches, let("lp", parts, let("lb", block_starts("lx", "lp"), f"transform(lx, (x, i) -> {span})")))
 
 
 def merged(spans: str) -> str:
     """Sorted spans (start, end, label), not none, with those that overlap as one, by the label of the first."""
-    reach = running("transform(mx, x -> x.end)", MOST)
+    largest = "named_struct('at', greatest(coalesce(s.at, x), x), 'out', concat(s.out, array(greatest(coalesce(s.at, x), x))))"
+    of_block = f"array_max(slice(me, cast(k * {BLOCK} as int) + 1, {BLOCK}))"
+    reached = f"aggregate({in_blocks('size(me)', of_block)}, named_struct('at', cast(null as int), 'out', cast(array() as array<int>)), (s, x) -> {largest}, s -> s.out)"
+    reach = f"transform(me, (x, i) -> greatest(array_max(slice(me, cast(i - i % {BLOCK} as int) + 1, cast(i % {BLOCK} as int) + 1)), coalesce(get(mb, cast(i div {BLOCK} as int) - 1), 0)))"
     first = "filter(sequence(0, size(mx) - 1), i -> i = 0 or get(mx, i).start >= get(mr, i - 1))"
     whole = "transform(mi, (i, k) -> named_struct('start', get(mx, i).start, 'end', get(mr, coalesce(get(mi, k + 1), size(mx)) - 1), 'label', get(mx, i).label))"
-    return let("mx", spans, let("mr", reach, let("mi", first, whole)))
+    return let("mx", spans, let("me", "transform(mx, x -> x.end)", let("mb", reached, let("mr", reach, let("mi", first, whole)))))
 
 
 def cut(start: str, end: str) -> str:
@@ -183,10 +188,13 @@ def term_places(texts: DataFrame, strong: DataFrame) -> DataFrame:
     # What stands outside base spans, at its own places.
     bare = spans.select("key", F.expr(f"if(size(own) > 0, {blank}, t)").alias("t"))
     words = bare.select("key", F.regexp_extract_all("t", F.lit(TERM), 0).alias("m"), F.split("t", TERM).alias("p"))
-    places = let("wm", "m", let("ws", starts_of("wm", "p"), "transform(wm, (x, i) -> named_struct('term', lower(x), 'start', get(ws, i), 'end', get(ws, i) + length(x)))"))
-    # The outer form, as for the other one the planner adds a filter that computes the whole array once more.
-    spread = words.select("key", F.explode_outer(F.expr(places)).alias("w")).select("key", "w.term", "w.start", "w.end")
-    hits = maybe(spread, strong).join(strong.select("term", action.alias("action")), "term")
+    words = words.withColumn("b", F.expr(block_starts("m", "p")))
+    # The outer form, as for the other one the planner adds a filter that computes the whole array once more. Only words
+    # that may disclose something are located; arrays are looked at where they stand, not copied for each word.
+    spread = words.select("key", "m", "p", "b", F.posexplode_outer("m").alias("i", "word")).withColumn("term", F.lower("word"))
+    some = maybe(spread, strong).withColumn("start", F.expr(start_of("i", "m", "p", "b")))
+    some = some.select("key", "term", "start", (F.col("start") + F.length("word")).alias("end"))
+    hits = some.join(strong.select("term", action.alias("action")), "term")
     return hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
 
 
