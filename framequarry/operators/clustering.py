@@ -1,8 +1,10 @@
 """Density clustering of embeddings per video, as relations or per group in numpy.
 
-The relational form is a self-join inside each video, a count, and connected components over core points; it spreads a
-large video over the cluster. The grouped form runs one video in one task and is exact for the same definition; it
-computes distances in blocks, so memory stays linear in the video's detections.
+The relational form finds neighbours block by block, counts them, and takes connected components over core points. A
+video's points are dealt to blocks of bounded size by hash, and each two blocks meet in one group, so a video that holds
+a third of all rows spreads over the cluster, and only pairs within the radius leave a group. The grouped form runs one
+video in one task and is exact for the same definition; it computes distances in blocks, so memory stays linear in the
+video's detections.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from framequarry.operators.components import connected_components
 from framequarry.runtime import checkpointed
 
 EPS, MIN_SAMPLES = 0.65, 3
+#: Points of one video, on average, that a block holds; two blocks meet in a task.
+BLOCK = 1024
 
 
 def normalised(vector: Column) -> Column:
@@ -24,21 +28,41 @@ def normalised(vector: Column) -> Column:
     return F.transform(wide, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine_floor(eps: float) -> float:
     """Unit vectors lie within eps of each other exactly from this inner product on."""
     return 1 - eps * eps / 2
 
 
-def neighbours(points: DataFrame, eps: float = EPS) -> DataFrame:
-    """Pairs (video_id, a, b) within eps, each point with itself; points: video_id, det_ord, embedding."""
-    unit = points.select("video_id", "det_ord", normalised(F.col("embedding")).alias("unit"))
-    left = unit.select("video_id", F.col("det_ord").alias("a"), F.col("unit").alias("unit_a"))
-    right = unit.select("video_id", F.col("det_ord").alias("b"), F.col("unit").alias("unit_b"))
-    return left.join(right, "video_id").where((F.col("a") == F.col("b")) | (dot("unit_a", "unit_b") >= cosine_floor(eps))).select("video_id", "a", "b")
+def neighbours(points: DataFrame, eps: float = EPS, block: int = BLOCK) -> DataFrame:
+    """Pairs (video_id, a, b) within eps, each point with itself; points: video_id, det_ord, embedding.
+
+    Exact: every two blocks of a video meet. The cost grows with the square of a video's points, as any exact search
+    in many dimensions, but in independent groups of two blocks.
+    """
+    floor = cosine_floor(eps)
+
+    def near(key, got):
+        low, high = key[-2].as_py(), key[-1].as_py()
+        ordinal, mine = got["det_ord"].to_numpy(), got["mine"].to_numpy()
+        unit = np.array(got["unit"].to_pylist(), np.float64).reshape(got.num_rows, -1)
+        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        close = unit[left] @ unit[right].T >= floor
+        if low == high:
+            np.fill_diagonal(close, True)
+        i, j = np.nonzero(close)
+        a, b = ordinal[left[i]], ordinal[right[j]]
+        if low != high:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        video = pa.array([key[0].as_py()] * len(a), got["video_id"].type)
+        return pa.table([video, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["video_id", "a", "b"])
+
+    unit = points.select("video_id", F.col("det_ord").cast("long").alias("det_ord"), normalised(F.col("embedding")).alias("unit"))
+    sizes = points.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = unit.join(sizes, "video_id").withColumn("mine", F.pmod(F.xxhash64("det_ord"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("video_id", "det_ord", "unit", "mine", other).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    kind = points.schema["video_id"].dataType.simpleString()
+    return met.drop("other").groupBy("video_id", "low", "high").applyInArrow(near, f"video_id {kind}, a long, b long")
 
 
 def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:

@@ -35,13 +35,14 @@ def with_job(rows: DataFrame, date: Column | None = None, job_id: Column | None
 
 
 def talent_frames(best: DataFrame, jobs: DataFrame, profile: Profile, url_base: str = "") -> DataFrame:
-    """One row per person of a video: person_id, file, key, URL, name, spoken text, time and score, and target size."""
+    """One row per person of a video: person_id, frame, file, key, URL, name, spoken text, time and score, and target size."""
     rows = best.join(jobs.select("video_id", "base_path", "width", "height"), "video_id")
     filename = F.concat(F.lit("person_"), F.col("person_id").cast("string"), F.lit(".jpg"))
     key = object_key(F.col("base_path"), F.lit("talent"), filename)
     score = F.col("score").cast("double")
     return rows.select(
         "video_id",
+        "frame_idx",
         "person_id",
         filename.alias("filename"),
         key.alias("s3_key"),
@@ -69,7 +70,7 @@ def listed(rows: DataFrame, order: str, name: str, drop: list[str] | None = None
 
 def payloads(jobs: DataFrame, talent: DataFrame, frames: DataFrame | None, profile: Profile) -> DataFrame:
     """One nested row per video; jobs has what the video, its captions and the run are known by."""
-    rows = jobs.join(listed(talent, "person_id", "talent_frames"), "video_id", "left")
+    rows = jobs.join(listed(talent, "person_id", "talent_frames", ["frame_idx"]), "video_id", "left")
     empty = F.array().cast(rows.schema["talent_frames"].dataType)
     rows = rows.withColumn("talent_frames", F.coalesce("talent_frames", empty))
     columns = ["video_id", F.lit("success").alias("status")]

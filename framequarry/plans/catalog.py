@@ -21,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FPS = 25.0
 ROI_MARGIN = 3600.0
+#: The synthetic vectors lie about 1.4 apart, the nearest from 1.0 on; these radii give several clusters and noise.
+VECTOR_EPS, SPARSE_EPS = 1.15, 1.2
 
 
 # Logical inputs ------------------------------------------------------------------------------------------------------
@@ -50,8 +52,8 @@ def roi_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int, parts: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % parts).alias("video_id"), F.col("vec_id").alias("det_ord"), F.slice("embedding", 1, dims).alias("embedding"), ((F.col("vec_id") * 37 % 101) / F.lit(100.0)).alias("score"))
+def points(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % parts).alias("video_id"), F.col("vec_id").alias("det_ord"), "embedding", ((F.col("vec_id") * 37 % 101) / F.lit(100.0)).alias("score"))
 
 
 # Sampling ------------------------------------------------------------------------------------------------------------
@@ -169,40 +171,43 @@ SELECTION_SQL = {
 # Clusters and people -------------------------------------------------------------------------------------------------
 
 
-def cluster_sql(dims: int, parts: int) -> str:
-    """Common table expressions down to `labels`: video_id, det_ord, label."""
-    return f"""RECURSIVE
-    raw AS (SELECT vec_id % {parts} AS video_id, vec_id AS det_ord, CAST(embedding[1:{dims}] AS DOUBLE[]) AS e, (vec_id * 37 % 101) / 100.0::DOUBLE AS score FROM embeddings),
+def cluster_sql(raw: str, eps: float) -> str:
+    """Common table expressions from raw (video_id, det_ord, e, score) down to `labels`: video_id, det_ord, label."""
+    return f"""{raw},
     unit AS (SELECT video_id, det_ord, score, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM raw),
-    nb AS (SELECT a.video_id, a.det_ord AS a, b.det_ord AS b FROM unit a JOIN unit b ON a.video_id = b.video_id AND (a.det_ord = b.det_ord OR list_inner_product(a.u, b.u) >= {clustering.cosine_floor(clustering.EPS)!r}::DOUBLE)),
+    nb AS (SELECT a.video_id, a.det_ord AS a, b.det_ord AS b FROM unit a JOIN unit b ON a.video_id = b.video_id AND (a.det_ord = b.det_ord OR list_inner_product(a.u, b.u) >= {clustering.cosine_floor(eps)!r}::DOUBLE)),
     core AS (SELECT video_id, a AS c FROM nb GROUP BY ALL HAVING count(*) >= 3),
     ce AS (SELECT nb.video_id, a, b FROM nb JOIN core x ON nb.video_id = x.video_id AND a = x.c JOIN core y ON nb.video_id = y.video_id AND b = y.c),
     reach(video_id, c, l) AS (SELECT video_id, c, c FROM core UNION SELECT ce.video_id, ce.b, r.l FROM reach r JOIN ce ON r.video_id = ce.video_id AND r.c = ce.a WHERE r.l < ce.b),
     comp AS (SELECT video_id, c, min(l) AS l FROM reach GROUP BY ALL),
     num AS (SELECT video_id, c, dense_rank() OVER (PARTITION BY video_id ORDER BY l) - 1 AS label FROM comp),
     got AS (SELECT nb.video_id, nb.a AS det_ord, min(label) AS label FROM nb JOIN num ON nb.video_id = num.video_id AND nb.b = num.c GROUP BY ALL),
-    labels AS (SELECT raw.video_id, raw.det_ord, CAST(coalesce(label, -1) AS INTEGER) AS label, score FROM raw LEFT JOIN got USING (video_id, det_ord))"""
+    labels AS (SELECT raw.*, CAST(coalesce(label, -1) AS INTEGER) AS label FROM raw LEFT JOIN got USING (video_id, det_ord))"""
 
 
-def best_people(spark: SparkSession, sf_dir: str, dims: int = 8, parts: int = 1) -> DataFrame:
-    rows = points(spark, sf_dir, dims, parts)
-    return selection.best_per_person(rows, clustering.clusters(rows)).select("video_id", "person_id", "det_ord", "score")
+def raw_vectors(parts: int) -> str:
+    return f"RECURSIVE raw AS (SELECT vec_id % {parts} AS video_id, vec_id AS det_ord, CAST(embedding AS DOUBLE[]) AS e, (vec_id * 37 % 101) / 100.0::DOUBLE AS score FROM embeddings)"
+
+
+def best_people(spark: SparkSession, sf_dir: str, parts: int = 1, eps: float = VECTOR_EPS) -> DataFrame:
+    rows = points(spark, sf_dir, parts)
+    return selection.best_per_person(rows, clustering.clusters(rows, eps)).select("video_id", "person_id", "det_ord", "score")
 
 
 def best_person_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best frame of each person with the line being spoken, named."""
-    best = best_people(spark, sf_dir, 6, 5).withColumn("ts", (F.col("det_ord") % 90) / F.lit(2.0))
+    best = best_people(spark, sf_dir, 5, SPARSE_EPS).withColumn("ts", (F.col("det_ord") % 90) / F.lit(2.0))
     found = context.with_context(best, captions(spark, sf_dir), ["video_id", "person_id"])
     return found.select("video_id", "person_id", "det_ord", "score", "ts", scalars.person_name(F.col("speaker"), F.col("person_id")).alias("name"), "context_text")
 
 
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.clusters(points(spark, sf_dir, 8, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    return clustering.clusters(points(spark, sf_dir, 1), VECTOR_EPS).groupBy("label").agg(F.count(F.lit(1)).alias("members"))
 
 
 PEOPLE: dict[str, Query] = {
-    "face_clusters": lambda s, d: clustering.clusters(points(s, d, 8, 1)),
-    "face_clusters_grouped": lambda s, d: clustering.clusters_grouped(points(s, d, 6, 5)),
+    "face_clusters": lambda s, d: clustering.clusters(points(s, d, 1), VECTOR_EPS),
+    "face_clusters_grouped": lambda s, d: clustering.clusters_grouped(points(s, d, 5), SPARSE_EPS),
     "cluster_sizes": cluster_sizes,
     "best_per_person": best_people,
     "best_person_lines": best_person_lines,
@@ -261,11 +266,11 @@ CAPTIONS: dict[str, Query] = {
 }
 
 PEOPLE_SQL = {
-    "face_clusters": f"WITH {cluster_sql(8, 1)} SELECT video_id, det_ord, label FROM labels",
-    "face_clusters_grouped": f"WITH {cluster_sql(6, 5)} SELECT video_id, det_ord, label FROM labels",
-    "cluster_sizes": f"WITH {cluster_sql(8, 1)} SELECT label, count(*) AS members FROM labels GROUP BY label",
-    "best_per_person": f"WITH {cluster_sql(8, 1)} SELECT video_id, label AS person_id, det_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY score DESC, det_ord) AS n FROM labels WHERE label <> -1) WHERE n = 1",
-    "best_person_lines": f"""WITH {cluster_sql(6, 5)}, {_CAPTIONS.replace("    raw AS", "    line_raw AS").replace("FROM raw)", "FROM line_raw)")},
+    "face_clusters": f"WITH {cluster_sql(raw_vectors(1), VECTOR_EPS)} SELECT video_id, det_ord, label FROM labels",
+    "face_clusters_grouped": f"WITH {cluster_sql(raw_vectors(5), SPARSE_EPS)} SELECT video_id, det_ord, label FROM labels",
+    "cluster_sizes": f"WITH {cluster_sql(raw_vectors(1), VECTOR_EPS)} SELECT label, count(*) AS members FROM labels GROUP BY label",
+    "best_per_person": f"WITH {cluster_sql(raw_vectors(1), VECTOR_EPS)} SELECT video_id, label AS person_id, det_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY score DESC, det_ord) AS n FROM labels WHERE label <> -1) WHERE n = 1",
+    "best_person_lines": f"""WITH {cluster_sql(raw_vectors(5), SPARSE_EPS)}, {_CAPTIONS.replace("    raw AS", "    line_raw AS").replace("FROM raw)", "FROM line_raw)")},
         {context_sql("m AS (SELECT video_id, label AS person_id, det_ord, score, (det_ord % 90) / 2.0::DOUBLE AS ts FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY score DESC, det_ord) AS n FROM labels WHERE label <> -1) WHERE n = 1)", "video_id, person_id")}
         SELECT m.video_id, m.person_id, det_ord, score, ts, coalesce(nullif(speaker, ''), 'Person ' || CAST(m.person_id AS VARCHAR)) AS name, text AS context_text
         FROM m LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON m.video_id = h.video_id AND m.person_id = h.person_id""",
@@ -311,6 +316,14 @@ def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.concat(F.lit("https://h.example.test/o"), F.col("l_orderkey").cast("string"), F.lit("/media.m3u8")).alias("playlist_url")).agg(F.concat(F.lit("#EXTM3U\n#EXT-X-TARGETDURATION:4\n"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "\n"), F.lit("\n#EXT-X-ENDLIST\n")).alias("text"))
 
 
+def diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the diagnostics of master and media playlists, the variants shown as text."""
+    both = playlists(spark, sf_dir).unionByName(media_playlists(spark, sf_dir))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    shown = F.transform("variant_details", lambda v: F.concat_ws("|", text(v["bandwidth"]), text(v["resolution"]), v["url"]))
+    return playlist.diagnostics(both).select("playlist_url", "playlist_size", "is_variant_playlist", "variant_count", "segment_count", F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("variants"), "first_variant_url", "first_segment_url")
+
+
 def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", F.length(url).alias("url_length"), F.endswith(url, F.lit(".html")).alias("is_html"), F.contains(url, F.lit("?")).alias("has_query"), F.startswith(url, F.lit("https:")).alias("is_secure"), scalars.swap_suffix(url, ".html", ".mp4").alias("as_video"), F.left(url, F.lit(20)).alias("head"), scalars.masked(url).alias("masked"))
@@ -343,15 +356,57 @@ def labels_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", "quality", "toxic", F.col("quality").isNotNull().alias("labelled"))
 
 
+CLIP_FRAMES = 10_000
+
+
 def analysis(spark: SparkSession, sf_dir: str, profile: str = "canonical") -> DataFrame:
-    """The whole plan over five videos of embeddings, its payload flattened to scalars."""
-    detections = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("video_id"), F.col("vec_id").alias("det_ord"), (F.floor(F.col("vec_id") / 5) % 40 * 25).alias("frame_idx"), F.slice("embedding", 1, 6).alias("embedding"), (0.5 + (F.col("vec_id") * 37 % 101) / F.lit(202.0)).cast("float").alias("det_score"), F.struct(F.lit(10.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(110.0).alias("x2"), F.lit(90.0).alias("y2")).alias("bbox"), F.struct(F.lit(5.0).alias("yaw"), F.lit(2.0).alias("pitch"), F.lit(4.0).alias("roll")).alias("pose"))
-    clips = spark.range(5).select(F.col("id").cast("string").alias("video_id"), F.lit(FPS).alias("fps"), F.lit(1000).cast("long").alias("total_frames"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    """The whole plan over five clips of 400 seconds that hold the embeddings, a row per person, or per clip without any."""
+    frame = (F.floor(F.col("vec_id") / 5) * 8 % 400 * 25).alias("frame_idx")
+    detections = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("video_id"), F.col("vec_id").alias("det_ord"), frame, "embedding", (0.5 + (F.col("vec_id") * 37 % 101) / F.lit(202.0)).cast("float").alias("det_score"), F.struct(F.lit(10.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(110.0).alias("x2"), F.lit(90.0).alias("y2")).alias("bbox"), F.struct(F.lit(5.0).alias("yaw"), F.lit(2.0).alias("pitch"), F.lit(4.0).alias("roll")).alias("pose"))
+    clips = spark.range(5).select(F.col("id").cast("string").alias("video_id"), F.lit(FPS).alias("fps"), F.lit(CLIP_FRAMES).cast("long").alias("total_frames"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
     asked = spark.range(5).select(F.col("id").cast("string").alias("request_id"), F.lit("https://video.example.test/a.mp4").alias("video_url"), F.lit("https://video.example.test/a.vtt").alias("transcript_url"), *(F.lit("x").alias(c) for c in requests.REQUIRED), F.lit("t.vtt").alias("transcript_key"), F.create_map().cast("map<string,string>").alias("metadata"), F.create_map().cast("map<string,string>").alias("custom_metadata"), F.lit(None).cast(requests.LISTING).alias("listing"))
     said = captions(spark, sf_dir).withColumn("video_id", F.col("video_id").cast("string"))
-    plugins = pipeline.Plugins(videos=clips, detections=detections, captions=said, date=F.lit("2026-01-01"), job_id=F.concat(F.lit("job"), "video_id"), elapsed=F.lit(12.5))
+    plugins = pipeline.Plugins(videos=clips, detections=detections, captions=said, date=F.lit("2026-01-01"), job_id=F.concat(F.lit("job"), "video_id"), elapsed=F.lit(12.5), eps=SPARSE_EPS)
     rows, _ = pipeline.run(asked, plugins, PROFILES[profile])
-    return rows.select("video_id", "status", "talent_count", F.col("processing_metrics.estimated_cost_usd").alias("cost"), F.to_json("talent_frames", {"ignoreNullFields": "false"}).alias("talent"))
+    known = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c)
+    frames = F.array_join(F.transform("representative_frames", lambda f: F.concat(f["filename"], F.lit("@"), f["frame_index"].cast("string"))), ",") if "representative_frames" in rows.columns else F.lit("")
+    flat = rows.select("video_id", "status", "talent_count", F.col("processing_metrics.estimated_cost_usd").alias("cost"), F.col("video_metadata.resolution").alias("video_resolution"), known("transcription", "string"), frames.alias("frames"), F.explode_outer("talent_frames").alias("t"))
+    return flat.select("video_id", "status", "talent_count", "cost", "video_resolution", "transcription", "frames", "t.person_id", "t.s3_key", "t.name", "t.context_text", "t.timestamp", F.round("t.score", 6).alias("score"), F.col("t.resolution").alias("frame_resolution"))
+
+
+def analysis_sql(profile: str) -> str:
+    """The same rows: frames looked at, confident detections, clusters, winners, their lines, and the payload's fields."""
+    p = PROFILES[profile]
+    looked = f"looked AS (SELECT CAST(v AS VARCHAR) AS video_id, f AS frame_idx FROM range(5) a(v), range(0, {CLIP_FRAMES}, 25) b(f))"
+    if p.two_pass_from is not None:
+        looked = f"""hit AS (SELECT DISTINCT video_id, frame_idx / 25.0::DOUBLE AS ts FROM seen WHERE frame_idx % 125 = 0),
+    q AS (SELECT *, greatest(0, ts - {sampling.MARGIN}) AS s, ts + {sampling.MARGIN} AS e FROM hit),
+    m0 AS (SELECT *, max(e) OVER (PARTITION BY video_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
+    o AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS range_no FROM m0),
+    r AS (SELECT video_id, range_no, min(s) AS start, max(e) AS "end" FROM o GROUP BY ALL),
+    l AS (SELECT video_id, greatest({sampling.REFINE_LEAST}, CAST(trunc(sum("end" - start) * 25 / {sampling.REFINE_CHECKS}) AS BIGINT)) AS step FROM r GROUP BY video_id),
+    looked AS (SELECT DISTINCT video_id, frame_idx FROM (SELECT video_id, unnest(range(CAST(start * 25 AS BIGINT), CAST("end" * 25 AS BIGINT) + 1, step)) AS frame_idx FROM r JOIN l USING (video_id)) WHERE frame_idx < {CLIP_FRAMES})"""
+    score = "CAST(s AS DOUBLE) * 40 + greatest(0.0::DOUBLE, 100.0::DOUBLE - (5 * 1.2::DOUBLE + 2 + 4 * 0.5::DOUBLE)) * 0.4::DOUBLE + 8000.0::DOUBLE / (1280.0::DOUBLE * 720) * 20" if p.composite_score else "CAST(s AS DOUBLE)"
+    raw = f"""RECURSIVE seen AS (SELECT CAST(vec_id % 5 AS VARCHAR) AS video_id, vec_id AS det_ord, vec_id // 5 * 8 % 400 * 25 AS frame_idx, embedding, CAST(0.5::DOUBLE + (vec_id * 37 % 101) / 202.0::DOUBLE AS FLOAT) AS s FROM embeddings),
+    {looked},
+    raw AS (SELECT video_id, det_ord, frame_idx, CAST(embedding AS DOUBLE[]) AS e, {score} AS score FROM seen SEMI JOIN looked USING (video_id, frame_idx) WHERE CAST(s AS DOUBLE) {">=" if p.inclusive else ">"} {p.threshold}::DOUBLE)"""
+    said = _CAPTIONS.replace("    raw AS", "    line_raw AS").replace("FROM raw)", "FROM line_raw)").replace("SELECT conv_id AS video_id", "SELECT CAST(conv_id AS VARCHAR) AS video_id")
+    moments_cte = "m AS (SELECT video_id, label AS person_id, score, frame_idx / 25.0::DOUBLE AS ts FROM (SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY score DESC, det_ord) AS n FROM labels WHERE label <> -1) WHERE n = 1)"
+    spoken = "coalesce(nullif(speaker, ''), 'Person ' || CAST(m.person_id AS VARCHAR))" if p.transcript else "'Person ' || CAST(m.person_id AS VARCHAR)"
+    base = "'extracted-frames/2026-01-01/job' || m.video_id" if p.key_prefix == "dated" else "'x/x/x/extraction-talent-frames'"
+    told = "coalesce(transcription, '')" if p.key_prefix == "dated" else "CAST(NULL AS VARCHAR)"
+    picks = f"list_sort(list_distinct(list_concat([0, 29, {CLIP_FRAMES} - 31, {CLIP_FRAMES} - 2], list_transform(range(1, 9), lambda k: CAST(trunc(30.0::DOUBLE + k * (CAST({CLIP_FRAMES} - 61 AS DOUBLE) / 9)) AS BIGINT)))))[1:10]"
+    frames = f"(SELECT string_agg('frame_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') || '.jpg@' || ({picks})[i], ',' ORDER BY i) FROM range(1, 11) t(i))" if p.representative_frames else "''"
+    return f"""WITH {cluster_sql(raw, SPARSE_EPS)}, {said},
+    {context_sql(moments_cte, "video_id, person_id").replace("hit AS", "line AS")},
+    w AS (SELECT video_id, string_agg('[' || CAST(CAST(start AS INTEGER) AS VARCHAR) || '.0s] ' || coalesce(nullif(speaker, '') || ': ', '') || text, ' ' ORDER BY ordinal) AS s FROM cap WHERE text <> '' GROUP BY video_id),
+    t AS (SELECT video_id, CASE WHEN length(s) > 1000 THEN substr(s, 1, 997) || '...' ELSE s END AS transcription FROM w),
+    people AS (SELECT m.video_id, m.person_id, {base} || '/talent/person_' || m.person_id || '.jpg' AS s3_key, {spoken} AS name, {"text" if p.transcript else "CAST(NULL AS VARCHAR)"} AS context_text, round(ts, 2) AS timestamp, round({"round(score, 2)" if p.round_scores else "score"}, 6) AS score
+        FROM m LEFT JOIN (SELECT * FROM line WHERE n = 1) h ON m.video_id = h.video_id AND m.person_id = h.person_id),
+    clips AS (SELECT CAST(v AS VARCHAR) AS video_id FROM range(5) a(v))
+SELECT clips.video_id, 'success' AS status, CAST(count(person_id) OVER (PARTITION BY clips.video_id) AS INTEGER) AS talent_count, round(12.5::DOUBLE * {p.price_per_second}::DOUBLE, 4) AS cost, '1280x720' AS video_resolution, {told} AS transcription, {frames} AS frames,
+    person_id, s3_key, name, context_text, timestamp, score, CASE WHEN person_id IS NOT NULL THEN '1920x1080' END AS frame_resolution
+FROM clips LEFT JOIN people ON clips.video_id = people.video_id LEFT JOIN t ON clips.video_id = t.video_id"""
 
 
 REQUESTS: dict[str, Query] = {
@@ -360,7 +415,7 @@ REQUESTS: dict[str, Query] = {
     "source_choice": source_choice,
     "variant_choice": lambda s, d: playlist.best_variants(playlist.variants(playlists(s, d))).select("playlist_url", "uri", "bandwidth", "width", "height", "url"),
     "segment_list": lambda s, d: playlist.segment_urls(playlist.segments(media_playlists(s, d))),
-    "playlist_diagnostics": lambda s, d: playlist.diagnostics(playlists(s, d)).select("playlist_url", "is_variant_playlist", "variant_count", "segment_count", F.size("variant_details").alias("shown"), "first_variant_url"),
+    "playlist_diagnostics": diagnosed,
     "url_features": url_features,
     "url_joins": url_joins,
     "metadata_merge": metadata_merge,
@@ -385,7 +440,14 @@ REQUESTS_SQL = {
     "variant_choice": f"""SELECT {_BRAND_URL} || '/master.m3u8' AS playlist_url, 'v' || p_partkey || '.m3u8' AS uri, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size * 1000 AS BIGINT) END AS bandwidth, CAST(p_size * 16 AS INTEGER) AS width, CAST(p_size * 9 AS INTEGER) AS height, {_BRAND_URL} || '/v' || p_partkey || '.m3u8' AS url
         FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size END DESC, p_partkey) AS n FROM part) WHERE n = 1""",
     "segment_list": "SELECT 'https://h.example.test/o' || l_orderkey || '/media.m3u8' AS playlist_url, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'seg' || l_partkey) - 1 AS INTEGER) AS pos, 'seg' || l_partkey || '.ts' AS uri, 'https://h.example.test/o' || l_orderkey || '/seg' || l_partkey || '.ts' AS url FROM lineitem",
-    "playlist_diagnostics": f"SELECT {_BRAND_URL} || '/master.m3u8' AS playlist_url, true AS is_variant_playlist, count(*) AS variant_count, CAST(0 AS BIGINT) AS segment_count, CAST(least(3, count(*)) AS INTEGER) AS shown, {_BRAND_URL} || '/v' || min(p_partkey) || '.m3u8' AS first_variant_url FROM part GROUP BY p_brand",
+    "playlist_diagnostics": f"""WITH v AS (SELECT {_BRAND_URL} AS base, p_partkey, 'v' || p_partkey || '.m3u8' AS uri, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n,
+            length('#EXT-X-STREAM-INF:' || CASE WHEN p_size % 7 = 0 THEN 'PROGRAM-ID=1' ELSE 'BANDWIDTH=' || p_size * 1000 END || ',RESOLUTION=' || p_size * 16 || 'x' || p_size * 9) + 1 + length('v' || p_partkey || '.m3u8') AS size FROM part),
+        seg AS (SELECT 'https://h.example.test/o' || l_orderkey AS base, 'seg' || l_partkey || '.ts' AS uri, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'seg' || l_partkey) AS n FROM lineitem)
+        SELECT base || '/master.m3u8' AS playlist_url, CAST(8 + sum(size) + count(*) - 1 AS INTEGER) AS playlist_size, true AS is_variant_playlist, count(*) AS variant_count, CAST(0 AS BIGINT) AS segment_count,
+            string_agg(CASE WHEN p_size % 7 = 0 THEN '-' ELSE CAST(p_size * 1000 AS VARCHAR) END || '|' || p_size * 16 || 'x' || p_size * 9 || '|' || base || '/' || uri, ';' ORDER BY n) FILTER (WHERE n <= 3) AS variants,
+            base || '/' || min(CASE WHEN n = 1 THEN uri END) AS first_variant_url, CAST(NULL AS VARCHAR) AS first_segment_url FROM v GROUP BY base
+        UNION ALL
+        SELECT base || '/media.m3u8', CAST(32 + sum(length(uri) + 13) + count(*) - 1 + 16 AS INTEGER), false, CAST(0 AS BIGINT), count(*), '', NULL, base || '/' || min(CASE WHEN n = 1 THEN uri END) FROM seg GROUP BY base""",
     "url_features": "SELECT page_id, CAST(length(url) AS INTEGER) AS url_length, ends_with(url, '.html') AS is_html, contains(url, '?') AS has_query, starts_with(url, 'https:') AS is_secure, replace(url, '.html', '.mp4') AS as_video, left(url, 20) AS head, '...' || right(url, 4) AS masked FROM pages",
     "url_joins": "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') || '/seg' || page_id || '.ts' AS joined FROM pages",
     "metadata_merge": "SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k, CAST(2 AS INTEGER) AS entries, event_type AS title FROM events",
@@ -395,6 +457,9 @@ REQUESTS_SQL = {
 }
 
 
+REQUESTS_SQL |= {f"analysis_{name}": analysis_sql(name) for name in PROFILES}
+
+
 def queries() -> dict[str, Query]:
     return {**SAMPLING, **SELECTION, **PEOPLE, **CAPTIONS, **REQUESTS}
 

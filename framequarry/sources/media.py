@@ -7,7 +7,7 @@ an error, never an exception that loses the batch. Table-backed fakes stand in f
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -49,6 +49,65 @@ class Encoder(Protocol):
         """A frame, resized and encoded as JPEG; raises EOFError where it can't be read."""
 
 
+def tool_output(tool: str, arguments: list[str], timeout: float) -> bytes:
+    """What a command-line tool writes; raises where it is absent, fails, or takes too long."""
+    import shutil
+    import subprocess
+
+    found = shutil.which(tool)
+    if found is None:
+        raise RuntimeError(f"{tool} is not installed on this executor")
+    ended = subprocess.run([found, *arguments], capture_output=True, timeout=timeout, check=False)
+    if ended.returncode:
+        raise RuntimeError(ended.stderr.decode("utf-8", "replace")[-500:] or f"{tool} ended with {ended.returncode}")
+    return ended.stdout
+
+
+class FfmpegRemuxer:
+    """Streams to MP4 files by the ffmpeg tool."""
+
+    def __init__(self, timeout: float = 1800.0):
+        self.timeout = timeout
+
+    def remux(self, source: str, target: str, copy: bool) -> None:
+        codec = ["-c", "copy", "-bsf:a", "aac_adtstoasc"] if copy else ["-c:v", "libx264", "-c:a", "aac"]
+        tool_output("ffmpeg", ["-y", "-loglevel", "error", "-i", source, *codec, "-movflags", "+faststart", target], self.timeout)
+
+
+class FfprobeProber:
+    """Container metadata by the ffprobe tool."""
+
+    def __init__(self, timeout: float = 60.0):
+        self.timeout = timeout
+
+    def probe(self, path: str) -> dict[str, Any]:
+        import json
+
+        told = json.loads(tool_output("ffprobe", ["-v", "error", "-select_streams", "v:0", "-show_entries", "stream=width,height,avg_frame_rate,nb_frames,duration:format=duration", "-of", "json", path], self.timeout))
+        if not told.get("streams"):
+            raise ValueError("no video stream")
+        stream = told["streams"][0]
+        above, _, below = stream["avg_frame_rate"].partition("/")
+        fps = float(above) / float(below or 1) if float(below or 1) else 0.0
+        seconds = float(stream.get("duration") or told.get("format", {}).get("duration") or 0)
+        frames = stream.get("nb_frames")
+        return {"fps": fps, "total_frames": int(frames) if frames and frames.isdigit() else int(seconds * fps), "width": int(stream["width"]), "height": int(stream["height"])}
+
+
+class FfmpegEncoder:
+    """Frames as JPEG by the ffmpeg tool; locate: gives a video's path or URL by its id."""
+
+    def __init__(self, locate: Callable[[str], str], timeout: float = 300.0):
+        self.locate, self.timeout = locate, timeout
+
+    def encode(self, video_id: str, frame_idx: int, width: int, height: int) -> bytes:
+        picked = f"select=eq(n\\,{frame_idx}),scale={width}:{height}"
+        frame = tool_output("ffmpeg", ["-loglevel", "error", "-i", self.locate(video_id), "-vf", picked, "-frames:v", "1", "-q:v", "2", "-f", "image2pipe", "-vcodec", "mjpeg", "-"], self.timeout)
+        if not frame:
+            raise EOFError
+        return frame
+
+
 class HttpFetcher:
     """Plain HTTP; statuses from 400 on are failures."""
 

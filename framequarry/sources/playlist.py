@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from framequarry.functions.scalars import is_transport_stream, url_join
@@ -53,16 +57,59 @@ def fetch_segments(found: DataFrame, fetcher: Fetcher) -> DataFrame:
 def assembled(parts: DataFrame) -> DataFrame:
     """Fetched segments joined in order, one row per playlist; error where none was fetched or all are empty.
 
-    For short videos only: a row holds the whole file.
+    For short videos only: a row holds the whole file. `write_streams` holds one segment at a time.
     """
     good = F.collect_list(F.when(F.col("ok"), F.struct("pos", "content")))
     whole = parts.groupBy("playlist_url").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("ok").cast("int")).alias("fetched"), F.array_sort(good).alias("p"))
-    content = F.aggregate(F.transform("p", lambda x: x["content"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    content = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), ""))  # one pass, where appending binaries would copy what is there each time
     whole = whole.withColumn("content", content)
     error = F.when(F.col("fetched") == 0, "Failed to download any segments").when(F.octet_length("content") == 0, "assembled file is empty")
     return whole.select("playlist_url", "segments", "fetched", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"), is_transport_stream(F.col("content")).alias("is_ts"))
 
 
+def write_streams(found: DataFrame, fetcher: Fetcher, opened: Callable[[str], Any]) -> DataFrame:
+    """(playlist_url, segments, fetched, bytes, error): segments fetched and written in order, one in memory at a time.
+
+    found: playlist_url, pos and url. opened: gives a writable file for a playlist; a task that is run again opens it
+    anew, so it must replace what is there. A segment that can't be fetched is skipped.
+    """
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+    names = ["playlist_url", "segments", "fetched", "bytes", "error"]
+
+    def closed(name, target, segments, fetched, size, error):
+        if target is not None:
+            target.close()
+        error = error or ("Failed to download any segments" if not fetched else "assembled file is empty" if not size else None)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((name, segments, fetched, size, error), kinds)], names=names)
+
+    def run(batches):
+        name, state = None, None
+        for batch in batches:
+            for playlist, url in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if playlist != name:
+                    if name is not None:
+                        yield closed(name, *state)
+                    name, state = playlist, [None, 0, 0, 0, None]
+                state[1] += 1
+                try:
+                    status, content = fetcher.fetch(url)
+                    if status >= 400:
+                        continue
+                except Exception:
+                    continue
+                try:
+                    state[0] = state[0] or opened(playlist)
+                    state[0].write(content)
+                    state[2], state[3] = state[2] + 1, state[3] + len(content)
+                except Exception as failure:
+                    state[4] = str(failure)
+        if name is not None:
+            yield closed(name, *state)
+
+    rows = found.select("playlist_url", "pos", "url")
+    return rows.repartition("playlist_url").sortWithinPartitions("playlist_url", "pos").mapInArrow(run, "playlist_url string, segments int, fetched int, bytes long, error string")
+
+
 def diagnostics(playlists: DataFrame) -> DataFrame:
     """One row per playlist: its kind, counts, the first three variants, and the URL to try next."""
     base = playlists.select("playlist_url", F.length("text").alias("playlist_size"))

@@ -36,9 +36,16 @@ def spoken(rows: DataFrame, line: str) -> DataFrame:
 
 
 def transcripts(captions: DataFrame) -> DataFrame:
-    """One text per video: "[12.0s] Speaker: words", captions without text left out, shortened to a thousand characters."""
+    """One text per video: "[12.0s] Speaker: words", captions without text left out, shortened to a thousand characters.
+
+    Captions that begin beyond a thousand characters are left out before the others are gathered, so no video's list
+    is longer than that.
+    """
     said = F.concat(F.lit("["), py_fixed(F.col("start"), 1), F.lit("s] "), F.coalesce(F.when(F.col("speaker") != "", F.concat("speaker", F.lit(": "))), F.lit("")), F.col("text"))
-    kept = captions.where("text is not null and text <> ''").select("video_id", F.struct("ordinal", said.alias("s")).alias("e"))
+    lines = captions.where("text is not null and text <> ''").select("video_id", "ordinal", said.alias("s"))
+    before = Window.partitionBy("video_id").orderBy("ordinal", "s").rowsBetween(Window.unboundedPreceding, -1)
+    kept = lines.withColumn("before", F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0))).where("before <= 1000")
+    kept = kept.select("video_id", F.struct("ordinal", "s").alias("e"))
     return kept.groupBy("video_id").agg(shortened(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["s"]), " ")).alias("transcription"))
 
 
@@ -52,13 +59,27 @@ class VttReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        import glob
+        """Files that match the path's pattern, of any file system that Arrow opens; the driver lists names only."""
+        import fnmatch
 
-        return [VttFile(p) for p in sorted(glob.glob(self.options["path"]))]
+        from pyarrow import fs
+
+        path = self.options["path"]
+        fixed = re.match(r"[^*?\[]*", path)[0]
+        if fixed == path:
+            return [VttFile(path)]
+        folder, scheme = fixed[: fixed.rindex("/") + 1], re.match(r"[A-Za-z][A-Za-z0-9+.-]*://|", path)[0]
+        system, root = fs.FileSystem.from_uri(folder)
+        pattern = root.rstrip("/") + "/" + path[len(folder) :]
+        found = system.get_file_info(fs.FileSelector(root, recursive="/" in path[len(folder) :]))
+        return [VttFile((scheme if scheme else "") + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.path, pattern)]
 
     def read(self, partition: VttFile) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as f:
-            text = re.sub(r"\r\n?", "\n", f.read())
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(partition.path)
+        with system.open_input_stream(path) as f:
+            text = re.sub(r"\r\n?", "\n", f.read().decode("utf-8"))
         ordinal = 0
         for block in re.split(r"\n[ \t]*\n+", text):
             lines = block.split("\n")
@@ -77,8 +98,8 @@ def seconds(stamp: str) -> float:
 
 
 class VttSource(DataSource):
-    """spark.read.format("vtt").load(glob) over files that every executor can open; object stores go through
-    spark.read.text(wholetext=True) and parse_captions."""
+    """spark.read.format("vtt").load(glob) over files of a system that Arrow opens on every executor; any other store goes
+    through spark.read.text(wholetext=True) and parse_captions."""
 
     @classmethod
     def name(cls) -> str:
