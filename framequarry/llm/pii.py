@@ -141,7 +141,10 @@ ENTITY = {"email": "lower(x.text)", "ip": "x.text", "card": _DIGITS, "phone": _D
 
 def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Adds one array of spans per kind to the columns kept; the input needs a column t without nulls."""
-    rows = docs.select(*keep, "t", *(F.regexp_extract_all("t", F.lit(PATTERNS[k]), 0).alias(f"m_{k}") for k in KINDS))
+    t = F.col("t")
+    may = {"email": t.contains("@"), "ip": t.rlike("[0-9]"), "card": t.rlike("[0-9]"), "phone": t.contains("+")}  # else no match
+    found = {k: F.when(may[k], F.regexp_extract_all("t", F.lit(PATTERNS[k]), 0)).otherwise(F.expr(none_of("string"))) for k in KINDS}
+    rows = docs.select(*keep, "t", *(found[k].alias(f"m_{k}") for k in KINDS))
     rows = rows.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split("t", PATTERNS[k])) for k in KINDS})
     rows = rows.withColumns({f"s_{k}": F.expr(f"if(size(m_{k}) > 0, {located(f'm_{k}', f'p_{k}')}, {none_of(_SPAN)})") for k in KINDS})
     return rows.withColumns({f"s_{k}": F.expr(f"filter(s_{k}, x -> {CHECKS[k]})") for k in KINDS}).select(*keep, "t", *(f"s_{k}" for k in KINDS))

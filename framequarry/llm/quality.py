@@ -23,7 +23,6 @@ from framequarry.runtime import materialise
 #: White space between words, and its negation, as Java patterns.
 GAP, WORD_CHAR = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-RULES = ["few_words", "repeats", "symbols", "dup_lines", "word_length"]
 
 
 @dataclass(frozen=True)
@@ -95,9 +94,9 @@ def failures(counted: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def host_totals(failed: DataFrame) -> DataFrame:
-    """Rows and failures by host and rule."""
+    """Documents of each host, and those that fail any rule."""
     any_rule = F.col("base_failed") | (F.col("soft_failures") > 0)
-    return failed.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(any_rule.cast("long")).alias("failed"), *(F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES))
+    return failed.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(any_rule.cast("long")).alias("failed"))
 
 
 def beta_prior(totals: DataFrame) -> tuple[float, float]:
