@@ -75,7 +75,7 @@ def logits(p, xf, xb, mask):
 
 
 def gradients(p, x, mask, target, weight):
-    """Loss and gradients of weighted cross-entropy over windows; x: steps x batch x inputs."""
+    """Loss of weighted cross-entropy over windows, gradients of the parameters and of x (steps x batch x inputs)."""
     kept = {"f": [], "b": []}
     states = np.concatenate([recur(x @ p[f"W{s}"] + p[f"c{s}"], mask, p[f"U{s}"], s == "b", kept[s]) for s in "fb"], axis=2)
     out, a, u, c = pool(p, states, mask)
@@ -91,12 +91,13 @@ def gradients(p, x, mask, target, weight):
     d_u = d_s[:, :, None] * p["v"] * (1 - u * u)
     g["A"] = np.einsum("tbh,tbk->hk", states, d_u)
     d_states = d_states + d_u @ p["A"].T
-    hidden = p["Uf"].shape[0]
+    hidden, d_inputs = p["Uf"].shape[0], np.zeros_like(x)
     for side, part in (("f", d_states[:, :, :hidden]), ("b", d_states[:, :, hidden:])):
         d_x, g[f"U{side}"] = recur_back(part, mask, p[f"U{side}"], kept[side])
         g[f"W{side}"] = np.einsum("tbi,tbo->io", x, d_x)
         g[f"c{side}"] = d_x.sum(axis=(0, 1))
-    return loss, g
+        d_inputs += d_x @ p[f"W{side}"].T
+    return loss, g, d_inputs
 
 
 class Adam:
@@ -107,7 +108,7 @@ class Adam:
 
     def update(self, p, g) -> None:
         self.step += 1
-        for k in p:
+        for k in g:
             self.m[k] += 0.1 * (g[k] - self.m[k])
             self.s[k] += 0.001 * (g[k] * g[k] - self.s[k])
             p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.s[k] / (1 - 0.999**self.step)) + 1e-8)).astype(p[k].dtype)

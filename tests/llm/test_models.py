@@ -17,7 +17,8 @@ def test_gradients_are_right():
     x, mask = rng.standard_normal((5, 6, 4)), np.ones((5, 6))
     mask[3:, 2] = 0
     target, weight = (rng.random(6) > 0.5).astype(float), np.ones(6)
-    _, g = gru.gradients(p, x, mask, target, weight)
+    _, g, d_x = gru.gradients(p, x, mask, target, weight)
+    p, g = p | {"x": x}, g | {"x": d_x}
     for name in p:
         flat = p[name].reshape(-1)
         for at in rng.integers(len(flat), size=3):
@@ -29,6 +30,87 @@ def test_gradients_are_right():
             assert abs((loss[0] - loss[1]) / (2 * step) - g[name].reshape(-1)[at]) < 2e-3, name
 
 
+def test_embeddings_are_trained():
+    """Gradients of the embeddings by differences, and that training moves those of words and n-grams it meets."""
+    rows = made_up(120, 4)
+    sample = toxicity.Sample([t for _, t, _ in rows], [y for _, _, y in rows], 0)
+    rng = np.random.default_rng(1)
+    p = {"chars": rng.standard_normal((toxicity.BUCKETS, toxicity.CHAR_CODE)), "words": rng.standard_normal((toxicity.WORD_BUCKETS, toxicity.WORD_CODE))}
+    words, evidence = sample.docs[0][:20], sample.crossed(0)
+    v, buckets, of_word = sample.vectors(evidence, words, p)
+    d_v = rng.standard_normal(v.shape)
+    g = toxicity.embedding_gradients(p, d_v, buckets, of_word, sample.own[words])
+    for name, at in (("chars", buckets[3]), ("words", sample.own[words[2]])):
+        for c in range(2):
+            keep, value = p[name][at, c], []
+            for sign in (1, -1):
+                p[name][at, c] = keep + sign * 1e-3
+                value.append(float((sample.vectors(evidence, words, p)[0] * d_v).sum()))
+            p[name][at, c] = keep
+            assert abs((value[0] - value[1]) / 2e-3 - g[name][at, c]) < 1e-2
+    one = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    rng = np.random.default_rng(0)
+    moved = one.parameters["words"][np.unique(sample.own)]
+    assert np.abs(moved).max() > 1 and np.isfinite(one.parameters["chars"]).all()
+
+
+def plain_score(model, words):
+    """The worst window's score, word by word and number by number."""
+    p = {k: v.astype(float) for k, v in model.parameters.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    best = -np.inf
+    for start in toxicity.window_starts(len(words)):
+        inputs = []
+        for w in words[start : start + toxicity.WINDOW]:
+            raw = b"\n" + w.encode() + b"\n"
+            grams = []
+            for n in toxicity.GRAMS:
+                for at in range(len(raw) - n + 1):
+                    h = 0
+                    for c in raw[at : at + n]:
+                        h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                    h ^= h >> 15
+                    h = h * 0x2C1B3C6D & 0xFFFFFFFF
+                    grams.append((h ^ (h >> 13)) % toxicity.BUCKETS)
+            odds = [float(model.evidence.grams[g]) for g in grams] or [0.0]
+            chars = np.mean([p["chars"][g] for g in grams], axis=0) if grams else np.zeros(toxicity.CHAR_CODE)
+            inputs.append(np.concatenate([[model.evidence.words.get(w, 0.0), np.mean(odds), max(odds)], chars, p["words"][zlib.crc32(w.encode()) % toxicity.WORD_BUCKETS]]))
+        states = [[], []]
+        for side, name in enumerate("fb"):
+            h = np.zeros(toxicity.HIDDEN)
+            for x in inputs if side == 0 else inputs[::-1]:
+                a, b = x @ p[f"W{name}"] + p[f"c{name}"], h @ p[f"U{name}"]
+                k = toxicity.HIDDEN
+                z, r = sigmoid(a[:k] + b[:k]), sigmoid(a[k : 2 * k] + b[k : 2 * k])
+                h = (1 - z) * np.tanh(a[2 * k :] + r * b[2 * k :]) + z * h
+                states[side].append(h)
+        both = np.concatenate([states[0], states[1][::-1]], axis=1)
+        s = np.tanh(both @ p["A"]) @ p["v"]
+        e = np.exp(s - s.max())
+        best = max(best, float((e / e.sum()) @ both @ p["w"] + p["b"][0]))
+    return sigmoid(best)
+
+
+def test_scores_against_a_plain_forward_pass():
+    rows = made_up(200, 2)
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    docs = [toxicity.words_of(t.lower()) for _, t, _ in made_up(25, 7)] + [["a"], ["a", "b"] * 40, ["zorkan"] * 49]
+    scores, _ = model.score(docs)
+    assert np.allclose(scores, [plain_score(model, d) for d in docs], atol=1e-4)
+    assert model.score([[]])[0][0] == 0
+
+
+def test_long_texts_are_sampled_all_over(spark):
+    text = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "short text"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got, _ = toxicity.training_sample(docs, labels)
+    assert [y for _, y in got] == [1, 0] and got[1][0] == "short text"
+    long = got[0][0]
+    assert len(long) < toxicity.SAMPLE_CHARS + 20 and long.startswith("w0 w1 ") and long.endswith(" w29999")
+    assert all(part in text for part in long.split("\n")) and len(long.split("\n")) == toxicity.STRETCHES
+
+
 def made_up(n, seed):
     rng = random.Random(seed)
     syllables = ["an", "er", "ti", "on", "re", "st", "ou", "le"]
