@@ -43,7 +43,8 @@ from framequarry.runtime import bounded_batches, lean, materialise, shuffle_widt
 
 TREES, DEPTH, FLOOR = 24, 8, 4
 MINHASHES = TREES * DEPTH
-CROWD, BEST = 32, 8
+#: BEST only decides which pairs of a crowded region are tried first: an exact join finds all links that it leaves out.
+CROWD, BEST = 32, 2
 #: Rows of a sorted order that a task handles at a time, and rows on either side that it sees with them.
 CHUNK, CONTEXT = 1 << 15, 3 * CROWD
 #: Of MINHASHES signature bits, a link at 0.8 differs in 0.1 of them on average; six deviations more are let through.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framequarry.llm import gru
-from framequarry.runtime import bounded_batches, lean, resident
+from framequarry.runtime import bounded_batches, give_back, lean, resident
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS, STRETCHES = 20_000, 8
@@ -365,7 +365,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample, clean_weight = training_sample(docs, labels)
-    return train([t for t, _ in sample], [y for _, y in sample], clean_weight)
+    model = train([t for t, _ in sample], [y for _, y in sample], clean_weight)
+    give_back()  # what training held on the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
