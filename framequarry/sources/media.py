@@ -108,6 +108,55 @@ class FfmpegEncoder:
         return frame
 
 
+class FaceModelDetector:
+    """Faces by the insightface model over frames that OpenCV reads, where both are installed on the executors.
+
+    locate: gives a video's path by its id. A task's videos arrive one after the other and their frames ascending, so
+    one file is open at a time and it is only read forwards.
+    """
+
+    def __init__(self, locate: Callable[[str], str], size: int = 640, model: str = "buffalo_l", accelerator: bool = True):
+        self.locate, self.size, self.model, self.accelerator = locate, size, model, accelerator
+        self.app = self.video = self.open_id = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"app": None, "video": None, "open_id": None}
+
+    def available(self) -> bool:
+        import importlib.util
+
+        return all(importlib.util.find_spec(m) is not None for m in ("cv2", "insightface"))
+
+    def frame(self, video_id: str, frame_idx: int):
+        import cv2
+
+        if video_id != self.open_id:
+            if self.video is not None:
+                self.video.release()
+            self.video, self.open_id = cv2.VideoCapture(self.locate(video_id)), video_id
+        if int(self.video.get(cv2.CAP_PROP_POS_FRAMES)) != frame_idx:
+            self.video.set(cv2.CAP_PROP_POS_FRAMES, frame_idx)
+        good, image = self.video.read()
+        if not good:
+            raise EOFError
+        return image
+
+    def detect(self, video_id: str, frame_idx: int) -> list[dict[str, Any]]:
+        if not self.available():
+            raise RuntimeError("cv2 and insightface are not installed on this executor")
+        if self.app is None:
+            from insightface.app import FaceAnalysis
+
+            self.app = FaceAnalysis(name=self.model, providers=["CUDAExecutionProvider", "CPUExecutionProvider"] if self.accelerator else ["CPUExecutionProvider"])
+            self.app.prepare(ctx_id=0 if self.accelerator else -1, det_size=(self.size, self.size))
+        out = []
+        for face in self.app.get(self.frame(video_id, frame_idx)):
+            pose = getattr(face, "pose", None)
+            turn = dict(zip(("pitch", "yaw", "roll"), map(float, pose))) if pose is not None else None
+            out.append({"embedding": [float(x) for x in face.embedding], "det_score": float(face.det_score), "bbox": dict(zip(("x1", "y1", "x2", "y2"), map(float, face.bbox))), "pose": turn})
+        return out
+
+
 class HttpFetcher:
     """Plain HTTP; statuses from 400 on are failures."""
 

@@ -156,3 +156,57 @@ def test_long_transcripts_are_cut_before_they_are_gathered(spark):
     got = {r["video_id"]: r["transcription"] for r in vtt.transcripts(captions).collect()}
     whole = " ".join(f"[{i}.0s] line {i}" for i in range(5000))
     assert got == {"v": whole[:997] + "...", "w": "[0.0s] Ann: short"}
+
+
+def test_the_face_model_is_asked_for_before_a_run(monkeypatch):
+    """Without the libraries a run ends early; with stand-ins for them, frames are read forwards and faces become rows."""
+    detector = media.FaceModelDetector(lambda v: f"/videos/{v}")
+    if not detector.available():
+        with pytest.raises(RuntimeError, match="not available"):
+            media.require(detector)
+        with pytest.raises(RuntimeError, match="not installed"):
+            detector.detect("v", 0)
+    import types
+
+    opened, sought = [], []
+
+    class Capture:
+        def __init__(self, path):
+            self.at = 0
+            opened.append(path)
+
+        def get(self, what):
+            return self.at
+
+        def set(self, what, frame):
+            self.at = frame
+            sought.append(frame)
+
+        def read(self):
+            self.at += 1
+            return self.at <= 5, f"frame {self.at - 1}"
+
+        def release(self):
+            opened.append("closed")
+
+    class App:
+        def __init__(self, **options):
+            pass
+
+        def prepare(self, **options):
+            pass
+
+        def get(self, image):
+            face = types.SimpleNamespace(embedding=[1, 2], det_score=0.9, bbox=[1, 2, 3, 4], pose=[5, 6, 7])
+            return [face] if image == "frame 1" else [types.SimpleNamespace(embedding=[1, 2], det_score=0.9, bbox=[1, 2, 3, 4])]
+
+    monkeypatch.setattr(media.FaceModelDetector, "available", lambda self: True)
+    monkeypatch.setitem(sys.modules, "cv2", types.SimpleNamespace(VideoCapture=Capture, CAP_PROP_POS_FRAMES=1))
+    monkeypatch.setitem(sys.modules, "insightface", types.SimpleNamespace())
+    monkeypatch.setitem(sys.modules, "insightface.app", types.SimpleNamespace(FaceAnalysis=App))
+    assert detector.detect("v", 0)[0]["pose"] is None
+    assert detector.detect("v", 1) == [{"embedding": [1.0, 2.0], "det_score": 0.9, "bbox": {"x1": 1.0, "y1": 2.0, "x2": 3.0, "y2": 4.0}, "pose": {"pitch": 5.0, "yaw": 6.0, "roll": 7.0}}]
+    assert sought == [] and detector.detect("v", 4) and sought == [4]
+    with pytest.raises(EOFError):
+        detector.detect("v", 9)
+    assert detector.detect("w", 0) and opened == ["/videos/v", "closed", "/videos/w"]
