@@ -23,6 +23,8 @@ FPS = 25.0
 ROI_MARGIN = 3600.0
 #: The synthetic vectors lie about 1.4 apart, the nearest from 1.0 on; these radii give several clusters and noise.
 VECTOR_EPS, SPARSE_EPS = 1.15, 1.2
+#: Of the plan with two passes, which looks at fewer frames.
+TWO_PASS_EPS = 1.32
 
 
 # Logical inputs ------------------------------------------------------------------------------------------------------
@@ -359,6 +361,10 @@ def labels_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLIP_FRAMES = 10_000
 
 
+def analysis_eps(profile: str) -> float:
+    return SPARSE_EPS if PROFILES[profile].two_pass_from is None else TWO_PASS_EPS
+
+
 def analysis(spark: SparkSession, sf_dir: str, profile: str = "canonical") -> DataFrame:
     """The whole plan over five clips of 400 seconds that hold the embeddings, a row per person, or per clip without any."""
     frame = (F.floor(F.col("vec_id") / 5) * 8 % 400 * 25).alias("frame_idx")
@@ -366,7 +372,7 @@ def analysis(spark: SparkSession, sf_dir: str, profile: str = "canonical") -> Da
     clips = spark.range(5).select(F.col("id").cast("string").alias("video_id"), F.lit(FPS).alias("fps"), F.lit(CLIP_FRAMES).cast("long").alias("total_frames"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
     asked = spark.range(5).select(F.col("id").cast("string").alias("request_id"), F.lit("https://video.example.test/a.mp4").alias("video_url"), F.lit("https://video.example.test/a.vtt").alias("transcript_url"), *(F.lit("x").alias(c) for c in requests.REQUIRED), F.lit("t.vtt").alias("transcript_key"), F.create_map().cast("map<string,string>").alias("metadata"), F.create_map().cast("map<string,string>").alias("custom_metadata"), F.lit(None).cast(requests.LISTING).alias("listing"))
     said = captions(spark, sf_dir).withColumn("video_id", F.col("video_id").cast("string"))
-    plugins = pipeline.Plugins(videos=clips, detections=detections, captions=said, date=F.lit("2026-01-01"), job_id=F.concat(F.lit("job"), "video_id"), elapsed=F.lit(12.5), eps=SPARSE_EPS)
+    plugins = pipeline.Plugins(videos=clips, detections=detections, captions=said, date=F.lit("2026-01-01"), job_id=F.concat(F.lit("job"), "video_id"), elapsed=F.lit(12.5), eps=analysis_eps(profile))
     rows, _ = pipeline.run(asked, plugins, PROFILES[profile])
     known = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c)
     frames = F.array_join(F.transform("representative_frames", lambda f: F.concat(f["filename"], F.lit("@"), f["frame_index"].cast("string"))), ",") if "representative_frames" in rows.columns else F.lit("")
@@ -397,7 +403,7 @@ def analysis_sql(profile: str) -> str:
     told = "coalesce(transcription, '')" if p.key_prefix == "dated" else "CAST(NULL AS VARCHAR)"
     picks = f"list_sort(list_distinct(list_concat([0, 29, {CLIP_FRAMES} - 31, {CLIP_FRAMES} - 2], list_transform(range(1, 9), lambda k: CAST(trunc(30.0::DOUBLE + k * (CAST({CLIP_FRAMES} - 61 AS DOUBLE) / 9)) AS BIGINT)))))[1:10]"
     frames = f"(SELECT string_agg('frame_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') || '.jpg@' || ({picks})[i], ',' ORDER BY i) FROM range(1, 11) t(i))" if p.representative_frames else "''"
-    return f"""WITH {cluster_sql(raw, SPARSE_EPS)}, {said},
+    return f"""WITH {cluster_sql(raw, analysis_eps(profile))}, {said},
     {context_sql(moments_cte, "video_id, person_id").replace("hit AS", "line AS")},
     w AS (SELECT video_id, string_agg('[' || CAST(CAST(start AS INTEGER) AS VARCHAR) || '.0s] ' || coalesce(nullif(speaker, '') || ': ', '') || text, ' ' ORDER BY ordinal) AS s FROM cap WHERE text <> '' GROUP BY video_id),
     t AS (SELECT video_id, CASE WHEN length(s) > 1000 THEN substr(s, 1, 997) || '...' ELSE s END AS transcription FROM w),
