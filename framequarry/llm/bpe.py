@@ -170,10 +170,11 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     @lean
     def run(batches):
         for block, _, _, _, words in blocks(batches, path):
-            order = sorted(range(len(words)), key=words.__getitem__)  # neighbours that are alike compress
+            own = pa.array(words, pa.string())
+            order = pc.sort_indices(own)  # neighbours that are alike compress
             for at in range(0, len(order), 1 << 15):
-                part = order[at : at + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in part], pa.string()), pa.array([block] * len(part), pa.int64()), pa.array(part, pa.int32())], names=["word", "block", "code"])
+                part = order.slice(at, 1 << 15)
+                yield pa.RecordBatch.from_arrays([own.take(part), pa.array(np.full(len(part), block)), part.cast(pa.int32())], names=["word", "block", "code"])
 
     return plain(docs).mapInArrow(run, WORDS_SCHEMA)
 
