@@ -197,7 +197,7 @@ def term_places(texts: DataFrame, strong: DataFrame) -> DataFrame:
     spread = words.select("key", "m", "p", "b", F.posexplode_outer("m").alias("i", "word")).withColumn("term", F.lower("word"))
     some = maybe(spread, strong).withColumn("start", F.expr(start_of("i", "m", "p", "b")))
     some = some.select("key", "term", "start", (F.col("start") + F.length("word")).alias("end"))
-    hits = some.join(strong.select("term", action.alias("action")), "term")
+    hits = some.join(strong.select("term", action.alias("action")).hint("merge"), "term")
     return hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
 
 
@@ -218,9 +218,9 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def joined(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows (with key) and the term spans of their texts. A text may hold a third of all rows: its partition can be split,
-    as the other side has one row a text."""
-    return rows.join(terms.withColumnRenamed("key", "of_key"), F.col("key") == F.col("of_key"), "left").drop("of_key")
+    """rows (with key) and the term spans of their texts, by the same join at every size. A text may hold a third of all
+    rows: its partition can be split, as the other side has one row a text."""
+    return rows.join(terms.withColumnRenamed("key", "of_key").hint("merge"), F.col("key") == F.col("of_key"), "left").drop("of_key")
 
 
 def span_strings(kind: str, spans: str):
