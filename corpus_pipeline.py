@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequarry.llm import near_dedup, packing, pii, quality, toxicity
-from framequarry.runtime import materialise, table
+from framequarry.runtime import materialise, shuffle_width, table
 
 #: Rows up to which the ids of documents that go may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -42,9 +42,30 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.judge(whole_rows(docs), keep=("row_",)).where("kept").select("row_.*")
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(key, row_): every row of a stored table with a number of its own, in the order of ids, those without one last.
+
+    Only ids and places are sorted; a row's place is the same whenever the table is read.
+    """
+    placed = docs.select(F.struct(*docs.columns).alias("row_"), F.monotonically_increasing_id().alias("place"))
+    order = (F.col("row_.doc_id").asc_nulls_last(), F.col("place").asc())
+    ids = placed.select("place", F.struct(F.col("row_.doc_id").alias("doc_id")).alias("row_")).repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    keys = materialise(ids.select("place", F.monotonically_increasing_id().alias("key")), "row-keys")
+    return placed.join(keys, "place").select("key", "row_")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of near-duplicates."""
-    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    """The first document, by id, of each group of near-duplicates.
+
+    Where rows share an id, or have none, the operator gets keys that tell them apart, so one row of each group stays
+    and no other row goes with it.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null")
+    if shared.isEmpty():
+        return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    rows = materialise(with_keys(docs), "keyed-rows")
+    gone = near_dedup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "row_.text")).where("not kept")
+    return without(rows.withColumnRenamed("key", "doc_id"), gone).select("row_.*")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
