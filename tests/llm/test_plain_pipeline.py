@@ -109,3 +109,13 @@ def test_stages_against_plain_versions(spark):
     assert any(text != d["text"] for (_, text), d in zip(clean, docs))
     assert {r["doc_id"]: r["text"] or "" for r in stages["pii"](spark, held, SMALL).collect()} == dict(clean)
     check_packing(corpus_pipeline.run(spark, SMALL).collect(), clean)
+
+
+def test_rows_that_share_ids(spark):
+    """One row of each group stays, also where ids are shared or missing, and no row goes for another's sake."""
+    words = lambda tag, n=30: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(5, words("a"), 1), (5, words("a"), 1), (5, words("b"), 2), (None, words("c"), 3), (None, words("c"), 4), (None, words("a"), 5), (2, words("b") + " more", 6), (9, "", 7), (9, "", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted((tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()), key=repr)
+    assert [r for r in got if r[1]] in ([(2, words("b") + " more", 6), (5, words("a"), 1), (None, words("c"), 3)], [(2, words("b") + " more", 6), (5, words("a"), 1), (None, words("c"), 4)])
+    assert sorted(r[2] for r in got if not r[1]) == [7, 8, 9]
