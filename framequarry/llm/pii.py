@@ -14,8 +14,8 @@ base entity are the entity's own.
 
 Pairs of term and entity are counted first, over the texts that hold an entity; only words that may be among their
 terms are then counted over the corpus, and only words that may disclose something leave a text with their places. Which
-words may is told by a table of hash buckets, broadcast, with at most BUCKETS rows at any size of the corpus; an exact
-join follows. The plan is the same at every size, and joins may be split where copies share a text.
+words may is told by a table of their hashes, or of buckets where those are too many, broadcast, with at most BUCKETS rows at
+any size of the corpus; an exact join follows. The plan is the same at every size, and joins may be split where copies share a text.
 
 Defined cases: a null text is empty and has no spans; null ids stay; equal rows return equal rows, and copies of a text
 are one text for SUPPORT; a corpus of one document discloses nothing; an empty table gives no rows; other columns of
@@ -42,7 +42,7 @@ PATTERNS = {
 TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
-#: Hash buckets that tell which words matter: the bound of what is broadcast.
+#: Hashes, or buckets of hashes, that tell which words matter: the bound of what is broadcast.
 BUCKETS = 1 << 20
 #: Matches whose lengths are summed together, and code points of a text that are cut out of one piece.
 BLOCK, PIECE = 64, 4096
@@ -155,15 +155,16 @@ def words_of(text: str):
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
 
-def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS))
-
-
 def maybe(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows of words (with term) that may be among the terms: all that are, and some more. At most BUCKETS rows are
-    broadcast."""
-    wanted = F.broadcast(terms.select(bucket("term").alias("bucket")).distinct())
-    return words.join(wanted, bucket("term") == F.col("bucket"), "left_semi")
+    """The rows of words (with term) that may be among the terms, a stored table: all that are, and some more.
+
+    At most BUCKETS rows are broadcast: the terms' hashes, or where those are more, the buckets that they fall on.
+    """
+    hashed = terms.select(F.xxhash64("term").alias("hash")).distinct()
+    few = hashed.count() <= BUCKETS
+    fold = lambda h: h if few else F.pmod(h, F.lit(BUCKETS))
+    wanted = F.broadcast(hashed.select(fold(F.col("hash")).alias("bucket")).distinct())
+    return words.join(wanted, fold(F.xxhash64("term")) == F.col("bucket"), "left_semi")
 
 
 def disclosures(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:

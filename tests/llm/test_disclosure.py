@@ -6,12 +6,15 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from framequarry.llm import pii
 
 
-def test_terms_far_from_the_entity(spark):
+@pytest.mark.parametrize("buckets", [pii.BUCKETS, 3])
+def test_terms_far_from_the_entity(spark, monkeypatch, buckets):
+    monkeypatch.setattr(pii, "BUCKETS", buckets)
     gap = " ".join(["filler"] * 60)
     rows = [(i, f"Zed x7 {gap} text{'abcd'[i]} from zed@corp.org {gap} zed's") for i in range(4)]
     rows += [(9, f"only Zed {gap}"), *((10 + i, f"{gap} more{i}") for i in range(60))]
