@@ -1,5 +1,6 @@
 """SQL that gives the rows of those operators that SQL can express."""
 
+from framequarry.llm import collocations
 from framequarry.llm.quality import Limits
 from framequarry.llm.warc import TRACKING
 
@@ -74,6 +75,25 @@ SELECT page_id, record_id, warc_type, captured, canonical, status,
         'server=' || CASE WHEN taken THEN NULL ELSE server END], lambda x: x IS NOT NULL), ';') AS merged_headers
 FROM merged"""
 
+_C = collocations
+
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+    g AS (SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase FROM p, (SELECT unnest(range(1, 5)) AS words)),
+    f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+    t AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+    c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= {_C.LEAST_COUNT}),
+    cut AS (SELECT lang, words, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+    s AS (SELECT cut.*, l.f AS l, r.f AS r, CAST({_C.SCALE}::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM cut
+        JOIN f l ON l.lang = cut.lang AND l.phrase = head JOIN f r ON r.lang = cut.lang AND r.phrase = rest),
+    low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_phrase AS (SELECT lang, a, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, words - n + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS n FROM c WHERE words > 2))),
+    around AS (SELECT lang, phrase, max(a) AS most FROM inner_phrase GROUP BY ALL),
+    kept AS (SELECT low.* FROM low LEFT JOIN around ON around.lang = low.lang AND around.phrase = low.phrase WHERE most IS NULL OR 100 * most < {_C.COVERED_PERCENT} * low.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN t USING (lang) WHERE rank <= {_C.FIRST}"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY, "op5_near_dedup": NEAR_DUPLICATES, "op10_warc": REVISITS}
+    return {"op4_quality": QUALITY, "op5_near_dedup": NEAR_DUPLICATES, "op10_warc": REVISITS, "op12_collocations": COLLOCATIONS}
