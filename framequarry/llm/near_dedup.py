@@ -394,22 +394,33 @@ def prefixes(sets: DataFrame, rows: int, similarity: float) -> DataFrame:
     return sets.select("rep", "shingles").mapInArrow(run, "rep long, n long, parity binary, prefix array<long>")
 
 
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that two sets of n and m must share at least to reach the similarity."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def pairs_of_cell(rows: dict, percent: int):
     """(i, j, parity bits that differ) of the pairs among rows of one cell that can reach the similarity and lie in
     different components.
 
+    pos: the shingle's place in a set's order. Sets that reach the similarity share one that leaves, with all behind it,
+    enough of either set, so a pair counts only where it does.
+
     Of a shingle, rows of its main component are dealt to `salts` salts and those outside it to `parts` parts. The first
     salts x parts cells hold one of each: pairs of a row outside with any row of the main component there, and of two
     rows of the part, in the cell that the first of them falls on. The cells behind hold two parts: pairs of one with
     the other.
     """
     rep, component, n, parity, outside, part, cell, salts, parts = (rows[c] for c in ("rep", "component", "n", "parity", "outside", "part", "cell", "salts", "parts"))
+    pos = rows.get("pos", np.zeros_like(n))
     both = cell >= salts * parts
     out = np.flatnonzero(part == (cell - salts * parts) // parts) if both else np.flatnonzero(outside)
     step = max(1, (1 << 17) // len(rep))
     for at in range(0, len(out), step):
         i = out[at : at + step, None]
         fits = (component[i] != component) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n))
+        needed = least_overlap(n[i], n, percent)
+        fits &= (needed <= n[i] - pos[i]) & (needed <= n - pos)
         fits &= part != part[i] if both else ~outside | ((rep[i] < rep) & (rep[i] % salts == cell // parts))
         x, y = np.nonzero(fits)
         x = i[x, 0]
@@ -419,16 +430,23 @@ def pairs_of_cell(rows: dict, percent: int):
         yield x[ok], y[ok], differ[ok]
 
 
-REMAINDER_NAMES = ["shingle", "cell", "salts", "parts", "part", "rep", "component", "n", "outside", "parity"]
+REMAINDER_NAMES = ["shingle", "cell", "salts", "parts", "part", "rep", "component", "n", "pos", "outside", "parity"]
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """(rep, n, parity, shingle, pos) of the shingles of all prefixes."""
+    return rows.select("rep", "n", "parity", F.posexplode("prefix").alias("pos", "shingle"))
 
 
-def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """The pairs (a, b) of different components that share a shingle of their prefixes and whose sizes and parity maps
-    let them reach the similarity; none that reaches it is left out. nearest: of each two components that a batch of
-    shingles brings together, only the pair whose maps differ least.
+def remaining_pairs(spread: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """The pairs (a, b) of different components that share a shingle of their prefixes and whose sizes, places and parity
+    maps let them reach the similarity; none that reaches it is left out. spread: see places. nearest: of each two
+    components that a batch of shingles brings together, only the pair whose maps differ least.
 
-    The rows of a shingle are dealt to cells (see pairs_of_cell) of about HELD rows of its largest component and as many
-    others, so neither a frequent shingle nor a large component gathers in one task.
+    Rows whose place leaves too little even for the smallest set that has the shingle go before they meet any other:
+    pages that share a template have their own shingles first and the shared ones there. The others of a shingle are
+    dealt to cells (see pairs_of_cell) of about HELD rows of its largest component and as many others, so neither a
+    frequent shingle nor a large component gathers in one task.
     """
     percent = round(similarity * 100)
 
@@ -472,13 +490,17 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    placed = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
-    spread = placed.select("rep", "component", "n", "parity", F.explode("prefix").alias("shingle"))
-    counts = placed.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
+    component = F.coalesce("component", "rep").alias("component")
+    placed = spread.join(labels, F.col("rep") == F.col("node"), "left").select("rep", component, "n", "parity", "shingle", F.col("pos").cast("long").alias("pos"))
+    # A set of n shingles finds none with which it reaches the similarity if even the smallest is too large.
+    roomy = lambda least: percent * (F.col("n") + least) <= (100 + percent) * (F.col("n") - F.col("pos"))
+    least = spread.groupBy(F.col("shingle").alias("least_of")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("sharing")).where("sharing > 1").drop("sharing")
+    placed = placed.join(least, F.col("shingle") == F.col("least_of")).where(roomy(F.col("least"))).drop("least", "least_of")
+    counts = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
     mixed = counts.groupBy("shingle").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("all"), F.count(F.lit(1)).alias("components"))
     share = lambda held: F.greatest(F.lit(1), F.ceil(held / HELD)).cast("long")
     mixed = mixed.where("components > 1").select(F.col("shingle").alias("of_shingle"), F.col("most.component").alias("main"), share(F.col("most.held")).alias("salts"), share(F.col("all") - F.col("most.held")).alias("parts"))
-    met = spread.join(mixed, F.col("shingle") == F.col("of_shingle")).withColumn("outside", F.col("component") != F.col("main"))
+    met = placed.join(mixed, F.col("shingle") == F.col("of_shingle")).withColumn("outside", F.col("component") != F.col("main"))
     met = met.withColumn("part", F.when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(-1)))
     cells = F.expr("""if(outside,
         concat(
@@ -486,7 +508,7 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, similarity: float, neare
             transform(filter(sequence(0, parts - 1), q -> q <> part), q -> salts * parts + least(part, q) * parts + greatest(part, q))),
         transform(sequence(0, parts - 1), q -> pmod(xxhash64(rep), salts) * parts + q))""")
     dealt = met.withColumn("cell", F.explode(cells)).select(*REMAINDER_NAMES)
-    width = shuffle_width(rows.sparkSession)
+    width = shuffle_width(spread.sparkSession)
     return dealt.repartition(width, "shingle", "cell").sortWithinPartitions("shingle", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -523,7 +545,7 @@ def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: floa
     # most of what belongs together, then all that still lie in different components.
     held = crowded.count()
     if held:
-        rows = materialise(prefixes(sets.join(crowded, "rep", "left_semi"), held, similarity), "prefixes")
+        rows = places(materialise(prefixes(sets.join(crowded, "rep", "left_semi"), held, similarity), "prefixes"))
         for nearest in (True, False):
             more = materialise(confirm(remaining_pairs(rows, labels, similarity, nearest), sets, similarity), "more-links")
             if not more.isEmpty():
@@ -532,12 +554,9 @@ def linked(docs: DataFrame, classes: DataFrame, words_per: int, similarity: floa
     return labels
 
 
-def near_duplicates(docs: DataFrame, words_per: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether it is that one)."""
-    sketched = materialise(sketches(docs, words_per), "sketches")
-    usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bits").alias("bits")), "classes")
-    labels = linked(docs, classes, words_per, similarity)
+def members(sketched: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document (doc_id, n_shingles, set_hash), from classes of equal
+    sets (set_hash, rep) and the components of their representatives."""
     found = classes.select(F.col("set_hash").alias("of_set"), "rep").join(labels, F.col("rep") == F.col("node"), "left").select("of_set", F.coalesce("component", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
     rows = sketched.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
@@ -551,5 +570,14 @@ def near_duplicates(docs: DataFrame, words_per: int = 5, similarity: float = 0.8
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, words_per: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether it is that one)."""
+    sketched = materialise(sketches(docs, words_per), "sketches")
+    usable = sketched.where("n_shingles > 0 and doc_id is not null")
+    classes = materialise(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bits").alias("bits")), "classes")
+    labels = linked(docs, classes, words_per, similarity)
+    return members(sketched, classes, labels)
+
+
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words_per=3, similarity=0.85)

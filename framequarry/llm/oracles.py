@@ -39,6 +39,8 @@ WITH RECURSIVE
     comp AS (SELECT node, min(top) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp ON doc_id = node"""
 
+NGRAM_JOIN = NEAR_DUPLICATES.replace("85 *", "90 *").replace(", doc_id = component_id AS kept", "")
+
 _STAMP = "strftime(make_timestamp((1700000000 + {}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 _AT = "page_id * 60"
 _HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '^www\\.', '')"
@@ -96,4 +98,4 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY, "op5_near_dedup": NEAR_DUPLICATES, "op10_warc": REVISITS, "op12_collocations": COLLOCATIONS}
+    return {"op4_quality": QUALITY, "op5_near_dedup": NEAR_DUPLICATES, "op10_warc": REVISITS, "op11_ngram_join": NGRAM_JOIN, "op12_collocations": COLLOCATIONS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequarry.llm import audio, bpe, collocations, licenses, near_dedup, packing, pii, quality, sharding, toxicity, variants, warc
+from framequarry.llm import audio, bpe, collocations, licenses, near_dedup, ngram_join, packing, pii, quality, sharding, toxicity, variants, warc
 from framequarry.llm.oracles import oracle_sql
 from framequarry.runtime import table
 
@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": over("documents", pii.find_digests),
         "op9_licenses": over("documents", licenses.scan_digests),
         "op10_warc": over("pages", warc.revisit_digests),
+        "op11_ngram_join": over("documents", ngram_join.jaccard_digests),
         "op12_collocations": over("documents", collocations.collocations),
         "op13_variants": over("documents", variants.variants),
     }
