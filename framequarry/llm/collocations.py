@@ -1,12 +1,14 @@
 """Phrase collocations: weighted n-grams, counted in duckdb per hash bucket.
 
 Texts are cut into pieces at punctuation and line ends, and identical pieces of a language become one with a multiplicity.
-Each task turns its pieces into words, pairs and windows of three words with the word behind them, sums the multiplicities
-of what is equal, and sends every hash bucket one compressed parcel of them, so a word or phrase has at most one row a
-task chunk, however frequent it is. A bucket's task puts its parcels into a duckdb database with a memory limit, which
-works out of core, and counts there: a window's first three words decide its bucket, so phrases of three and of four
-words are whole in it. Only phrases that reach the least count leave a bucket; a part of such a phrase is as frequent as
-the phrase itself, so all parts that a score needs are among them.
+Each task turns its pieces into n-grams, sums the multiplicities of what is equal, and sends every hash bucket one
+compressed parcel of them, so a word or phrase has at most one row a task chunk, however frequent it is. A bucket's task
+puts its parcels into a duckdb database with a memory limit, which works out of core, and counts there. Only phrases
+that reach the least count leave a bucket; a part of such a phrase is as frequent as the phrase itself, so all parts
+that a score needs are among them. For the same reason two passes do: words and pairs first, then windows of three words
+with the word behind them, of which only those travel whose pairs are all frequent, as a bitmap of at most MAP_BITS bits
+tells (never wrongly of a frequent pair; the more pairs beyond its size, the less it saves). A window's first three
+words decide its bucket, so phrases of three and of four words are whole in it.
 
 Parts live in other buckets than their phrases: every cut of a candidate asks for both its parts by requests that are
 shuffled to where the parts are. Longer candidates tell their inner phrases, by a partial maximum, which of them they
@@ -14,14 +16,15 @@ cover. The first rows of a language are picked in parts and then from the parts'
 
 Defined cases: null and empty texts have no pieces; a null lang is `und`; equal rows count as often as they occur; texts and
 pieces of any length are read whole, in slices of CHUNK words; ties in score and count go by phrase, in the order of UTF-8
-bytes; an empty table gives no rows; other columns are ignored. duckdb's scratch belongs to its task, like a sort's spill,
-and goes with it.
+bytes; an empty table gives no rows; other columns are ignored. What duckdb spills belongs to its task, like a sort's
+spill, and goes with it.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,14 @@ from framequarry.runtime import bounded_batches, lean, materialise, shuffle_widt
 LONGEST, LEAST_COUNT, COVERED_PERCENT, FIRST, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words that a task counts at a time, and memory of one bucket's database.
 CHUNK, MEMORY = 1 << 20, "384MB"
+#: Bits of the map of frequent pairs at most, and bits for each of them where that is fewer.
+MAP_BITS, PAIR_BITS = 1 << 28, 32
+#: Distinct pieces that a task gathers before it passes them on.
+GATHERED = 100_000
 #: Parts of a language whose firsts are picked on their own.
 PARTS = 64
 
-_ENDS = r"[.,;:!?\x0A-\x0D]"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 PARCEL_SCHEMA = "bucket int, parcel binary"
 #: words: 0 for the number of all words of a language that fell into a bucket.
@@ -47,10 +53,28 @@ COUNT_SCHEMA = "lang string, words int, phrase string, f long"
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, piece, m): distinct pieces, their words separated by single spaces, and how often they occur."""
-    lower = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(lower, _ENDS)).alias("piece"))
-    rows = rows.select("lang", F.trim(F.regexp_replace("piece", "[ \t]+", " ")).alias("piece")).where("piece <> ''")
-    return rows.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
+
+    @lean
+    def run(batches):
+        found: Counter = Counter()
+
+        def out():
+            rows = [(lang, piece.decode(), m) for (lang, piece), m in found.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 3, (pa.string(), pa.string(), pa.int64()))], names=["lang", "piece", "m"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for piece in _ENDS.split(text.as_py().encode().lower()):  # lower() of bytes is that of A-Z
+                    words = piece.split()  # line ends have gone, so at spaces and tabs
+                    if words:
+                        found[lang, b" ".join(words)] += 1
+                if len(found) > GATHERED:
+                    yield out()
+        yield out()
+
+    rows = bounded_batches(docs).where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    return rows.mapInArrow(run, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -73,14 +97,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
 GRAM_SCHEMA = pa.schema([("lang", pa.string()), ("words", pa.int8()), ("phrase", pa.string()), ("behind", pa.string()), ("m", pa.int64())])
 
 
+class PairMap:
+    """Which pairs of words may be frequent: a bit by each frequent pair's hash."""
+
+    def __init__(self, slots: np.ndarray, bits: np.ndarray, size: int):
+        self.map, self.size = np.zeros(size // 64, np.uint64), np.uint64(size)
+        self.map[slots] = bits
+
+    def has(self, hashed: np.ndarray) -> np.ndarray:
+        place = hashed % self.size
+        return (self.map[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        out = mixed(out + w)
+    return out
+
+
 class Chunk:
-    """Words, pairs and windows that begin at the first `count` of a run of words, with sums of their pieces' weights.
+    """N-grams that begin at the first `count` of a run of words, with sums of their pieces' weights: words and pairs, or,
+    with a map of frequent pairs, windows.
 
     values: the words, with LONGEST - 1 more than count where there are; left: words of the piece from each on, itself
     included; lang: a code into langs.
     """
 
-    def __init__(self, values: pa.Array, left: np.ndarray, weight: np.ndarray, lang: np.ndarray, count: int, langs: list[str], buckets: int):
+    def __init__(self, values: pa.Array, left: np.ndarray, weight: np.ndarray, lang: np.ndarray, count: int, langs: list[str], buckets: int, pairs: PairMap | None = None):
         coded = values.dictionary_encode()
         order = pc.sort_indices(coded.dictionary).to_numpy()
         rank = np.empty(len(order), np.int64)
@@ -90,27 +134,30 @@ class Chunk:
         self.langs, self.buckets = pa.array(langs, pa.string()), np.uint64(buckets)
         v, c = max(1, len(order)), rank[coded.indices.to_numpy()]
         left, weight, lang = left[:count], weight[:count], lang[:count]
-        one, n_one, _ = summed(lang * v + c[:count], weight)
-        self.tables = [self.gram(1, [one % v], one // v, n_one)]
-        at = np.flatnonzero(left >= 2)
-        if len(at):
-            two, n_two, place = summed((lang[at] * v + c[at]) * v + c[at + 1], weight[at])
-            pair = [two // v % v, two % v]
-            self.tables.append(self.gram(2, pair, two // v // v, n_two))
-            deep = left[at] >= 3
-            at, place = at[deep], place[deep]
+        self.tables = []
+        if pairs is None:
+            one, n_one, _ = summed(lang * v + c[:count], weight)
+            self.tables.append(self.gram(1, [one % v], one // v, n_one))
+            at = np.flatnonzero(left >= 2)
+            if len(at):
+                two, n_two, _ = summed((lang[at] * v + c[at]) * v + c[at + 1], weight[at])
+                self.tables.append(self.gram(2, [two // v % v, two % v], two // v // v, n_two))
+            return
+        hashed = self.hash[c]
+        often = np.concatenate([pairs.has(phrase_hash([hashed[:-1], hashed[1:]])), [False] * LONGEST]) if len(c) else np.zeros(LONGEST, bool)
+        at = np.flatnonzero((left >= 3) & often[:count] & often[1 : count + 1])
         if len(at):
-            three, _, place = summed(place * v + c[at + 2], weight[at])
-            last = np.where(left[at] >= 4, c[np.minimum(at + 3, len(c) - 1)] + 1, 0)
+            two, place = np.unique((lang[at] * v + c[at]) * v + c[at + 1], return_inverse=True)
+            three, place = np.unique(place * v + c[at + 2], return_inverse=True)
+            last = np.where((left[at] >= 4) & often[at + 2], c[np.minimum(at + 3, len(c) - 1)] + 1, 0)
             four, n_four, _ = summed(place * (v + 1) + last, weight[at])
             window = three[four // (v + 1)]
-            self.tables.append(self.gram(3, [pair[0][window // v], pair[1][window // v], window % v], (two // v // v)[window // v], n_four, four % (v + 1)))
+            first = two[window // v]
+            self.tables.append(self.gram(3, [first // v % v, first % v, window % v], first // v // v, n_four, four % (v + 1)))
 
     def gram(self, words: int, codes: list[np.ndarray], lang: np.ndarray, m: np.ndarray, behind: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray]:
         """A table of phrases, and the bucket of each."""
-        hashed = np.zeros(len(m), np.uint64)
-        for c in codes:
-            hashed = mixed(hashed + self.hash[c])
+        hashed = phrase_hash([self.hash[c] for c in codes])
         phrase = pc.binary_join_element_wise(*(self.words.take(pa.array(c)) for c in codes), " ") if words > 1 else self.words.take(pa.array(codes[0]))
         last = pa.nulls(len(m), pa.string()) if behind is None else self.words.take(pa.array(behind - 1, mask=behind == 0))
         table = pa.table([self.langs.take(pa.array(lang)), pa.array(np.full(len(m), words, np.int8)), phrase, last, pa.array(m)], schema=GRAM_SCHEMA)
@@ -123,7 +170,7 @@ class Chunk:
         for table, bucket in self.tables:
             order = np.argsort(bucket, kind="stable")  # phrases stay in order, which compresses well
             sorted_tables.append((table.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(int(self.buckets) + 1))))
-        for b in range(int(self.buckets)):
+        for b in range(int(self.buckets) if sorted_tables else 0):
             parts = [t.slice(at[b], at[b + 1] - at[b]) for t, at in sorted_tables if at[b + 1] > at[b]]
             if parts:
                 sink = pa.BufferOutputStream()
@@ -132,8 +179,9 @@ class Chunk:
                 yield b, sink.getvalue().to_pybytes()
 
 
-def parcels(distinct: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
-    """(bucket, parcel): compressed n-grams of distinct pieces with their weights."""
+def parcels(distinct: DataFrame, buckets: int, chunk: int = CHUNK, pairs: PairMap | None = None) -> DataFrame:
+    """(bucket, parcel): compressed n-grams of distinct pieces with their weights; see Chunk."""
+    known = None if pairs is None else distinct.sparkSession.sparkContext.broadcast(pairs)
 
     def cut(held: list[tuple]):
         values = pa.concat_arrays([h[0] for h in held])
@@ -144,7 +192,7 @@ def parcels(distinct: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
         for at in range(0, len(values), chunk):
             end = min(len(values), at + chunk)
             far = min(len(values), end + LONGEST - 1)
-            got = list(Chunk(values.slice(at, far - at), left[at:end], weight[at:end], code[at:end], end - at, names, buckets).parcels())
+            got = list(Chunk(values.slice(at, far - at), left[at:end], weight[at:end], code[at:end], end - at, names, buckets, known and known.value).parcels())
             for first in range(0, len(got), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got[first : first + 64]], pa.int32()), pa.array([x for _, x in got[first : first + 64]], pa.binary())], names=["bucket", "parcel"])
 
@@ -181,8 +229,8 @@ def counted(parcel: DataFrame, least: int, buckets: int) -> DataFrame:
 
     @lean
     def run(batches):
-        with tempfile.TemporaryDirectory() as scratch:
-            con = duckdb.connect(os.path.join(scratch, "bucket.db"), config={"memory_limit": MEMORY, "threads": 1, "temp_directory": os.path.join(scratch, "spill"), "preserve_insertion_order": False})
+        with tempfile.TemporaryDirectory() as spill:
+            con = duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False})
             try:
                 con.execute("CREATE TABLE grams (lang VARCHAR, words TINYINT, phrase VARCHAR, behind VARCHAR, m BIGINT)")
                 for batch in batches:
@@ -197,6 +245,23 @@ def counted(parcel: DataFrame, least: int, buckets: int) -> DataFrame:
     return parcel.repartitionById(buckets, F.col("bucket")).select("parcel").mapInArrow(run, COUNT_SCHEMA)
 
 
+def frequent_pairs(counts: DataFrame, bits_each: int = PAIR_BITS) -> PairMap:
+    """The map of the pairs among counts: bits are set where they are, and at most MAP_BITS come to the driver."""
+    rows = counts.where("words = 2").select("phrase")
+    size = min(MAP_BITS, max(64, 1 << int(rows.count() * bits_each).bit_length()))
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            both = [p.split(" ") for p in batch.column(0).to_pylist()]
+            place = phrase_hash([word_hashes([p[i] for p in both]) for i in range(2)]) % np.uint64(size)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64))], names=["place"])
+
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    got = rows.mapInArrow(run, "place long").groupBy(F.expr("place div 64").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    return PairMap(got["slot"].to_numpy(), got["bits"].to_numpy().view(np.uint64), size)
+
+
 def scored(counts: DataFrame) -> DataFrame:
     """Candidates with their lowest-scoring cut: lang, words, phrase, a, l, r, score; parts are looked up where they are."""
     candidates = counts.where("words >= 2").withColumnRenamed("f", "a")
@@ -230,7 +295,9 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, percent: int = COVER
     """Per language its best-scoring phrases: lang, rank, phrase, a, l, r, n, score."""
     buckets = shuffle_width(docs.sparkSession)
     distinct = materialise(pieces(docs), "pieces")
-    counts = materialise(counted(parcels(distinct, buckets, chunk), least, buckets), "phrase-counts")
+    short = materialise(counted(parcels(distinct, buckets, chunk), least, buckets), "phrase-counts")
+    long = materialise(counted(parcels(distinct, buckets, chunk, frequent_pairs(short)), least, buckets), "phrase-counts")
+    counts = short.unionByName(long)
     total = counts.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     around = covered(counts, percent).withColumnsRenamed({"lang": "of_lang", "phrase": "of_phrase"})
     wide = lambda c: F.col(c).cast("decimal(20,0)")

@@ -63,6 +63,14 @@ def test_long_pieces_and_copies(spark):
     assert rows_of(collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), chunk=1000)) == plain_collocations(rows)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_map_of_pairs_of_any_size(spark, monkeypatch, bits):
+    """A map far too small lets every window travel; results are the same."""
+    monkeypatch.setattr(collocations, "MAP_BITS", bits)
+    rows = texts(6, 200)
+    assert rows_of(collocations.collocations(spark.createDataFrame(rows, "lang string, text string"))) == plain_collocations(rows)
+
+
 def test_exact_beyond_64_bits(spark):
     big = 1 << 62
     counts = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 3)], collocations.COUNT_SCHEMA)
