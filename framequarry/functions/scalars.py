@@ -1,12 +1,8 @@
-"""Scalar functions as column expressions; only url_join needs Python (Arrow-batched)."""
+"""Scalar functions as column expressions."""
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 SPEAKER_LIMIT = 40
 TRANSCRIPT_LIMIT = 1000
@@ -121,7 +117,43 @@ def merged_maps(left: Column, right: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(left, empty), lambda k, v: ~F.map_contains_key(right, k)), right)
 
 
-@F.pandas_udf(StringType())
-def url_join(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """A reference resolved against its base; null if either is."""
-    return pd.Series([urljoin(b, r) if isinstance(b, str) and isinstance(r, str) else None for b, r in zip(base, ref)], dtype=object)
+# The parts of a reference, each with its delimiters, so that a missing part differs from an empty one.
+_SCHEME, _AUTHORITY, _PATH, _QUERY, _FRAGMENT = 1, 2, 3, 4, 5
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def url_part(url: Column, part: int) -> Column:
+    return F.regexp_extract(url, _PARTS, part)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its "." and ".." parts: a fold over its parts, "..", taking back the part before it."""
+    rooted = F.startswith(path, F.lit("/"))
+    parts = F.split(F.when(rooted, F.substring(path, F.lit(2), F.length(path))).otherwise(path), "/")
+    none = F.array().cast("array<string>")
+    back = lambda kept: F.when(F.size(kept) > 0, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+    kept = F.aggregate(parts, none, lambda kept, p: F.when(p == ".", kept).when(p == "..", back(kept)).otherwise(F.array_append(kept, p)))
+    # A last part of dots leaves the folder that it names.
+    folder = F.element_at(parts, -1).isin(".", "..")
+    joined = F.array_join(F.when(folder, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.contains("."), F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), joined)).otherwise(path)
+
+
+def url_join(base: Column | str, ref: Column | str) -> Column:
+    """A reference resolved against its base, as RFC 3986, section 5.2, says; null if either is.
+
+    Three choices that it leaves open or that HTTP clients make: an empty reference gives the base as it is, a reference
+    with the base's own scheme and no authority is relative, and one with an authority keeps its path as it is written.
+    """
+    base, ref = (F.col(x) if isinstance(x, str) else x for x in (base, ref))
+    own = url_part(ref, _SCHEME)
+    absolute = (own != "") & ((own != url_part(base, _SCHEME)) | (url_part(ref, _AUTHORITY) != ""))
+    authority, path, query = url_part(ref, _AUTHORITY), url_part(ref, _PATH), url_part(ref, _QUERY)
+    base_path = url_part(base, _PATH)
+    folder = F.when((base_path == "") & (url_part(base, _AUTHORITY) != ""), F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)?", 1))
+    merged = F.when(path == "", base_path).when(F.startswith(path, F.lit("/")), without_dots(path)).otherwise(without_dots(F.concat(folder, path)))
+    asked = F.when((path == "") & query.isin("", "?"), url_part(base, _QUERY)).otherwise(query)
+    with_authority = F.concat(authority, path, query)
+    relative = F.concat(url_part(base, _AUTHORITY), merged, asked)
+    fragment = url_part(ref, _FRAGMENT)
+    return F.when(base.isNull() | ref.isNull(), F.lit(None).cast("string")).when(ref == "", base).when(base == "", ref).when(absolute, ref).otherwise(F.concat(url_part(base, _SCHEME), F.when(authority != "", with_authority).otherwise(relative), fragment))

@@ -1,43 +1,34 @@
 """Density clustering of embeddings per video, as relations or per group in numpy.
 
-The relational form finds neighbours block by block, counts them, and takes connected components over core points. A
-video's points are dealt to blocks of bounded size by hash, and each two blocks meet in one group, so a video that holds
-a third of all rows spreads over the cluster, and only pairs within the radius leave a group. The grouped form runs one
-video in one task and is exact for the same definition; it computes distances in blocks, so memory stays linear in the
-video's detections.
+The relational form never lists pairs. Points lie in the blocks of a pivot index (operators.metric), where blocks too far
+apart for any neighbours do not meet. Each block first counts neighbours inside itself and joins the core points it can
+tell already; blocks whose points are all within half the radius of one pivot need no comparison for that. Two blocks
+whose points are all core and in one component have nothing more to tell each other. The others meet twice: to count, up
+to the least number that makes a core point, and, when all core points are known, to join components. What a meeting
+returns is a spanning forest over the components it saw, one edge less than these at most, and the few core points that
+border points touch; forests merge in operators.components. The grouped form runs one video in one task and is exact for
+the same definition; it computes distances in blocks, so memory stays linear in the video's detections.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from framequarry.operators.components import connected_components
-from framequarry.runtime import checkpointed
+from framequarry.operators.metric import BLOCK, MARGIN, blocked, celled, cosine_floor, matrix, near_blocks, normalised
+from framequarry.runtime import materialise
 
 EPS, MIN_SAMPLES = 0.65, 3
-#: Points of one video, on average, that a block holds; two blocks meet in a task.
-BLOCK = 1024
-
-
-def normalised(vector: Column) -> Column:
-    """Length 1, in double precision; a zero vector stays zero."""
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(wide, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
-
-
-def cosine_floor(eps: float) -> float:
-    """Unit vectors lie within eps of each other exactly from this inner product on."""
-    return 1 - eps * eps / 2
 
 
 def neighbours(points: DataFrame, eps: float = EPS, block: int = BLOCK) -> DataFrame:
     """Pairs (video_id, a, b) within eps, each point with itself; points: video_id, det_ord, embedding.
 
-    Exact: every two blocks of a video meet. The cost grows with the square of a video's points, as any exact search
-    in many dimensions, but in independent groups of two blocks.
+    For those who want the pairs themselves, as many as there are; clusters are found without them.
     """
     floor = cosine_floor(eps)
 
@@ -65,21 +56,185 @@ def neighbours(points: DataFrame, eps: float = EPS, block: int = BLOCK) -> DataF
     return met.drop("other").groupBy("video_id", "low", "high").applyInArrow(near, f"video_id {kind}, a long, b long")
 
 
-def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def reached_in_block(close: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """For each core point the first core point that it is joined with; each row of close is looked at once."""
+    first = np.full(len(core), -1)
+    for seed in np.flatnonzero(core):
+        if first[seed] >= 0:
+            continue
+        front = np.array([seed])
+        first[seed] = seed
+        while len(front):
+            fresh = np.flatnonzero(close[front].any(axis=0) & core & (first < 0))
+            first[fresh] = seed
+            front = fresh
+    return first
+
+
+def joined_components(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, lesser component) edges of a spanning forest over the components of the rows and columns of close."""
+    known, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j = place[: len(left)], place[len(left) :]
+    least = np.arange(len(known))
+    while True:
+        new = least.copy()
+        if close.size:
+            np.minimum.at(new, i, np.where(close, least[j][None, :], len(known)).min(axis=1))
+            np.minimum.at(new, j, np.where(close, least[i][:, None], len(known)).min(axis=0))
+        np.minimum.at(new, least, new)  # what a component has reached holds for those joined with it
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    moved = np.flatnonzero(least != np.arange(len(known)))
+    return known[moved], known[least[moved]]
+
+
+@dataclass
+class Meetings:
+    """Points with what their own block tells, and the blocks that must meet.
+
+    points: video_id, block, det_ord, unit, hits (neighbours in the block, at most min_samples) and comp (the first core
+    point of its component in the block, null for points not yet core). blocks: video_id, block, size, tight and whether
+    all its points are core. pairs: video_id, low, high, and full (both hold core points only). sure: edges (video_id,
+    u, v) between components that need no comparison.
+    """
+
+    points: DataFrame
+    blocks: DataFrame
+    pairs: DataFrame
+    sure: DataFrame
+
+    def comparisons(self) -> int:
+        """Pairs of points that are compared, each once, while neighbours are counted and components joined."""
+        inside = self.blocks.where("not tight").agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0
+        sized = self.blocks.select("video_id", "block", "size")
+        low, high = (sized.withColumnsRenamed({"block": c, "size": f"{c}_size"}) for c in ("low", "high"))
+        across = self.pairs.join(low, ["video_id", "low"]).join(high, ["video_id", "high"]).agg(F.sum(F.col("low_size") * F.col("high_size"))).first()[0]
+        return int(inside + (across or 0))
+
+
+def meetings(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> Meetings:
+    floor, kind = cosine_floor(eps), points.schema["video_id"].dataType.simpleString()
+    names = ["video_id", "block", "det_ord", "unit", "hits", "comp", "tight", "low_far", "high_far"]
+
+    def local(key, got):
+        got = got.sort_by("det_ord")
+        ordinal, n = got["det_ord"].to_numpy(), got.num_rows
+        unit, far = matrix(got["unit"]), matrix(got["far"])
+        pivot = int(got["cell"][0].as_py()) // 1024
+        tight = bool(n >= min_samples and far.shape[1] and 2 * far[:, pivot].max() <= eps - MARGIN)
+        if tight:
+            hits, first = np.full(n, min_samples), np.zeros(n, np.int64)
+        else:
+            close = unit @ unit.T >= floor
+            np.fill_diagonal(close, True)
+            hits = np.minimum(close.sum(axis=1), min_samples)
+            first = reached_in_block(close, hits >= min_samples)
+        told = pa.table([got["video_id"], pa.array([key[1].as_py()] * n, pa.int64()), got["det_ord"], got["unit"].cast(pa.list_(pa.float64())), pa.array(hits, pa.int32()), pa.array(ordinal[first], pa.int64(), mask=first < 0), pa.array([tight] * n), pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.list_(pa.float64()))], names=names)
+        ranges = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (far.min(axis=0), far.max(axis=0))]
+        about = pa.table([got["video_id"][:1], pa.array([key[1].as_py()], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([tight]), *ranges], names=names)
+        return pa.concat_tables([told, about])
+
+    schema = f"video_id {kind}, block long, det_ord long, unit array<double>, hits int, comp long, tight boolean, low_far array<double>, high_far array<double>"
+    told = materialise(blocked(celled(points, eps, block), block).groupBy("video_id", "block").applyInArrow(local, schema), "blocks")
+    seen = told.where("det_ord is not null").drop("low_far", "high_far")
+    sums = seen.groupBy("video_id", "block").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("comp").isNotNull()).alias("full"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    ranges = told.where("det_ord is null").select("video_id", "block", "tight", "low_far", "high_far")
+    blocks = materialise(ranges.join(sums, ["video_id", "block"]), "block-sums")
+    pivot = F.floor(F.col("block") / F.lit(1024 << 24))
+    near = near_blocks(blocks.select("video_id", "block", "low_far", "high_far", F.struct("full", "least", "most", "tight", pivot.alias("pivot")).alias("about")), eps)
+    one = lambda side: F.col(f"{side}.full") & (F.col(f"{side}.least") == F.col(f"{side}.most"))
+    both = near.where(~(one("low_about") & one("high_about") & (F.col("low_about.least") == F.col("high_about.least"))))
+    sure = F.col("low_about.tight") & F.col("high_about.tight") & (F.col("low_about.pivot") == F.col("high_about.pivot"))
+    both = materialise(both.withColumn("sure", sure), "block-pairs")
+    edges = both.where("sure").select("video_id", F.col("low_about.least").alias("u"), F.col("high_about.least").alias("v"))
+    pairs = both.where("not sure").select("video_id", "low", "high", (F.col("low_about.full") & F.col("high_about.full")).alias("full"))
+    return Meetings(seen, blocks.select("video_id", "block", "size", "tight", "full"), pairs, edges)
+
+
+def together(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """points, each once for every meeting (video_id, low, high) of its block."""
+    role = pairs.select("video_id", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    return points.join(role, ["video_id", "block"])
+
+
+def split(got: pa.Table, low: int, high: int, floor: float):
+    """Rows of either block and which of them are within the radius; a block meets itself as both."""
+    block, unit = got["block"].to_numpy(), matrix(got["unit"])
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    close = unit[a] @ unit[b].T >= floor
+    if low == high:
+        np.fill_diagonal(close, True)
+    return a, b, close
+
+
+def core_points(met: Meetings, floor: float, min_samples: int) -> DataFrame:
+    """points with comp set for all core points: those that the meetings of their block have made core are their own."""
+    kind = met.points.schema["video_id"].dataType.simpleString()
+
+    def counted(key, got):
+        a, b, close = split(got, key[1].as_py(), key[2].as_py(), floor)
+        hits = np.zeros(got.num_rows, np.int64)
+        hits[a], hits[b] = close.sum(axis=1), close.sum(axis=0)
+        open_rows = np.flatnonzero((hits > 0) & got["open"].to_numpy(zero_copy_only=False))
+        return pa.table([got["video_id"].take(pa.array(open_rows)), got["det_ord"].take(pa.array(open_rows)), pa.array(np.minimum(hits[open_rows], min_samples), pa.int32())], names=["video_id", "det_ord", "more"])
+
+    open_pairs = met.pairs.where("not full")
+    rows = together(met.points.select("video_id", "block", "det_ord", "unit", F.col("comp").isNull().alias("open")), open_pairs)
+    more = rows.select("video_id", "low", "high", "block", "det_ord", "unit", "open").groupBy("video_id", "low", "high").applyInArrow(counted, f"video_id {kind}, det_ord long, more int")
+    more = more.groupBy("video_id", "det_ord").agg(F.sum("more").alias("more"))
+    enough = F.col("hits") + F.coalesce("more", F.lit(0)) >= min_samples
+    return met.points.join(more, ["video_id", "det_ord"], "left").withColumn("comp", F.coalesce("comp", F.when(enough, F.col("det_ord")))).drop("more")
+
+
+def forest(points: DataFrame, met: Meetings, floor: float) -> DataFrame:
+    """(video_id, border, u, v): edges between components where border is null, else a point that is not core and u the
+    component of a core point that it touches."""
+    kind = points.schema["video_id"].dataType.simpleString()
+    names = ["video_id", "border", "u", "v"]
+
+    def joined(key, got):
+        low, high = key[1].as_py(), key[2].as_py()
+        a, b, close = split(got, low, high, floor)
+        comp, ordinal = got["comp"].to_numpy(zero_copy_only=False), got["det_ord"].to_numpy()
+        core = ~np.isnan(comp) if comp.dtype.kind == "f" else np.ones(len(comp), bool)
+        named = np.where(core, np.nan_to_num(comp), -1).astype(np.int64) if comp.dtype.kind == "f" else comp
+        u, v = joined_components(close[core[a]][:, core[b]], named[a[core[a]]], named[b[core[b]]])
+        touched = []
+        for rows, columns, near in ((a, b, close), (b, a, close.T))[: 1 if low == high else 2]:
+            i, j = np.nonzero(near[~core[rows]][:, core[columns]])
+            touched.append(np.stack([ordinal[rows[~core[rows]][i]], named[columns[core[columns]][j]]]))
+        border, of = np.unique(np.concatenate(touched, axis=1), axis=1) if sum(t.shape[1] for t in touched) else np.zeros((2, 0), np.int64)
+        video = pa.array([key[0].as_py()] * (len(u) + len(border)), got["video_id"].type)
+        return pa.table([video, pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(border, pa.int64())]), pa.array(np.concatenate([u, of]), pa.int64()), pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(border), pa.int64())])], names=names)
+
+    alone = met.blocks.where("not full").select("video_id", F.col("block").alias("low"), F.col("block").alias("high"))
+    rows = together(points.select("video_id", "block", "det_ord", "unit", "comp"), met.pairs.select("video_id", "low", "high").unionByName(alone))
+    return rows.select("video_id", "low", "high", "block", "det_ord", "unit", "comp").groupBy("video_id", "low", "high").applyInArrow(joined, f"video_id {kind}, border long, u long, v long")
+
+
+def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:
     """(video_id, det_ord, label): labels number clusters from 0 in the order of their first core point; noise is -1.
 
     A border point takes the lowest label among the core points that it neighbours.
     """
-    near = checkpointed(neighbours(points, eps))
-    core = near.groupBy("video_id", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("video_id", F.col("a").alias("core"))
-    edges = near.join(core.withColumnRenamed("core", "a"), ["video_id", "a"], "left_semi").join(core.withColumnRenamed("core", "b"), ["video_id", "b"], "left_semi")
+    floor = cosine_floor(eps)
+    met = meetings(points, eps, min_samples, block)
+    known = materialise(core_points(met, floor, min_samples), "core-points")
+    found = materialise(forest(known, met, floor), "forest")
     # Nodes are (video, ordinal) structs, whose order is that of ordinals inside a video.
     node = lambda c: F.struct(F.col("video_id"), F.col(c).alias("det_ord"))
-    found = connected_components(edges.select(node("a").alias("x"), node("b").alias("y")), "x", "y")
-    numbered = found.select("node.video_id", F.col("node.det_ord").alias("core"), F.col("component.det_ord").alias("first"))
-    numbered = numbered.withColumn("label", F.dense_rank().over(Window.partitionBy("video_id").orderBy("first")) - 1)
-    reached = near.join(numbered.select("video_id", F.col("core").alias("b"), "label"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("det_ord")).agg(F.min("label").alias("label"))
-    return points.select("video_id", "det_ord").join(reached, ["video_id", "det_ord"], "left").select("video_id", "det_ord", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    edges = found.where("border is null").select("video_id", "u", "v").unionByName(met.sure)
+    tops = connected_components(edges.select(node("u").alias("x"), node("v").alias("y")), "x", "y")
+    tops = tops.select("node.video_id", F.col("node.det_ord").alias("comp"), F.col("component.det_ord").alias("top"))
+    cores = known.where("comp is not null").select("video_id", "comp").distinct().join(tops, ["video_id", "comp"], "left").withColumn("top", F.coalesce("top", "comp"))
+    cores = cores.withColumn("label", F.dense_rank().over(Window.partitionBy("video_id").orderBy("top")) - 1)  # a row a component of a block
+    labels = materialise(cores.select("video_id", "comp", "label"), "components")
+    border = found.where("border is not null").select("video_id", F.col("border").alias("det_ord"), F.col("u").alias("comp")).join(labels, ["video_id", "comp"])
+    border = border.groupBy("video_id", "det_ord").agg(F.min("label").alias("near"))
+    rows = known.select("video_id", "det_ord", "comp").join(labels, ["video_id", "comp"], "left").join(border, ["video_id", "det_ord"], "left")
+    return rows.select("video_id", "det_ord", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"))
 
 
 def dbscan(vectors: np.ndarray, eps: float = EPS, min_samples: int = MIN_SAMPLES, block: int = 1024) -> np.ndarray:

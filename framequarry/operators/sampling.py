@@ -6,8 +6,9 @@ no plan needs a shuffle except the merging of regions of interest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from framequarry.operators.islands import merged
 from framequarry.plans.profiles import Profile
 
 COARSE_SECONDS, COARSE_CHECKS = 5, 100
@@ -78,13 +79,7 @@ def regions(points: DataFrame, margin: float = MARGIN) -> DataFrame:
 
     Ranges that touch or overlap become one. A range that begins at the largest end so far continues it.
     """
-    order = Window.partitionBy("video_id").orderBy("ts")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = points.select("video_id", "ts", F.greatest(F.lit(0.0), F.col("ts") - margin).alias("start"), (F.col("ts") + margin).alias("end"))
-    rows = rows.withColumn("reach", F.max("end").over(before))
-    rows = rows.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))
-    rows = rows.withColumn("range_no", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("video_id", "range_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("points"))
+    return merged(points.select("video_id", F.greatest(F.lit(0.0), F.col("ts") - margin).alias("start"), (F.col("ts") + margin).alias("end")))
 
 
 def refine_step(total_seconds: Column, fps: Column) -> Column:

@@ -199,7 +199,7 @@ def best_people(spark: SparkSession, sf_dir: str, parts: int = 1, eps: float = V
 def best_person_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best frame of each person with the line being spoken, named."""
     best = best_people(spark, sf_dir, 5, SPARSE_EPS).withColumn("ts", (F.col("det_ord") % 90) / F.lit(2.0))
-    found = context.with_context(best, captions(spark, sf_dir), ["video_id", "person_id"])
+    found = context.with_context(best, captions(spark, sf_dir))
     return found.select("video_id", "person_id", "det_ord", "score", "ts", scalars.person_name(F.col("speaker"), F.col("person_id")).alias("name"), "context_text")
 
 
@@ -263,7 +263,7 @@ CAPTIONS: dict[str, Query] = {
     "captions_parsed": captions,
     "vtt_parsed": lambda s, d: vtt.parse_captions(vtt_texts(s, d)),
     "transcript_text": lambda s, d: vtt.transcripts(captions(s, d)),
-    "context_join": lambda s, d: context.with_context(moments(s, d), captions(s, d), ["event_id", "video_id"]),
+    "context_join": lambda s, d: context.with_context(moments(s, d), captions(s, d)),
     "caption_counts": caption_counts,
 }
 

@@ -130,7 +130,7 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
     best = selection.best_per_person(ranked, clustering.clusters(ranked, plugins.eps))
     best = best.join(videos.select("video_id", "fps"), "video_id").withColumn("ts", sampling.timestamp(F.col("frame_idx"), F.col("fps"))).drop("fps")
     if captions is not None:
-        best = context.with_context(best, captions, ["video_id", "person_id"])
+        best = context.with_context(best, captions)
     else:
         best = best.withColumns({"speaker": F.lit(None).cast("string"), "context_text": F.lit(None).cast("string")})
     jobs = payload.with_job(good.withColumnRenamed("request_id", "video_id").drop("error"), plugins.date, plugins.job_id).join(videos, "video_id").withColumn("base_path", payload.base_path(profile))

@@ -6,36 +6,35 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framequarry.functions.scalars import is_transport_stream, url_join
 from framequarry.runtime import materialise
 from framequarry.sources.media import Fetcher, fetched
 
 
-def lines(playlists: DataFrame) -> DataFrame:
-    """(playlist_url, text) to its lines with the tag line that comes last before each."""
-    rows = playlists.select("playlist_url", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    order = Window.partitionBy("playlist_url").orderBy("line_no")
-    return rows.withColumn("tag", F.lag("line").over(order))
+# A tag's line, what may stand between it and its URI (nothing or blank lines; any comments but another such tag), the URI.
+_BLANK = r"(?:\n[ \t]*+(?=\n))*+"
+_VARIANT = r"(?m)^ *+(#EXT-X-STREAM-INF:[^\n]*+" + _BLANK + r"\n *+[^#\s][^\n]*+)"
+_SEGMENT = r"(?m)^ *+#EXTINF[^\n]*+(?:\n *+(?:#(?!EXTINF)[^\n]*+)?(?=\n))*+\n *+([^#\s][^\n]*+)"
+
+
+def text_lines(playlists: DataFrame) -> Column:
+    return F.regexp_replace("text", r"\r\n?", "\n")
 
 
 def variants(playlists: DataFrame) -> DataFrame:
-    """(playlist_url, pos, uri, bandwidth, width, height) of master playlists."""
-    uris = lines(playlists).where("line not like '#%' and tag like '#EXT-X-STREAM-INF:%'")
-    number = lambda pattern: F.try_to_number(F.nullif(F.regexp_extract("tag", pattern, 1), F.lit("")), F.lit("999999999999999999")).cast("long")
-    pos = F.row_number().over(Window.partitionBy("playlist_url").orderBy("line_no")) - 1
-    return uris.select("playlist_url", pos.alias("pos"), F.col("line").alias("uri"), number(r"(?:^|[:,])BANDWIDTH=(\d+)").alias("bandwidth"), number(r"RESOLUTION=(\d+)x").cast("int").alias("width"), number(r"RESOLUTION=\d+x(\d+)").cast("int").alias("height"))
+    """(playlist_url, pos, uri, bandwidth, width, height) of master playlists: URIs right behind a variant's tag."""
+    rows = playlists.select("playlist_url", F.posexplode(F.regexp_extract_all(text_lines(playlists), F.lit(_VARIANT), F.lit(1))).alias("pos", "found"))
+    tag, uri = F.substring_index("found", "\n", 1), F.trim(F.substring_index("found", "\n", -1))
+    number = lambda pattern: F.try_to_number(F.nullif(F.regexp_extract(tag, pattern, 1), F.lit("")), F.lit("999999999999999999")).cast("long")
+    return rows.select("playlist_url", "pos", uri.alias("uri"), number(r"(?:^|[:,])BANDWIDTH=(\d+)").alias("bandwidth"), number(r"RESOLUTION=(\d+)x").cast("int").alias("width"), number(r"RESOLUTION=\d+x(\d+)").cast("int").alias("height"))
 
 
 def segments(playlists: DataFrame) -> DataFrame:
-    """(playlist_url, pos, uri) of media playlists: URIs behind a duration tag, whatever stands between."""
-    rows = lines(playlists)
-    order = Window.partitionBy("playlist_url").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.when(F.col("line").startswith("#EXTINF"), 1).when(~F.col("line").startswith("#"), 0)
-    rows = rows.withColumn("kind", kind).withColumn("behind", F.last("kind", ignorenulls=True).over(order)).where("kind = 0 and behind = 1")
-    pos = F.row_number().over(Window.partitionBy("playlist_url").orderBy("line_no")) - 1
-    return rows.select("playlist_url", pos.alias("pos"), F.col("line").alias("uri"))
+    """(playlist_url, pos, uri) of media playlists: URIs behind a duration tag, whatever comments stand between."""
+    rows = playlists.select("playlist_url", F.posexplode(F.regexp_extract_all(text_lines(playlists), F.lit(_SEGMENT), F.lit(1))).alias("pos", "uri"))
+    return rows.select("playlist_url", "pos", F.trim("uri").alias("uri"))
 
 
 def best_variants(found: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from framequarry.functions.scalars import one_line, py_fixed, shortened, speaker_of, speech_of, vtt_seconds
+from framequarry.functions.scalars import TRANSCRIPT_LIMIT, one_line, py_fixed, shortened, speaker_of, speech_of, vtt_seconds
 
 TIMING = r"^\s*((?:\d+:)?\d{1,2}:\d{2}[.,]\d{1,3})\s+-->\s+((?:\d+:)?\d{1,2}:\d{2}[.,]\d{1,3})"
 
@@ -18,15 +20,19 @@ def parse_captions(tracks: DataFrame) -> DataFrame:
 
     Blocks are separated by blank lines; what stands above the timing line is the cue's name.
     """
-    blocks = tracks.select("video_id", F.posexplode(F.split(F.regexp_replace("vtt", r"\r\n?", "\n"), r"\n[ \t]*\n+")).alias("block", "cue"))
-    lines = blocks.withColumn("lines", F.split("cue", "\n"))
-    at = F.array_position(F.transform("lines", lambda x: x.rlike(TIMING)), True)
-    cues = lines.withColumn("at", at).where("at > 0").withColumn("timing", F.get("lines", F.col("at").cast("int") - 1))
-    text = F.array_join(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), "\n")
-    rows = cues.select("video_id", "block", vtt_seconds(F.regexp_extract("timing", TIMING, 1)).alias("start"), vtt_seconds(F.regexp_extract("timing", TIMING, 2)).alias("end"), one_line(F.regexp_replace(text, r"<[^<>]*>", "")).alias("line"))
-    rows = rows.where("start is not null and end is not null")
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("block")) - 1
-    return spoken(rows.withColumn("ordinal", number), "line")
+    cue = F.split(F.regexp_replace("vtt", r"\r\n?", "\n"), r"\n[ \t]*\n+")
+    lines = F.transform(cue, lambda c: F.split(c, "\n"))
+    at = lambda x: F.array_position(F.transform(x, lambda y: y.rlike(TIMING)), True).cast("int")
+
+    def read(x):
+        timing = F.get(x, at(x) - 1)
+        stamp = lambda k: vtt_seconds(F.regexp_extract(timing, TIMING, k))
+        return F.struct(stamp(1).alias("start"), stamp(2).alias("end"), F.array_join(F.slice(x, at(x) + 1, F.size(x)), "\n").alias("text"))
+
+    found = F.transform(F.filter(lines, lambda x: at(x) > 0), read)
+    # Ordinals are places in the track's own array, so no track is sorted or gathered.
+    rows = tracks.select("video_id", F.posexplode(F.filter(found, lambda x: x["start"].isNotNull() & x["end"].isNotNull())).alias("ordinal", "cue"))
+    return spoken(rows.select("video_id", "ordinal", "cue.start", "cue.end", one_line(F.regexp_replace("cue.text", r"<[^<>]*>", "")).alias("line")), "line")
 
 
 def spoken(rows: DataFrame, line: str) -> DataFrame:
@@ -35,18 +41,68 @@ def spoken(rows: DataFrame, line: str) -> DataFrame:
     return rows.select("video_id", "ordinal", "start", "end", speaker_of(clean).alias("speaker"), speech_of(clean).alias("text"))
 
 
+def first_lines(rows, limit: int) -> list[tuple]:
+    """The first (ordinal, line) rows in order, as long as what stands before a row is no longer than limit."""
+    out, before = [], 0
+    for row in sorted(rows):
+        if before > limit:
+            break
+        out.append(row)
+        before += len(row[1]) + 1
+    return out
+
+
+def first_captions(lines: DataFrame, limit: int, held: int = 20_000) -> DataFrame:
+    """The lines (video_id, ordinal, s) of each video that its text of limit characters can begin with, as one row
+    (video_id, ordinals, said) a video.
+
+    A bounded aggregate: the beginning of a whole is made of the beginnings of its parts. Every task keeps the beginnings
+    of the videos it reads and passes them on; these are merged for 64 parts of a video, and then for the video.
+    """
+    kind = lines.schema["video_id"].dataType.simpleString()
+    names = ["video_id", "part", "ordinals", "said"]
+
+    def rows_of(videos, parts, beginnings, video_type):
+        return [pa.array(videos, video_type), pa.array(parts, pa.int32()), pa.array([[o for o, _ in b] for b in beginnings], pa.list_(pa.int64())), pa.array([[s for _, s in b] for b in beginnings], pa.list_(pa.string()))]
+
+    def partial(batches):
+        part, found, count = TaskContext.get().partitionId() % 64, {}, 0
+
+        def out():
+            arrays = rows_of(list(found), [part] * len(found), [first_lines(x, limit) for x in found.values()], video_type)
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            video_type = batch.column(0).type
+            for video, ordinal, said in zip(*(c.to_pylist() for c in batch.columns)):
+                own = found.setdefault(video, [])
+                own.append((ordinal, said))
+                count += 1
+                if len(own) > 2 * limit:
+                    found[video] = first_lines(own, limit)
+            if count > held:
+                yield out()
+                found, count = {}, 0
+        if found:
+            yield out()
+
+    def merge(got):
+        rows = [r for ordinals, said in zip(got["ordinals"].to_pylist(), got["said"].to_pylist()) for r in zip(ordinals, said)]
+        return pa.table(rows_of(got["video_id"][:1].to_pylist(), [0], [first_lines(rows, limit)], got["video_id"].type), names=names)
+
+    schema = f"video_id {kind}, part int, ordinals array<long>, said array<string>"
+    first = lines.select("video_id", F.col("ordinal").cast("long").alias("ordinal"), "s").mapInArrow(partial, schema)
+    return first.groupBy("video_id", "part").applyInArrow(merge, schema).groupBy("video_id").applyInArrow(merge, schema).drop("part")
+
+
 def transcripts(captions: DataFrame) -> DataFrame:
     """One text per video: "[12.0s] Speaker: words", captions without text left out, shortened to a thousand characters.
 
-    Captions that begin beyond a thousand characters are left out before the others are gathered, so no video's list
-    is longer than that.
+    Only captions that the shortened text can show travel (first_captions), so no video's list grows with it.
     """
     said = F.concat(F.lit("["), py_fixed(F.col("start"), 1), F.lit("s] "), F.coalesce(F.when(F.col("speaker") != "", F.concat("speaker", F.lit(": "))), F.lit("")), F.col("text"))
     lines = captions.where("text is not null and text <> ''").select("video_id", "ordinal", said.alias("s"))
-    before = Window.partitionBy("video_id").orderBy("ordinal", "s").rowsBetween(Window.unboundedPreceding, -1)
-    kept = lines.withColumn("before", F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0))).where("before <= 1000")
-    kept = kept.select("video_id", F.struct("ordinal", "s").alias("e"))
-    return kept.groupBy("video_id").agg(shortened(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["s"]), " ")).alias("transcription"))
+    return first_captions(lines, TRANSCRIPT_LIMIT).select("video_id", shortened(F.array_join("said", " ")).alias("transcription"))
 
 
 class VttFile(InputPartition):

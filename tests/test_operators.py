@@ -151,7 +151,7 @@ def test_context_matches_loops(spark):
     rng = random.Random(2)
     captions = [("v", i, float(s := rng.randrange(0, 400) / 4), s + rng.choice([0.0, 0.5, 3.0, 40.0]), rng.choice([None, "", "Ann", "Bo"]), f"t{i}") for i in range(60)]
     moments = [("v", i, rng.randrange(0, 480) / 4) for i in range(400)] + [("w", 1000, 5.0)]
-    got = context.with_context(spark.createDataFrame(moments, "video_id string, m long, ts double"), spark.createDataFrame(captions, "video_id string, ordinal int, start double, end double, speaker string, text string"), ["video_id", "m"]).collect()
+    got = context.with_context(spark.createDataFrame(moments, "video_id string, m long, ts double"), spark.createDataFrame(captions, "video_id string, ordinal int, start double, end double, speaker string, text string")).collect()
     assert len(got) == len(moments)
     for r in got:
         assert (r["speaker"], r["context_text"]) == find_context(r["ts"], captions if r["video_id"] == "v" else [])
