@@ -430,6 +430,27 @@ def pairs_of_cell(rows: dict, percent: int):
         yield x[ok], y[ok], differ[ok]
 
 
+#: Cells of up to so many rows are compared all at once, row by row at one distance after another.
+SMALL = 16
+
+
+def pairs_of_small_cells(rows: dict, cell_of: np.ndarray, percent: int):
+    """(i, j, parity bits that differ) as pairs_of_cell gives them, of whole shingles (one salt, one part) whose cells,
+    numbered by cell_of, have at most SMALL rows."""
+    component, n, pos, parity = (rows[c] for c in ("component", "n", "pos", "parity"))
+    for lag in range(1, min(SMALL, len(n))):
+        i = np.flatnonzero(cell_of[lag:] == cell_of[:-lag])
+        if not len(i):
+            return
+        j = i + lag
+        needed = least_overlap(n[i], n[j], percent)
+        fits = (component[i] != component[j]) & (needed <= n[i] - pos[i]) & (needed <= n[j] - pos[j])
+        i, j = i[fits], j[fits]
+        differ = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+        ok = differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+        yield i[ok], j[ok], differ[ok]
+
+
 REMAINDER_NAMES = ["shingle", "cell", "salts", "parts", "part", "rep", "component", "n", "pos", "outside", "parity"]
 
 
@@ -440,8 +461,8 @@ def places(rows: DataFrame) -> DataFrame:
 
 def remaining_pairs(spread: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """The pairs (a, b) of different components that share a shingle of their prefixes and whose sizes, places and parity
-    maps let them reach the similarity; none that reaches it is left out. spread: see places. nearest: of each two
-    components that a batch of shingles brings together, only the pair whose maps differ least.
+    maps let them reach the similarity; none that reaches it is left out. spread: see places. nearest: of each component
+    that a batch of shingles holds, only the pair with another whose maps differ least.
 
     Rows whose place leaves too little even for the smallest set that has the shingle go before they meet any other:
     pages that share a template have their own shingles first and the shared ones there. The others of a shingle are
@@ -455,7 +476,13 @@ def remaining_pairs(spread: DataFrame, labels: DataFrame, similarity: float, nea
         parity = fixed(table["parity"], PARITY // 8).view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])]))
         got, rep, component = [], rows["rep"], rows["component"]
-        for start, end in zip(starts, [*starts[1:], len(rep)]):
+        sizes = np.diff(np.append(starts, len(rep)))
+        small = (sizes > 1) & (sizes <= SMALL) & (rows["salts"][starts] == 1) & (rows["parts"][starts] == 1)
+        at = np.flatnonzero(np.repeat(small, sizes))
+        if len(at):
+            own = {c: rows[c][at] for c in ("component", "n", "pos")} | {"parity": parity[at]}
+            got += [(at[i], at[j], d) for i, j, d in pairs_of_small_cells(own, np.repeat(np.arange(len(starts)), sizes)[at], percent)]
+        for start, end in zip(starts[~small], (starts + sizes)[~small]):
             if end - start > 1:
                 own = {c: v[start:end] for c, v in rows.items()} | {"parity": parity[start:end]} | {c: int(rows[c][start]) for c in ("cell", "salts", "parts")}
                 got += [(i + start, j + start, d) for i, j, d in pairs_of_cell(own, percent) if len(i)]
@@ -463,12 +490,14 @@ def remaining_pairs(spread: DataFrame, labels: DataFrame, similarity: float, nea
             return
         i, j, differ = (np.concatenate(c) for c in zip(*got))
         a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        if nearest:
+        if nearest and len(i):
             low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
-            order = np.lexsort((b, a, differ, high, low))
-            low, high = low[order], high[order]
-            order = order[np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])]
-            a, b = a[order], b[order]
+            take = []
+            for end in (low, high):
+                order = np.lexsort((b, a, differ, end))
+                take.append(order[np.concatenate([[True], end[order][1:] != end[order][:-1]])])
+            take = np.unique(np.concatenate(take))
+            a, b = a[take], b[take]
         a, b = np.unique(np.stack([a, b]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 

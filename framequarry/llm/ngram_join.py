@@ -1,7 +1,8 @@
 """Jaccard join on word n-grams: a blocked sparse product of the document by n-gram incidence with itself.
 
 Rows of the incidence are distinct shingle sets, columns are shingles; the product's entries are overlaps of sets. Columns
-are ordered by how many documents have them, rare ones first, as counted over all documents in a fixed number of counters.
+are ordered, the same way for all sets: those that several of a sample of SAMPLED documents have come last, which only
+decides how much work there is.
 Two sets that reach the similarity share a shingle in the first columns of both, as many as their sizes leave free, so
 the product's first stripe of columns decides which entries can matter at all:
 
@@ -11,8 +12,8 @@ the product's first stripe of columns decides which entries can matter at all:
 * Rows that are linked need no further entries among themselves. What is left of the stripe, between different
   components, is multiplied whole, in cells of bounded size, with pairs dropped by the bounds that sizes, places in the
   order and parities of 512 blocks of columns set to their overlap.
-* The entries that remain are accumulated over the blocks of all columns, on the full sets; a pair goes as soon as its
-  overlap so far and what both sets still have fall below what their sizes need.
+* The entries that remain are accumulated over the blocks of all columns, on the full sets, the first block alone and then
+  the others; a pair goes as soon as its overlap so far and what both sets still have fall below what their sizes need.
 
 Rounds end when no entry is left between components, so no link is lost and no pairs inside a component are listed.
 
@@ -28,55 +29,45 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from framequarry.llm.near_dedup import BROADCAST_IDS, PARITY, best_pairs, full_sets, least_overlap, members, plain, remaining_pairs, shingle_set
+from framequarry.llm.near_dedup import BROADCAST_IDS, PARITY, best_pairs, least_overlap, members, plain, remaining_pairs, shingle_set
 from framequarry.operators.components import connected_components
 from framequarry.runtime import lean, materialise, shuffle_width
 
-#: Counters of the columns' order, slices in which tasks send them, and tasks whose slices one group adds up.
-COUNTERS, SLICES, ADDED = 1 << 20, 64, 256
-#: Shingles of the larger set that a block of columns holds, about.
-COLUMN_BLOCK = 2048
+#: Documents, about, whose shingles tell which are frequent, and how many of those are told apart: for the order alone.
+SAMPLED, FREQUENT = 20_000, 500_000
+#: The first block of columns holds one in so many of them; of the others, blocks hold about so many of the larger set.
+FIRST_BLOCK, COLUMN_BLOCK = 8, 2048
 
 ROW_SCHEMA = "doc_id long, n_shingles long, set_hash binary, parity binary, prefix array<long>"
 STRIPE_SCHEMA = "a long, b long, shingle long, rep long, n long, pos long"
 
 
-def counter_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - 20)).astype(np.int64)
-
-
-def column_counts(docs: DataFrame, words_per: int) -> np.ndarray:
-    """How many documents have shingles of each counter: COUNTERS numbers, however many documents there are."""
-    each = COUNTERS // SLICES
+def frequent_columns(docs: DataFrame, words_per: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT shingles that several sampled documents have, sorted, and how many have them."""
 
     @lean
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sets = [shingle_set(text.as_py(), words_per) for text in batch.column(1)]
-            if sets:
-                counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        group = TaskContext.get().partitionId() // ADDED
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([pack(counts[i * each : (i + 1) * each].tobytes()) for i in range(SLICES)], pa.binary())], names=["slice", "part", "counts"])
-
-    def added(got):
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(each, np.int64)
-        for x in got["counts"]:
-            total += np.frombuffer(unpack(x.as_py()), np.int64)
-        return pa.table({"slice": got["slice"][:1], "part": pa.array([0], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
-
-    schema = "slice int, part int, counts binary"
-    found = plain(docs).mapInArrow(run, schema).groupBy("slice", "part").applyInArrow(added, schema).groupBy("slice").applyInArrow(added, schema)
-    out = np.zeros(COUNTERS, np.int64)
-    for r in found.collect():  # at most SLICES rows
-        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
-    return out
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words_per).view(np.int64))], names=["shingle"])
+
+    one_in = max(1, docs.count() // SAMPLED)
+    sample = plain(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    got = counts.orderBy(F.desc("held"), "shingle").limit(FREQUENT).toArrow()
+    shingles, held = got["shingle"].to_numpy().view(np.uint64), got["held"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], held[order]
+
+
+def first_columns(x: np.ndarray, often: np.ndarray, count: int) -> np.ndarray:
+    """The first `count` of the sorted shingles x in the order of (often, x)."""
+    bound = np.partition(often, count - 1)[count - 1]
+    less = np.flatnonzero(often < bound)
+    less = less[np.argsort(often[less], kind="stable")]
+    return x[np.concatenate([less, np.flatnonzero(often == bound)[: count - len(less)]])]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -86,11 +77,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 def incidence(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     """Per document the size and hash of its set, parities of PARITY column blocks, and its first columns in order."""
-    counts = docs.sparkSession.sparkContext.broadcast(column_counts(docs, words_per).astype(np.uint32))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_columns(docs, words_per))
 
     @lean
     def run(batches):
-        often = counts.value
+        known, held = frequent.value
         for batch in batches:
             ids = batch.column(0)
             for first in range(0, batch.num_rows, 1000):
@@ -100,8 +91,9 @@ def incidence(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
                     sizes.append(len(x))
                     hashes.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     parity.append(np.packbits((np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
-                    order = np.lexsort((x, often[counter_of(x)]))
-                    prefix.append(x[order[: prefix_length(len(x), percent)]].view(np.int64) if len(x) else [])
+                    at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                    often = np.where(known[at] == x, held[at], 0) if len(known) else np.zeros(len(x), np.int64)
+                    prefix.append(first_columns(x, often, prefix_length(len(x), percent)).view(np.int64) if len(x) else [])
                 yield pa.RecordBatch.from_arrays([ids[first : first + 1000], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "parity", "prefix"])
 
     return plain(docs).mapInArrow(run, ROW_SCHEMA)
@@ -146,39 +138,61 @@ def first_stripe(classes: DataFrame, percent: int) -> DataFrame:
     return rows.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, STRIPE_SCHEMA)
 
 
-def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the overlap of two sorted sets, added up over blocks of columns, reaches what their sizes need."""
-    needed = -(-percent * (len(x) + len(y)) // (100 + percent))
-    if min(len(x), len(y)) < needed:
-        return False
-    wide = x if len(x) > len(y) else y
-    count = at = to = 0
+def needed_overlap(n: int, m: int, percent: int) -> int:
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def reaches(x: np.ndarray, y: np.ndarray, needed: int, count: int = 0) -> bool:
+    """Whether count and the overlap of two sorted sets, added up over blocks of columns, reach what is needed."""
+    wide, at, to = x if len(x) > len(y) else y, 0, 0
     for k in range(0, len(wide), COLUMN_BLOCK):
-        last = k + COLUMN_BLOCK >= len(wide)
-        up_to = None if last else wide[k + COLUMN_BLOCK]
-        end, stop = (len(x), len(y)) if last else (int(np.searchsorted(x, up_to)), int(np.searchsorted(y, up_to)))
-        both = np.concatenate([x[at:end], y[to:stop]])
-        both.sort(kind="stable")
-        count += int((both[1:] == both[:-1]).sum())
-        at, to = end, stop
         if count + min(len(x) - at, len(y) - to) < needed:
             return False
+        last = k + COLUMN_BLOCK >= len(wide)
+        end, stop = (len(x), len(y)) if last else (int(np.searchsorted(x, wide[k + COLUMN_BLOCK])), int(np.searchsorted(y, wide[k + COLUMN_BLOCK])))
+        count += shared(x[at:end], y[to:stop])
+        at, to = end, stop
     return count >= needed
 
 
 def accumulated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The entries (a, b) whose overlap over all columns reaches the similarity."""
+    """The entries (a, b) whose overlap over all columns reaches the similarity; sets: rep, n, first and others (see
+    set_blocks). The first block drops most that have little in common, before whole sets travel."""
+    numbers = lambda x: np.frombuffer(x.as_py(), np.uint64)
+
+    def both(rows, column, *also):
+        for end in ("a", "b"):
+            rows = rows.join(sets.select(F.col("rep").alias(end), F.col(column).alias(f"{column}_{end}"), *(F.col(c).alias(f"{c}_{end}") for c in also)), end)
+        return rows
 
     @lean
-    def run(batches):
+    def begin(batches):
+        for batch in batches:
+            keep, counts, needs = [], [], []
+            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                x, y, needed = numbers(x), numbers(y), needed_overlap(n, m, percent)
+                counts.append(shared(x, y))
+                needs.append(needed)
+                keep.append(counts[-1] + min(n - len(x), m - len(y)) >= needed)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(needs, pa.int64()))], names=["a", "b", "count", "needed"])
+
+    @lean
+    def finish(batches):
         for batch in batches:
-            hit = [reaches(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            hit = [reaches(numbers(x), numbers(y), needed, count) for count, needed, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5))]
             mask = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    begun = both(pairs.select("a", "b"), "first", "n").select("a", "b", "first_a", "first_b", "n_a", "n_b").mapInArrow(begin, "a long, b long, count long, needed long")
+    begun = materialise(begun, "begun")
+    return both(begun, "others").select("a", "b", "count", "needed", "others_a", "others_b").mapInArrow(finish, "a long, b long")
 
 
 def within_parity(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -200,14 +214,31 @@ def within_parity(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long, differ long")
 
 
+def set_blocks(docs: DataFrame, ids: DataFrame, words_per: int) -> DataFrame:
+    """(rep, n, first, others) of the documents among ids: sizes, and sorted shingles of the first block of columns and of
+    all others."""
+    bound = np.uint64((1 << 64) // FIRST_BLOCK)
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t.as_py(), words_per) for t in batch.column(1)[at : at + 500]]
+                cut = [int(np.searchsorted(x, bound)) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 500], pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:k].tobytes() for x, k in zip(sets, cut)], pa.binary()), pa.array([x[k:].tobytes() for x, k in zip(sets, cut)], pa.binary())], names=["rep", "n", "first", "others"])
+
+    wanted = plain(docs).join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    return wanted.mapInArrow(run, "rep long, n long, first binary, others binary").dropDuplicates(["rep"])
+
+
 def sets_of(docs: DataFrame, pairs: DataFrame, words_per: int, known: DataFrame | None = None) -> DataFrame:
-    """(rep, shingles) of the ends of pairs, besides those known."""
+    """Set blocks of the ends of pairs, besides those known."""
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     if known is not None:
         ids = ids.join(known.select("rep"), "rep", "left_anti")
     ids = materialise(ids, "pair-ids")
     few = ids.count() <= BROADCAST_IDS
-    found = materialise(full_sets(docs, F.broadcast(ids) if few else ids, words_per), "shingle-sets")
+    found = materialise(set_blocks(docs, F.broadcast(ids) if few else ids, words_per), "shingle-sets")
     return found if known is None else known.unionByName(found)
 
 

@@ -72,7 +72,31 @@ def test_accumulation_equals_plain_overlap(monkeypatch):
         if rng.random() < 0.6:
             y = np.delete(x, rng.integers(0, len(x), rng.integers(0, max(1, len(x) // 9)))) if len(x) > 3 else x
         both = len(np.intersect1d(x, y))
-        assert ngram_join.reaches(x, y, 90) == (100 * both >= 90 * (len(x) + len(y) - both))
+        assert ngram_join.reaches(x, y, ngram_join.needed_overlap(len(x), len(y), 90)) == (100 * both >= 90 * (len(x) + len(y) - both))
+
+
+def test_first_columns_follow_one_order():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 60)).astype(np.uint64))
+        often = rng.integers(0, 4, len(x))
+        for count in range(1, len(x) + 1):
+            assert ngram_join.first_columns(x, often, count).tolist() == [int(v) for _, v in sorted(zip(often, x))[:count]]
+
+
+def test_small_cells_at_once():
+    """The pairs of many small cells, as each cell on its own gives them."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(2, near_dedup.SMALL + 1, 60)
+    cell_of, rows = np.repeat(np.arange(60), sizes), int(sizes.sum())
+    own = {"component": rng.integers(0, 5, rows), "n": rng.integers(80, 120, rows), "pos": rng.integers(0, 20, rows), "parity": rng.integers(0, 3, (rows, 8)).astype(np.uint64), "rep": np.arange(rows)}
+    got = {(int(a), int(b)) for i, j, _ in near_dedup.pairs_of_small_cells(own, cell_of, 85) for a, b in zip(i, j)}
+    want = set()
+    for c in range(60):
+        at = np.flatnonzero(cell_of == c)
+        one = {k: v[at] for k, v in own.items()} | {"outside": own["component"][at] != 0, "cell": 0, "salts": 1, "parts": 1, "part": np.where(own["component"][at] != 0, 0, -1)}
+        want |= {(min(int(at[a]), int(at[b])), max(int(at[a]), int(at[b]))) for i, j, _ in near_dedup.pairs_of_cell(one, 85) for a, b in zip(i, j)}
+    assert got == want and want
 
 
 def test_bounds_are_exact():
