@@ -1,13 +1,13 @@
 """License scans: Aho-Corasick over word sequences, and a shunting-yard parser for licence expressions.
 
 Every text is folded to its words (ASCII letters lower-cased, everything ASCII that is no letter or digit a gap) and
-walked once by one automaton that holds all notice phrases and the identifier tag. Behind each tag, the licence
-expression is read from the raw text, parsed by shunting-yard (with over and over or) and evaluated: which licences it
+walked once by one automaton that holds all notice phrases and the identifier tag. Behind each tag that it finds, however
+many a line holds, the licence expression is read from the raw text, up to the line's end or the next tag, parsed by shunting-yard (with over and over or) and evaluated: which licences it
 names, and whether it can be met with permissive ones alone.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a malformed expression contributes the
-licences it names and counts as not permissive; null ids stay; equal rows give equal rows; an empty table gives none;
-other columns of the input are ignored.
+licences it names and counts as not permissive; null ids stay; equal rows give equal rows; a text of any length is scanned
+whole, one at a time; an empty table gives none; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -60,9 +60,10 @@ IDENTIFIER_LABELS = {
 PERMISSIVE = {"mit", "apache-2", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "cc0", "unlicense", "cc-by", "0bsd"}
 
 TAG_WORDS = "spdx license identifier"
-#: The tag's words as the automaton takes them, whatever ASCII stands between, and what follows up to the line's end.
-_GAP, _WORD_CHAR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_EXPRESSION = re.compile(rf"(?<!{_WORD_CHAR})spdx{_GAP}+license{_GAP}+identifier(?!{_WORD_CHAR})[ \t]*[:=]?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+TAG_LENGTH = 3
+#: Words of a text as the automaton takes them, and what follows a tag up to the line's end.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_BEHIND = re.compile(r"[ \t]*[:=]?[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -158,7 +159,7 @@ def automaton():
         found.add_word(f" {phrase} ", (phrase.count(" ") + 1, label, False))
     for phrase, label in BASE_PHRASES.items():
         found.add_word(f" {phrase} ", (phrase.count(" ") + 1, label, True))
-    found.add_word(f" {TAG_WORDS} ", (0, "", False))
+    found.add_word(f" {TAG_WORDS} ", (0, "", False))  # no label of its own: an expression follows
     found.make_automaton()
     return found
 
@@ -167,29 +168,33 @@ def scan_text(text: str) -> tuple:
     """The row of SCHEMA without doc_id."""
     words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
     folded = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    n_base, first, last, base, labels, notices, tagged = 0, None, None, set(), set(), 0, False
+    n_base, first, last, base, labels, notices, tags = 0, None, None, set(), set(), 0, []
     seen = counted = 0
     for end, (n, label, is_base) in automaton().iter(folded):
+        if not n or is_base:
+            counted += folded.count(" ", seen, end)  # spaces before the one that ends the match
+            seen = end
         if not n:
-            tagged = True
+            tags.append(counted)
             continue
         labels.add(label)
         notices += 1
         if is_base:
-            counted += folded.count(" ", seen, end)  # spaces before the one that ends the match
-            seen = end
             start = counted - n
             n_base += 1
             first = start if first is None else min(first, start)
             last = start if last is None else max(last, start)
             base.add(label)
     expressions = []
-    if tagged:
-        for match in _EXPRESSION.finditer(text):
-            postfix, valid = to_postfix(match[1])
+    if tags:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts = [spans[t - TAG_LENGTH][0] for t in tags]
+        for tag, until in zip(tags, [*starts[1:], len(text)]):  # an expression ends where its line or the next tag does
+            behind = _BEHIND.match(text, spans[tag - 1][1], until)[1]
+            postfix, valid = to_postfix(behind)
             named, permissive = evaluate(postfix, valid)
             labels |= named
-            expressions.append({"text": match[1].strip(), "valid": valid, "permissive": permissive})
+            expressions.append({"text": behind.strip(), "valid": valid, "permissive": permissive})
     evidence = notices + 2 * sum(e["valid"] for e in expressions)
     return len(words), n_base, first, last, sorted(base), sorted(labels), expressions, 1.0 - 0.5**evidence
 
