@@ -97,3 +97,46 @@ def catalog_assets(records: DataFrame, column: str = "value") -> DataFrame:
         products.alias("products"),
         F.when(detail, d["videoPreviewAssets"]).otherwise(a["videoPreviewAssets"]).alias("assets"),
     )
+
+
+def variants_of(records: DataFrame, column: str = "value") -> DataFrame:
+    """records with v, the JSON text as a VARIANT, and error where it is malformed; a null text has neither."""
+    v = F.try_parse_json(column)
+    return records.withColumn("v", v).withColumn("error", F.when(v.isNull() & F.col(column).isNotNull(), F.concat(F.lit("malformed JSON: "), F.left(F.col(column), F.lit(500)))))
+
+
+def variant_fields(records: DataFrame, key: list[str], column: str = "value") -> DataFrame:
+    """(key columns, field, kind, text, error): the top-level fields of every record, whatever its shape, with the type
+    that each has there; one row with an error for a malformed text."""
+    rows = variants_of(records, column)
+    good = rows.where("v is not null").select(*key, F.col("v"))
+    fields = good.lateralJoin(good.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    told = fields.select(*key, F.col("key").alias("field"), F.schema_of_variant("value").alias("kind"), F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value")).alias("text"), F.lit(None).cast("string").alias("error"))
+    bad = rows.where("error is not null").select(*key, *(F.lit(None).cast("string").alias(c) for c in ("field", "kind", "text")), "error")
+    return told.unionByName(bad)
+
+
+def inferred_schema(records: DataFrame, column: str = "value") -> DataFrame:
+    """One row: schema, of all records that are JSON, merged by an aggregate, and how many texts are malformed."""
+    rows = variants_of(records, column)
+    return rows.agg(F.schema_of_variant_agg("v").alias("schema"), F.count("error").alias("malformed"))
+
+
+def variant_assets(records: DataFrame, column: str = "value") -> DataFrame:
+    """Catalog records of either shape, or of one not met before, as one row each, read field by field from a VARIANT: a
+    field may be absent, and products may be a list or a text. Malformed texts are error rows."""
+    rows = variants_of(records, column)
+    text = lambda *paths: F.coalesce(*(F.try_variant_get("v", f"$.{p}", "string") for p in paths))
+    listed = F.try_variant_get("v", "$.relatedProductsAsins", "array<string>")
+    products = F.coalesce(listed, F.split(present(text("relatedProductsAsins")), r"\s*,\s*"))
+    detail = text("contentId").isNotNull()
+    return rows.select(
+        text("contentId", "id").alias("content_id"),
+        F.when(F.col("v").isNotNull(), F.when(detail, "detail").otherwise("aggregated")).alias("shape"),
+        text("title").alias("title"),
+        first_present(text("url"), text("hlsUrl")).alias("stream_url"),
+        text("creator.publicName", "channelTitle").alias("creator"),
+        products.alias("products"),
+        F.try_variant_get("v", "$.videoPreviewAssets", ASSETS).alias("assets"),
+        "error",
+    )

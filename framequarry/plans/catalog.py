@@ -342,6 +342,36 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("event_id", F.try_element_at("m", F.lit("kind")).alias("kind"), F.try_element_at("m", F.lit("k")).alias("k"), F.size("m").alias("entries"), scalars.first_present(F.try_element_at("m", F.lit("title")), F.try_element_at("m", F.lit("kind"))).alias("title"))
 
 
+def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of all events' properties; every fiftieth text is cut short, and so malformed."""
+    text = F.when(F.col("event_id") % 50 == 0, F.left("props", F.lit(4))).otherwise(F.col("props"))
+    return requests.variant_fields(table(spark, sf_dir, "events").select("event_id", text.alias("value")), ["event_id"])
+
+
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of pages as JSON, some without a parameter, some cut short: what is missing, and which are malformed."""
+    pages = table(spark, sf_dir, "pages")
+    field = lambda name, every: F.when(F.col("page_id") % every != 0, F.lit("x")).otherwise(F.when(F.col("page_id") % 2 == 0, F.lit("")).otherwise(F.lit(None).cast("string"))).alias(name)
+    body = F.to_json(F.struct(F.col("page_id").cast("string").alias("request_id"), field("bucket", 3), field("main_folder", 5), field("account_id", 7), F.lit("c").alias("content_id"), F.col("url").alias("video_key")))
+    cut = F.when(F.col("page_id") % 11 == 0, F.left(body, F.lit(9))).otherwise(body)
+    found = requests.missing_parameters(requests.parse_requests(pages.select("page_id", cut.alias("value"))))
+    return found.select("request_id", "error", F.col("malformed").isNotNull().alias("is_malformed"))
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos with no frames or no rate, made of documents, and the error that each has."""
+    rows = videos(spark, sf_dir).withColumn("fps", F.when(F.col("video_id") % 6 == 0, 0.0).otherwise(F.col("fps"))).withColumn("total_frames", F.when(F.col("video_id") % 9 == 0, 0).otherwise(F.col("total_frames")))
+    return sampling.quarantine(rows).select("video_id", "error")
+
+
+def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures made of pages' texts, cut to 500 characters and classified, and whether bytes begin as a stream's do."""
+    page = F.col("page_id")
+    text = F.when(page % 5 == 0, F.concat(F.lit("No segments found in "), "url")).when(page % 5 == 1, F.concat(F.lit("Failed to download "), "url")).when(page % 5 == 2, F.concat(F.lit("no VARIANT of "), "url")).otherwise(F.concat("url", F.lit(" "), F.coalesce("html", F.lit(""))))
+    content = F.encode(F.concat(F.when(page % 3 == 0, F.lit("G")).otherwise(F.lit("g")), F.col("url")), "UTF-8")
+    return table(spark, sf_dir, "pages").select("page_id", scalars.stream_error(F.left(text, F.lit(500))).alias("failure"), scalars.is_transport_stream(content).alias("is_ts"), scalars.decoded(content).alias("text"))
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.col("p_size") * 10, F.lit(250)
     size = scalars.target_size(w, h)
@@ -424,6 +454,10 @@ REQUESTS: dict[str, Query] = {
     "playlist_diagnostics": diagnosed,
     "url_features": url_features,
     "url_joins": url_joins,
+    "event_fields": event_fields,
+    "request_checks": request_checks,
+    "quarantined": quarantined,
+    "stream_errors": stream_errors,
     "metadata_merge": metadata_merge,
     "targets": targets,
     "cost": costs,
@@ -455,6 +489,15 @@ REQUESTS_SQL = {
         UNION ALL
         SELECT base || '/media.m3u8', CAST(32 + sum(length(uri) + 13) + count(*) - 1 + 16 AS INTEGER), false, CAST(0 AS BIGINT), count(*), '', NULL, base || '/' || min(CASE WHEN n = 1 THEN uri END) FROM seg GROUP BY base""",
     "url_features": "SELECT page_id, CAST(length(url) AS INTEGER) AS url_length, ends_with(url, '.html') AS is_html, contains(url, '?') AS has_query, starts_with(url, 'https:') AS is_secure, replace(url, '.html', '.mp4') AS as_video, left(url, 20) AS head, '...' || right(url, 4) AS masked FROM pages",
+    "event_fields": """SELECT event_id, j.key AS field, CASE j.type WHEN 'UBIGINT' THEN 'BIGINT' ELSE j.type END AS kind, json_extract_string(props, '$.' || j.key) AS text, CAST(NULL AS VARCHAR) AS error FROM events, json_each(props) j WHERE event_id % 50 <> 0
+        UNION ALL SELECT event_id, NULL, NULL, NULL, 'malformed JSON: ' || left(props, 4) FROM events WHERE event_id % 50 = 0""",
+    "request_checks": """WITH g AS (SELECT *, list_filter([CASE WHEN page_id % 3 = 0 THEN 'bucket' END, CASE WHEN page_id % 5 = 0 THEN 'main_folder' END, CASE WHEN page_id % 7 = 0 THEN 'account_id' END], lambda x: x IS NOT NULL) AS gone FROM pages)
+        SELECT CASE WHEN page_id % 11 <> 0 THEN CAST(page_id AS VARCHAR) END AS request_id,
+            CASE WHEN page_id % 11 = 0 THEN 'missing: bucket, main_folder, account_id, content_id, video_key' WHEN len(gone) > 0 THEN 'missing: ' || array_to_string(gone, ', ') END AS error, page_id % 11 = 0 AS is_malformed FROM g""",
+    "quarantined": "SELECT doc_id AS video_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 9 = 0 OR n_chars <= 0 THEN 'video is empty or corrupt' END AS error FROM documents",
+    "stream_errors": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'no_segments' WHEN 1 THEN 'segments_unavailable' WHEN 2 THEN 'bad_variant_playlist'
+            ELSE CASE WHEN contains(t, 'No segments found') THEN 'no_segments' WHEN contains(t, 'Failed to download') THEN 'segments_unavailable' WHEN contains(lower(t), 'variant') THEN 'bad_variant_playlist' ELSE 'failed: ' || t END END AS failure,
+            page_id % 3 = 0 AS is_ts, CASE WHEN page_id % 3 = 0 THEN 'G' ELSE 'g' END || url AS text FROM (SELECT *, left(url || ' ' || coalesce(html, ''), 500) AS t FROM pages)""",
     "url_joins": "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') || '/seg' || page_id || '.ts' AS joined FROM pages",
     "metadata_merge": "SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k, CAST(2 AS INTEGER) AS entries, event_type AS title FROM events",
     "targets": "SELECT p_partkey, CAST(CASE WHEN p_size * 10 >= 250 THEN 1920 ELSE 1080 END AS INTEGER) AS target_w, CAST(CASE WHEN p_size * 10 >= 250 THEN 1080 ELSE 1920 END AS INTEGER) AS target_h, (p_size * 10) || 'x250' AS resolution, 'out/' || p_brand || '/frame_' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '.jpg' AS object_key FROM part",

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framequarry.operators import clustering, context, payload, requests, sampling, scoring, selection
 from framequarry.plans.profiles import CANONICAL, Profile
+from framequarry.progress import Progress
 from framequarry.runtime import checkpointed, materialise
-from framequarry.sources import media, sinks, vtt
+from framequarry.sources import media, objects, parts, sinks, vtt
 
 
 @dataclass
@@ -36,6 +38,13 @@ class Plugins:
     #: Frames of persons and representative frames are encoded and stored; what can't be read or stored is dropped.
     encoder: media.Encoder | None = None
     put: Callable[[str, bytes, str, dict], None] | None = None
+    #: Or a folder of any store that Arrow opens: objects are published there at once when all tasks have written theirs.
+    object_root: str | None = None
+    #: Videos are archived through these by byte ranges, not as a value of a row.
+    ranges: parts.RangeFetcher | None = None
+    archive: parts.Multipart | None = None
+    #: Told what stages have done.
+    log: Callable[[str], None] | None = None
     webhook: str | None = None
     post: Callable[[str, bytes, float], None] | None = None
     #: Column expressions over a job's row, injected in tests.
@@ -79,34 +88,52 @@ def stored_keys(talent: DataFrame, frames: DataFrame | None, videos: DataFrame,
     wanted = talent.select("video_id", "frame_idx", F.col("s3_key").alias("key"))
     if frames is not None:
         wanted = wanted.unionByName(frames.select("video_id", F.col("frame_index").alias("frame_idx"), F.col("s3_key").alias("key")))
-    objects = media.encoded_frames(wanted.join(videos.select("video_id", "width", "height"), "video_id"), plugins.encoder)
-    return materialise(sinks.put_objects(objects, plugins.put).where("ok").select(F.col("key").alias("stored_key")), "stored-keys")
+    encoded = media.encoded_frames(wanted.join(videos.select("video_id", "width", "height"), "video_id"), plugins.encoder)
+    done = objects.store_objects(encoded, plugins.object_root) if plugins.object_root else sinks.put_objects(encoded, plugins.put)
+    return materialise(done.where("ok").select(F.col("key").alias("stored_key")), "stored-keys")
 
 
-def sampled(videos: DataFrame, detections: DataFrame | None, profile: Profile, detector) -> tuple[DataFrame, DataFrame]:
-    """(frames looked at, raw detections). Long videos of a two-pass profile are looked at coarsely first."""
+def sampled(videos: DataFrame, detections: DataFrame | None, profile: Profile, detector, progress: Progress) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(frames looked at, raw detections, what the detector took: video_id, frames and seconds of each pass). Long videos of
+    a two-pass profile are looked at coarsely first. What a detector finds is stored, so that it runs once."""
+    spent = []
 
-    def see(samples: DataFrame) -> DataFrame:
-        if detector is not None:
-            return media.detected(samples, detector)
-        return detections.join(samples.select("video_id", "frame_idx").distinct(), ["video_id", "frame_idx"], "left_semi")
+    def see(samples: DataFrame, stage: str = "detect") -> DataFrame:
+        if detector is None:
+            return detections.join(samples.select("video_id", "frame_idx").distinct(), ["video_id", "frame_idx"], "left_semi")
+        found = media.watched(samples, detector)
+        found = materialise(progress.watch(found, stage, frames=F.col("frames"), seconds=F.col("seconds")), stage)
+        progress.done(stage)
+        spent.append(found.where("det_ord is null").select("video_id", "frames", "seconds"))
+        return found.where("det_ord is not null").drop("frames", "seconds")
 
     if profile.two_pass_from is None:
         samples = sampling.uniform_samples(videos, profile)
-        return samples, see(samples)
+        return samples, see(samples), spent
     seconds = sampling.duration(F.col("total_frames"), F.col("fps"))
     short, long = videos.where(seconds < profile.two_pass_from), videos.where(seconds >= profile.two_pass_from)
     coarse = sampling.coarse_samples(long)
-    roi = sampling.with_faces(coarse, see(coarse))
+    roi = sampling.with_faces(coarse, see(coarse, "detect-coarsely"))
     refined = sampling.refined_samples(checkpointed(sampling.regions(roi)), long).select("video_id", "frame_idx", "ts")
     samples = sampling.uniform_samples(short, profile).unionByName(refined)
-    return samples, see(samples)
+    return samples, see(samples), spent
+
+
+def seconds_of(spent: list[DataFrame]) -> DataFrame | None:
+    """Per video the frames that a detector looked at, the seconds that took, and those of all its measured work."""
+    if not spent:
+        return None
+    rows = [s.select("video_id", "frames" if "frames" in s.columns else F.lit(None).cast("long").alias("frames"), "seconds") for s in spent]
+    looked = F.col("frames").isNotNull()
+    return reduce(DataFrame.unionByName, rows).groupBy("video_id").agg(F.sum("frames").alias("looked_frames"), F.sum(F.when(looked, F.col("seconds"))).alias("looked_seconds"), F.sum("seconds").alias("work_seconds"))
 
 
 def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL) -> tuple[DataFrame, DataFrame]:
-    """(payload per video, requests that ended with an error). Elapsed time, unless injected, is that of the whole run up
-    to the payloads, which all its videos share."""
+    """(payload per video, requests that ended with an error). Elapsed time, unless injected, is what a video's own work
+    took in tasks: probing it and looking at its frames; without such work, that of the run up to the payloads."""
     watch = media.Stopwatch()
+    progress = Progress(request_rows.sparkSession, plugins.log)
+    spent = []
     if plugins.detector is not None:
         media.require(plugins.detector)
     rows = requests.missing_parameters(request_rows).withColumn("source_url", F.concat_ws("/", "bucket", "video_key")).withColumn("caption_url", F.col("transcript_key")) if profile.key_prefix == "account" else requests.resolved(request_rows, plugins.fallback_base)
@@ -121,11 +148,14 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
     videos = plugins.videos
     if videos is None:
         videos, unread = probed_videos(good, plugins)
+        spent.append(videos.select("video_id", "seconds"))
+        videos = videos.drop("seconds")
         errors = errors.unionByName(unread)
     videos = sampling.quarantine(videos.where("video_id is not null").withColumn("duration", sampling.duration(F.col("total_frames"), F.col("fps"))))
     errors = errors.unionByName(good.join(videos.where("error is not null").select(F.col("video_id").alias("request_id"), F.col("error").alias("why")), "request_id").select("request_id", F.col("why").alias("error")))
     videos = videos.where("error is null").drop("error").join(good.select(F.col("request_id").alias("video_id")), "video_id", "left_semi")
-    samples, raw = sampled(videos, plugins.detections, profile, plugins.detector)
+    samples, raw, looks = sampled(videos, plugins.detections, profile, plugins.detector, progress)
+    spent += looks
     ranked = checkpointed(scoring.scored(raw, videos, profile))
     best = selection.best_per_person(ranked, clustering.clusters(ranked, plugins.eps))
     best = best.join(videos.select("video_id", "fps"), "video_id").withColumn("ts", sampling.timestamp(F.col("frame_idx"), F.col("fps"))).drop("fps")
@@ -136,13 +166,23 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
     jobs = payload.with_job(good.withColumnRenamed("request_id", "video_id").drop("error"), plugins.date, plugins.job_id).join(videos, "video_id").withColumn("base_path", payload.base_path(profile))
     looked = samples.groupBy("video_id").agg(F.count(F.lit(1)).alias("inference_frames"))
     jobs = jobs.join(looked, "video_id", "left")
+    taken = seconds_of(spent)
+    if taken is not None:
+        jobs = jobs.join(taken, "video_id", "left").withColumn("inference_frames", F.coalesce("looked_frames", "inference_frames"))
+    else:
+        jobs = jobs.withColumns({c: F.lit(None).cast("double") for c in ("looked_seconds", "work_seconds")})
     if captions is not None:
         counts = captions.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("entries_count"))
         jobs = jobs.join(counts, "video_id", "left").join(vtt.transcripts(captions), "video_id", "left")
     else:
         jobs = jobs.withColumns({"entries_count": F.lit(None).cast("int"), "transcription": F.lit(None).cast("string")})
     jobs = checkpointed(jobs.withColumn("accelerator", F.lit(plugins.accelerator)))  # ids and dates are drawn once
-    if profile.archive and plugins.put is not None and plugins.fetcher is not None:
+    if profile.archive and plugins.archive is not None and plugins.ranges is not None:
+        files = jobs.select(F.concat("base_path", F.lit("/video.mp4")).alias("key"), F.col("source_url").alias("url"), "video_id")
+        whole = parts.store_files(files, plugins.ranges, plugins.archive).where("error is null").select("key")
+        kept = materialise(files.join(whole, "key").select("video_id", F.col("key").alias("archived_s3_key"), F.concat(F.lit(plugins.url_base), "key").alias("archived_s3_url")), "archived")
+        jobs = jobs.join(kept, "video_id", "left")
+    elif profile.archive and plugins.put is not None and plugins.fetcher is not None:
         content = media.fetched(jobs.select("video_id", "source_url"), "source_url", plugins.fetcher).where("ok")
         kept = materialise(sinks.archived(jobs, content, plugins.put, sinks.iso_now(), plugins.url_base), "archived")
         jobs = jobs.join(kept, "video_id", "left")
@@ -150,13 +190,16 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
         jobs = jobs.withColumns({"archived_s3_key": F.lit(None).cast("string"), "archived_s3_url": F.lit(None).cast("string")})
     talent = payload.talent_frames(best, jobs, profile, plugins.url_base)
     frames = payload.representative_rows(sampling.representative_frames(videos, profile.pad_frames), jobs, plugins.url_base) if profile.representative_frames else None
-    if plugins.encoder is not None and plugins.put is not None:
+    if plugins.encoder is not None and (plugins.put is not None or plugins.object_root):
         talent = checkpointed(talent)
         stored = stored_keys(talent, frames, videos, plugins)
         talent = talent.join(stored, F.col("s3_key") == F.col("stored_key"), "left_semi")
         frames = frames.join(stored, F.col("s3_key") == F.col("stored_key"), "left_semi") if frames is not None else None
-    elapsed = plugins.elapsed if plugins.elapsed is not None else F.lit(watch.seconds())
-    jobs = jobs.withColumns({"elapsed_seconds": elapsed, "inference_seconds": elapsed})
+    if plugins.elapsed is not None:
+        jobs = jobs.withColumns({"elapsed_seconds": plugins.elapsed, "inference_seconds": plugins.elapsed})
+    else:
+        whole_run = F.lit(watch.seconds())
+        jobs = jobs.withColumns({"elapsed_seconds": F.coalesce("work_seconds", whole_run), "inference_seconds": F.coalesce("looked_seconds", whole_run)})
     return payload.payloads(jobs, talent, frames, profile), errors
 
 

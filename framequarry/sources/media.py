@@ -192,23 +192,37 @@ class DictFetcher:
         return self.fetch(url)[0]
 
 
+#: Bytes of contents that a task holds before it passes them on; one content may be larger.
+HELD_BYTES = 8 << 20
+
+
 def fetched(rows: DataFrame, url: str, fetcher: Fetcher, content: bool = True) -> DataFrame:
-    """Adds ok, status, content (null unless asked for) and error of each row's URL."""
+    """Adds ok, status, content (null unless asked for) and error of each row's URL. A task holds HELD_BYTES of contents,
+    or one; what is larger than memory goes through sources.parts."""
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", ok boolean, status int, content binary, error string"
+    kinds = [pa.bool_(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            got = []
-            for value in batch.column(names.index(url)).to_pylist():
+            got, first, held = [], 0, 0
+
+            def out(end):
+                columns = list(zip(*got)) if got else [(), (), (), ()]
+                part = batch.slice(first, end - first)
+                return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*names, "ok", "status", "content", "error"])
+
+            for at, value in enumerate(batch.column(names.index(url)).to_pylist()):
                 try:
                     status, data = fetcher.fetch(value) if content else (fetcher.head(value), None)
                     got.append((status < 400, status, data if status < 400 else None, None if status < 400 else f"status {status}"))
+                    held += len(data or b"")
                 except Exception as failure:
                     got.append((False, None, None, str(failure)))
-            columns = list(zip(*got)) if got else [(), (), (), ()]
-            kinds = [pa.bool_(), pa.int32(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*names, "ok", "status", "content", "error"])
+                if held > HELD_BYTES:
+                    yield out(at + 1)
+                    got, first, held = [], at + 1, 0
+            yield out(batch.num_rows)
 
     return rows.mapInArrow(run, schema)
 
@@ -223,20 +237,22 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probed(files: DataFrame, prober: Prober) -> DataFrame:
-    """(video_id, path) to (video_id, fps, total_frames, width, height, error)."""
+    """(video_id, path) to (video_id, fps, total_frames, width, height, error, seconds), seconds as each video took."""
 
     def run(batches):
-        kind = pa.schema([("video_id", pa.string()), ("fps", pa.float64()), ("total_frames", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("error", pa.string())])
+        kind = pa.schema([("video_id", pa.string()), ("fps", pa.float64()), ("total_frames", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("error", pa.string()), ("seconds", pa.float64())])
         for batch in batches:
             rows = []
             for video_id, path in zip(*(c.to_pylist() for c in batch.columns)):
+                began = time.perf_counter()
                 try:
                     rows.append({"video_id": video_id, "error": None} | prober.probe(path))
                 except Exception as failure:
                     rows.append({"video_id": video_id, "error": str(failure)})
+                rows[-1]["seconds"] = time.perf_counter() - began
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return files.select(F.col("video_id").cast("string").alias("video_id"), "path").mapInArrow(run, "video_id string, fps double, total_frames long, width int, height int, error string")
+    return files.select(F.col("video_id").cast("string").alias("video_id"), "path").mapInArrow(run, "video_id string, fps double, total_frames long, width int, height int, error string, seconds double")
 
 
 def require(detector: Detector) -> None:
@@ -245,34 +261,50 @@ def require(detector: Detector) -> None:
         raise RuntimeError("the detector's hardware or model is not available")
 
 
-def detected(samples: DataFrame, detector: Detector) -> DataFrame:
-    """Detections of sampled frames (video_id, frame_idx), in sampling order per video, up to the first unreadable frame.
+def watched(samples: DataFrame, detector: Detector) -> DataFrame:
+    """Detections of sampled frames (video_id, frame_idx), in sampling order per video, up to the first unreadable frame;
+    and a row for each video and task, without det_ord, with the frames looked at and the seconds that took.
 
     Videos are dealt over tasks and sorted inside, so a decoder moves forward only; pixels never enter a shuffle.
     """
 
     def run(batches):
-        kind = pa.schema([("video_id", pa.string()), ("det_ord", pa.int64()), ("frame_idx", pa.int64()), ("embedding", pa.list_(pa.float32())), ("det_score", pa.float32()), ("bbox", pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])), ("pose", pa.struct([(c, pa.float64()) for c in ("yaw", "pitch", "roll")]))])
-        video, ordinal, stopped = None, 0, False
+        kind = pa.schema([("video_id", pa.string()), ("det_ord", pa.int64()), ("frame_idx", pa.int64()), ("embedding", pa.list_(pa.float32())), ("det_score", pa.float32()), ("bbox", pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])), ("pose", pa.struct([(c, pa.float64()) for c in ("yaw", "pitch", "roll")])), ("frames", pa.int64()), ("seconds", pa.float64())])
+        video, ordinal, stopped, frames, seconds = None, 0, False, 0, 0.0
+
+        def looked():
+            return {"video_id": video, "frames": frames, "seconds": seconds}
+
         for batch in batches:
             rows = []
             for video_id, frame_idx in zip(*(c.to_pylist() for c in batch.columns)):
                 if video_id != video:
-                    video, ordinal, stopped = video_id, 0, False
+                    if video is not None:
+                        rows.append(looked())
+                    video, ordinal, stopped, frames, seconds = video_id, 0, False, 0, 0.0
                 if stopped:
                     continue
+                began = time.perf_counter()
                 try:
                     found = list(detector.detect(video_id, frame_idx))
+                    frames += 1
                 except EOFError:
-                    stopped = True
-                    continue
+                    stopped, found = True, []
+                seconds += time.perf_counter() - began
                 for d in found:
                     rows.append({"video_id": video_id, "det_ord": ordinal, "frame_idx": frame_idx, "bbox": None, "pose": None} | d)
                     ordinal += 1
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
+        if video is not None:
+            yield pa.RecordBatch.from_pylist([looked()], schema=kind)
 
     ordered = samples.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx")).repartition("video_id").sortWithinPartitions("video_id", "frame_idx")
-    return ordered.mapInArrow(run, DETECTION_SCHEMA)
+    return ordered.mapInArrow(run, DETECTION_SCHEMA + ", frames long, seconds double")
+
+
+def detected(samples: DataFrame, detector: Detector) -> DataFrame:
+    """The detections of watched alone."""
+    return watched(samples, detector).where("det_ord is not null").drop("frames", "seconds")
 
 
 def remuxed(streams: DataFrame, remuxer: Remuxer) -> DataFrame:
@@ -306,12 +338,16 @@ def encoded_frames(frames: DataFrame, encoder: Encoder) -> DataFrame:
     def run(batches):
         kind = pa.schema([("video_id", pa.string()), ("frame_idx", pa.int64()), ("key", pa.string()), ("content", pa.binary()), ("content_type", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
         for batch in batches:
-            out = []
+            out, held = [], 0
             for video_id, frame_idx, key, w, h in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     out.append({"video_id": video_id, "frame_idx": frame_idx, "key": key, "content": encoder.encode(video_id, frame_idx, w, h), "content_type": "image/jpeg", "metadata": []})
                 except EOFError:
                     continue
+                held += len(out[-1]["content"])
+                if held > HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return rows.mapInArrow(run, "video_id string, frame_idx long, key string, content binary, content_type string, metadata map<string,string>")
