@@ -93,10 +93,10 @@ def stored_keys(talent: DataFrame, frames: DataFrame | None, videos: DataFrame,
     return materialise(done.where("ok").select(F.col("key").alias("stored_key")), "stored-keys")
 
 
-def sampled(videos: DataFrame, detections: DataFrame | None, profile: Profile, detector, progress: Progress) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(frames looked at, raw detections, what the detector took: video_id, frames and seconds of each pass). Long videos of
-    a two-pass profile are looked at coarsely first. What a detector finds is stored, so that it runs once."""
-    spent = []
+def sampled(videos: DataFrame, detections: DataFrame | None, profile: Profile, detector, progress: Progress | None = None, spent: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames looked at, raw detections). Long videos of a two-pass profile are looked at coarsely first. What a detector
+    finds is stored, so that it runs once; spent gets what each pass took: video_id, frames and seconds."""
+    progress = progress or Progress(videos.sparkSession)
 
     def see(samples: DataFrame, stage: str = "detect") -> DataFrame:
         if detector is None:
@@ -104,19 +104,20 @@ def sampled(videos: DataFrame, detections: DataFrame | None, profile: Profile, d
         found = media.watched(samples, detector)
         found = materialise(progress.watch(found, stage, frames=F.col("frames"), seconds=F.col("seconds")), stage)
         progress.done(stage)
-        spent.append(found.where("det_ord is null").select("video_id", "frames", "seconds"))
+        if spent is not None:
+            spent.append(found.where("det_ord is null").select("video_id", "frames", "seconds"))
         return found.where("det_ord is not null").drop("frames", "seconds")
 
     if profile.two_pass_from is None:
         samples = sampling.uniform_samples(videos, profile)
-        return samples, see(samples), spent
+        return samples, see(samples)
     seconds = sampling.duration(F.col("total_frames"), F.col("fps"))
     short, long = videos.where(seconds < profile.two_pass_from), videos.where(seconds >= profile.two_pass_from)
     coarse = sampling.coarse_samples(long)
     roi = sampling.with_faces(coarse, see(coarse, "detect-coarsely"))
     refined = sampling.refined_samples(checkpointed(sampling.regions(roi)), long).select("video_id", "frame_idx", "ts")
     samples = sampling.uniform_samples(short, profile).unionByName(refined)
-    return samples, see(samples), spent
+    return samples, see(samples)
 
 
 def seconds_of(spent: list[DataFrame]) -> DataFrame | None:
@@ -130,8 +131,9 @@ def seconds_of(spent: list[DataFrame]) -> DataFrame | None:
 
 def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL) -> tuple[DataFrame, DataFrame]:
     """(payload per video, requests that ended with an error). Elapsed time, unless injected, is what a video's own work
-    took in tasks: probing it and looking at its frames; without such work, that of the run up to the payloads."""
-    watch = media.Stopwatch()
+    took in tasks (probing it and looking at its frames), and an equal share of what else the run took up to the
+    payloads."""
+    watch, measured = media.Stopwatch(), media.Stopwatch(running=False)
     progress = Progress(request_rows.sparkSession, plugins.log)
     spent = []
     if plugins.detector is not None:
@@ -147,15 +149,16 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
             good = good.join(silent.select("request_id"), "request_id", "left_anti")
     videos = plugins.videos
     if videos is None:
-        videos, unread = probed_videos(good, plugins)
+        with measured:
+            videos, unread = probed_videos(good, plugins)
         spent.append(videos.select("video_id", "seconds"))
         videos = videos.drop("seconds")
         errors = errors.unionByName(unread)
     videos = sampling.quarantine(videos.where("video_id is not null").withColumn("duration", sampling.duration(F.col("total_frames"), F.col("fps"))))
     errors = errors.unionByName(good.join(videos.where("error is not null").select(F.col("video_id").alias("request_id"), F.col("error").alias("why")), "request_id").select("request_id", F.col("why").alias("error")))
     videos = videos.where("error is null").drop("error").join(good.select(F.col("request_id").alias("video_id")), "video_id", "left_semi")
-    samples, raw, looks = sampled(videos, plugins.detections, profile, plugins.detector, progress)
-    spent += looks
+    with measured:
+        samples, raw = sampled(videos, plugins.detections, profile, plugins.detector, progress, spent)
     ranked = checkpointed(scoring.scored(raw, videos, profile))
     best = selection.best_per_person(ranked, clustering.clusters(ranked, plugins.eps))
     best = best.join(videos.select("video_id", "fps"), "video_id").withColumn("ts", sampling.timestamp(F.col("frame_idx"), F.col("fps"))).drop("fps")
@@ -198,8 +201,8 @@ def run(request_rows: DataFrame, plugins: Plugins, profile: Profile = CANONICAL)
     if plugins.elapsed is not None:
         jobs = jobs.withColumns({"elapsed_seconds": plugins.elapsed, "inference_seconds": plugins.elapsed})
     else:
-        whole_run = F.lit(watch.seconds())
-        jobs = jobs.withColumns({"elapsed_seconds": F.coalesce("work_seconds", whole_run), "inference_seconds": F.coalesce("looked_seconds", whole_run)})
+        share = F.lit(max(0.0, watch.seconds() - measured.seconds()) / max(1, jobs.count()))
+        jobs = jobs.withColumns({"elapsed_seconds": F.coalesce("work_seconds", F.lit(0.0)) + share, "inference_seconds": F.coalesce("looked_seconds", share)})
     return payload.payloads(jobs, talent, frames, profile), errors
 
 

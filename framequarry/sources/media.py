@@ -369,10 +369,18 @@ class TableDetector:
 
 
 class Stopwatch:
-    """Elapsed seconds, for metrics that a run injects."""
+    """Elapsed seconds of the driver, for metrics that a run injects: since it was made, or, if that is not asked for, inside
+    its with blocks."""
 
-    def __init__(self):
+    def __init__(self, running: bool = True):
+        self.began, self.before = time.monotonic() if running else None, 0.0
+
+    def __enter__(self) -> Stopwatch:
         self.began = time.monotonic()
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.before, self.began = self.seconds(), None
 
     def seconds(self) -> float:
-        return time.monotonic() - self.began
+        return self.before + (time.monotonic() - self.began if self.began is not None else 0.0)
