@@ -30,15 +30,15 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "va
 #: Query parameters that only track where a visit came from.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "gclid", "fbclid", "sessionid"]
 
-RECORD_SCHEMA = "record_id string, warc_type string, url string, captured string, refers_to string, profile string, http_status int, headers map<string,string>, body binary"
+RECORD_SCHEMA = "record_id string, warc_type string, url string, captured string, refers_to string, profile string, http_status int, headers map<string,string>, body binary, error string"
 
 
 # Reading and writing -------------------------------------------------------------------------------------------------
 
 
-def header_block(stream) -> tuple[str, dict[str, str]] | None:
-    """First line and lower-cased fields up to an empty line; None at the end of the stream."""
-    line = stream.readline()
+def header_block(stream, line: bytes | None = None) -> tuple[str, dict[str, str]] | None:
+    """First line, unless it has been read, and lower-cased fields up to an empty line; None at the end of the stream."""
+    line = stream.readline() if line is None else line
     while line in (b"\r\n", b"\n"):
         line = stream.readline()
     if not line:
@@ -57,17 +57,47 @@ def header_block(stream) -> tuple[str, dict[str, str]] | None:
     return first, fields
 
 
+def failed(fields: dict[str, str], error: str) -> dict:
+    """The row of a record that can't be read, with what its header tells."""
+    known = {"record_id": fields.get("warc-record-id"), "warc_type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "captured": fields.get("warc-date")}
+    return known | {"refers_to": None, "profile": None, "http_status": None, "headers": [], "body": None, "error": error}
+
+
+def next_start(stream) -> bytes:
+    """The next line that begins a record; empty at the end."""
+    return next((line for line in iter(stream.readline, b"") if line.startswith(b"WARC/")), b"")
+
+
 def records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped by record; a truncated last record ends it."""
+    """Records of a WARC file, plain or gzipped by record. One that can't be read (no length, other bytes before it, or its
+    block cut short) is a row with an error, and reading goes on at the next line that begins a record. A file that ends
+    inside a header ends there."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while (head := header_block(stream)) is not None:
-        version, fields = head
+    line = stream.readline()
+    while line:
+        if not line.strip():
+            line = stream.readline()
+            continue
+        if not line.startswith(b"WARC/"):
+            yield failed({}, "bytes between records")
+            line = next_start(stream)
+            continue
+        _, fields = header_block(stream, line)
         size = fields.get("content-length", "")
-        if not version.startswith("WARC/") or not size.isdigit():
-            return
+        if not size.isdigit():
+            line = stream.readline()
+            if not line:
+                return  # the file ends inside a header
+            yield failed(fields, "no length")
+            line = line if line.startswith(b"WARC/") else next_start(stream)
+            continue
         block = stream.read(int(size))
-        if len(block) < int(size):
-            return
+        if len(block) < int(size):  # the rest may hold records, if the length is wrong
+            yield failed(fields, f"{len(block)} of {size} bytes")
+            stream = io.BytesIO(block)
+            line = next_start(stream)
+            continue
+        line = stream.readline()
         status, http, body = None, {}, block
         if fields.get("content-type", "").startswith("application/http"):
             inner = io.BytesIO(block)
@@ -75,14 +105,14 @@ def records(data: bytes) -> Iterator[dict]:
                 words, http = got[0].split(None, 2), got[1]
                 status = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
             body = inner.read()
-        yield {"record_id": fields.get("warc-record-id"), "warc_type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "captured": fields.get("warc-date"), "refers_to": fields.get("warc-refers-to"), "profile": fields.get("warc-profile"), "http_status": status, "headers": list(http.items()), "body": body}
+        yield {"record_id": fields.get("warc-record-id"), "warc_type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "captured": fields.get("warc-date"), "refers_to": fields.get("warc-refers-to"), "profile": fields.get("warc-profile"), "http_status": status, "headers": list(http.items()), "body": body, "error": None}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files at a path, read by Spark."""
+    """Records of all WARC files at a path, read by Spark, each file whole; those that can't be read have an error."""
 
     def run(batches):
-        kind = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("url", pa.string()), ("captured", pa.string()), ("refers_to", pa.string()), ("profile", pa.string()), ("http_status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+        kind = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("url", pa.string()), ("captured", pa.string()), ("refers_to", pa.string()), ("profile", pa.string()), ("http_status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for content in batch.column(0):
                 held = []
