@@ -107,7 +107,7 @@ class Meetings:
 
     def comparisons(self) -> int:
         """Pairs of points that are compared, each once, while neighbours are counted and components joined."""
-        inside = self.blocks.where("not tight").agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0
+        inside = self.blocks.where("not tight").agg(F.sum(F.expr("size * (size - 1) div 2"))).first()[0] or 0
         sized = self.blocks.select("video_id", "block", "size")
         low, high = (sized.withColumnsRenamed({"block": c, "size": f"{c}_size"}) for c in ("low", "high"))
         across = self.pairs.join(low, ["video_id", "low"]).join(high, ["video_id", "high"]).agg(F.sum(F.col("low_size") * F.col("high_size"))).first()[0]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Points that a block holds on average at most, pivots of a video, and points that meet its pivots in one task.
-BLOCK, PIVOTS, PART = 1024, 64, 8192
+BLOCK, PIVOTS, PART = 1024, 256, 8192
 #: Rings of a cell are a quarter of the radius wide.
 RINGS = 4
 #: Distances are compared with this much to spare, far above what rounding can do.
