@@ -12,14 +12,17 @@ log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)). Where a pair is seen in at least
 from GENERALISE on generalises the term at all its places in all texts, one from REMOVE on removes it. Places inside a
 base entity are the entity's own.
 
-Pairs of term and entity are counted first, over the texts that hold an entity; only words that may be among their
-terms are then counted over the corpus, and only words that may disclose something leave a text with their places. Which
+Pairs of term and entity are counted first, over the texts that hold an entity. Terms that the same texts hold are one
+set, entities likewise, so that a text's pairs are those of its sets; terms too common to disclose any entity of their
+texts meet none. Only words that may be among the pairs' terms are then counted over the corpus, and only words that may
+disclose something leave a text with their places. Which
 words may is told by a table of their hashes, or of buckets where those are too many, broadcast, with at most BUCKETS rows at
 any size of the corpus; an exact join follows. The plan is the same at every size, and joins may be split where copies share a text.
 
 Defined cases: a null text is empty and has no spans; null ids stay; equal rows return equal rows, and copies of a text
 are one text for SUPPORT; a corpus of one document discloses nothing; an empty table gives no rows; other columns of
-the input are ignored by `find` and kept by `sanitise`; texts may have any number of matches.
+the input are ignored by `find` and kept by `sanitise`; texts may be of any length and have any number of matches, and
+where they share a list of thousands of entities, it is one set.
 """
 
 from __future__ import annotations
@@ -167,20 +170,47 @@ def maybe(words: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(wanted, fold(F.xxhash64("term")) == F.col("bucket"), "left_semi")
 
 
+def rarest(n, n_e):
+    """Documents that may have a term at most, so that it can pass GENERALISE for an entity of n_e among n documents: the
+    bound for a term that stands wherever the entity does."""
+    return F.pow(n, F.lit(1 - GENERALISE)) * F.pow(n_e, F.lit(GENERALISE)) * (1 + 1e-9)
+
+
+def held(rows: DataFrame, name: str, *more) -> DataFrame:
+    """Of each name in rows (key, copies, name), distinct pairs of key and name: documents, texts, and a fingerprint of 128
+    bits of the set of texts that hold it. Names of one set can't be told apart by any count."""
+    sets = (F.bit_xor(F.xxhash64("key")).alias("x1"), F.bit_xor(F.xxhash64(F.reverse("key"))).alias("x2"))
+    return rows.groupBy(name).agg(F.sum("copies").alias("documents"), F.count(F.lit(1)).alias("texts"), *sets, *more).where(F.col("texts") >= SUPPORT)
+
+
+_SET = ["documents", "texts", "x1", "x2"]
+
+
 def disclosures(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(term, strength) of the terms whose disclosure of some entity passes GENERALISE; found: key, copies, words,
-    entity_names."""
+    entity_names.
+
+    Entities that the same texts hold count as one, and so do terms; only sets of either kind meet within a text, and of
+    terms only those rare enough. So a list of thousands of addresses, and its copies, cost what their words do.
+    """
     n = F.lit(float(n_docs))
-    entities = found.select("copies", F.explode("entity_names").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    entities = entities.where((F.col("texts") >= SUPPORT) & (F.col("n_e") < n)).drop("texts")
+    entities = held(found.select("key", "copies", F.explode("entity_names").alias("entity")), "entity").where(F.col("documents") < n)
+    entities = entities.groupBy(*_SET).agg(F.min("entity").alias("entity")).select("entity", F.col("documents").alias("n_e"))
     holders = materialise(found.select("key", "copies", F.explode("entity_names").alias("entity")).join(entities, "entity"), "holders")
-    words = found.join(holders.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term"))
-    pairs = words.join(holders, "key").groupBy("entity", "term", "n_e").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
-    pairs = materialise(pairs.drop("texts"), "term-pairs")
-    counts = maybe(texts.select(F.explode_outer(words_of("t")).alias("term")), pairs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    words = found.join(holders.groupBy("key").agg(F.max("n_e").alias("most")), "key").select("key", "copies", "most", F.explode("words").alias("term"))
+    terms = materialise(held(words, "term", F.max("most").alias("most")).where(F.col("documents") <= rarest(n, F.col("most"))).drop("most"), "terms")
+    sets = materialise(terms.groupBy(*_SET).agg(F.min("term").alias("term")), "term-sets")
+    some = maybe(words, sets).join(sets.select("term", F.col("documents").alias("n_held")), "term").select("key", "term", "n_held")
+    met = some.join(holders, "key").where(F.col("n_held") <= rarest(n, F.col("n_e")))
+    pairs = met.groupBy("entity", "term", "n_e").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    of_sets = sets.withColumnRenamed("term", "of_set").join(pairs.select(F.col("term").alias("of_set"), "n_e", "n_te").distinct(), "of_set").drop("of_set")
     information = F.log2(n / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(counts, "term").withColumn("strength", mutual / information).where(F.col("strength") >= GENERALISE).groupBy("term").agg(F.max("strength").alias("strength"))
+    strength = lambda n_t: F.log2(F.col("n_te") * n / (F.col(n_t) * F.col("n_e"))) / information
+    # A term is in at least as many documents as hold an entity besides.
+    pairs = terms.join(of_sets.where(strength("documents") >= GENERALISE - 1e-9), _SET)
+    pairs = materialise(pairs.select("term", "n_e", "n_te"), "term-pairs")
+    counts = maybe(texts.select(F.explode_outer(words_of("t")).alias("term")), pairs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return pairs.join(counts, "term").withColumn("strength", strength("n_t")).where(F.col("strength") >= GENERALISE).groupBy("term").agg(F.max("strength").alias("strength"))
 
 
 def term_places(texts: DataFrame, strong: DataFrame) -> DataFrame:

@@ -46,6 +46,24 @@ def test_endless_matches(spark):
     assert clean == {1: "x " + " ".join(["[EMAIL]"] * 100_000) + " y", 2: "plain"}
 
 
+def test_lists_of_addresses(spark):
+    """Two near-copies of a list of 20,000 addresses: its names disclose them, in a time that is about linear."""
+    lists = "\n".join(f"name{i} a{i}@b.cd" for i in range(20_000))
+    rows = [(1, f"{lists} first"), (2, f"{lists} second"), (3, "also name7 here"), *((10 + i, f"plain{i} text") for i in range(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_digests(docs).collect()}
+    assert time.time() - began < 45
+    names = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"name\d+", rows[0][1])}
+    seven = re.search(r"name7\b", rows[0][1])
+    # name7 is in three documents of twelve, two of which have the address: log2(2 * 12 / (3 * 2)) / log2(12 / 2) = 0.77.
+    want = names - {f"term:{seven.start()}:{seven.end()}"}
+    for doc in (1, 2):
+        assert {s for s in got[doc] if s.startswith("term")} == want
+        assert sum(s.startswith("email") for s in got[doc]) == 20_000
+    assert all(got[k] == [""] for k in got if k > 2)
+
+
 def test_locating_and_merging(spark):
     rng = random.Random(2)
     for n in (1, 2, 63, 64, 65, 500):
@@ -81,8 +99,10 @@ def test_replacing_across_pieces(spark, monkeypatch):
         assert got == want + text[at:]
 
 
-def test_strengths_against_plain_counts(spark):
-    rng = random.Random(6)
+@pytest.mark.parametrize("seed, lists", [(6, 0), (7, 12), (8, 40)])
+def test_strengths_against_plain_counts(spark, seed, lists):
+    """lists: texts that hold several entities, in overlapping ranges."""
+    rng = random.Random(seed)
     people = [f"p{i}@x.org" for i in range(6)]
     texts = []
     for i in range(300):
@@ -92,6 +112,10 @@ def test_strengths_against_plain_counts(spark):
             words += [people[who], f"name{who}", f"city{who // 2}"]
         rng.shuffle(words)
         texts.append(" ".join(words))
+    for i in range(lists):
+        first = rng.randrange(30)
+        texts.append(" ".join(f"p{k}@x.org name{k} city{k // 2}" for k in range(first, first + rng.randint(2, 9))) + f" w{rng.randint(0, 60)}")
+    people += [f"p{k}@x.org" for k in range(6, 40)]
     texts += texts[:40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").withColumn("key", F.md5("t"))
     named = pii.base_spans(docs, ["doc_id", "key"])
@@ -101,7 +125,7 @@ def test_strengths_against_plain_counts(spark):
     n, has = len(texts), [set(re.findall(r"[a-z0-9]+", t)) for t in texts]
     want = {}
     for who in people:
-        holding = [who in t for t in texts]
+        holding = [who in t.split() for t in texts]
         n_e, kinds = sum(holding), len({t for t, h in zip(texts, holding) if h})
         for term in set().union(*has):
             n_t, n_te = sum(term in h for h in has), sum(term in h and e for h, e in zip(has, holding))
