@@ -9,8 +9,8 @@ each document, and others of clean ones), as only documents carry labels. Eviden
 the other folds of the sample.
 
 The sample: at most SAMPLE_ROWS rows of each label, in the order of a hash of doc_id, only with
-crc32(doc_id as text) mod 5 other than 0; of a text longer than SAMPLE_CHARS, STRETCHES stretches of together that length,
-spread evenly from its beginning to its end. Scoring covers all texts whole.
+crc32(doc_id as text) mod 5 other than 0. Their texts are learned from whole, however long: they reach the driver one
+after another and stay there as four bytes a word. Scoring covers all texts whole, too.
 
 Defined cases: null and empty texts, and texts without a word, score 0; a null doc_id is scored, counts as held out and
 is never learned from; of rows with one doc_id, one is learned from; a label other than 0 or 1 is not learned from;
@@ -23,16 +23,16 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framequarry.llm import gru
-from framequarry.runtime import bounded_batches, give_back, lean, resident
+from framequarry.runtime import bounded_batches, give_back, lean, materialise, resident
 
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS, STRETCHES = 20_000, 8
 WINDOW, STRIDE = 48, 32
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
@@ -211,7 +211,7 @@ class Model:
 class Sample:
     """Labelled texts as numbers: their words, the words' n-grams, and evidence from all folds but one."""
 
-    def __init__(self, texts: list[str], labels: list[int], seed: int):
+    def __init__(self, texts: Iterable[str], labels: list[int], seed: int):
         index: dict[str, int] = {}
         docs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t.lower())), np.int32) for t in texts]
         have = [i for i, own in enumerate(docs) if len(own)]
@@ -276,7 +276,7 @@ def embedding_gradients(p, d_x: np.ndarray, buckets: np.ndarray, of_word: np.nda
     }
 
 
-def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, seed: int = 0) -> Model:
+def train(texts: Iterable[str], labels: list[int], clean_weight: float = 1.0, seed: int = 0) -> Model:
     """A model from labelled texts, taken in the order given; clean_weight: how many clean rows each one stands for, as
     against toxic ones, when the threshold is set."""
     sample = Sample(texts, labels, seed)
@@ -343,29 +343,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> tuple[list[tuple[str, int]], float]:
-    """At most per_label texts of each label, in the order of doc_id, each of about max_chars at most; and how many clean
-    rows one of them stands for."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS) -> tuple[DataFrame, list[int], float]:
+    """A stored table (doc_id, text, toxic) of at most per_label whole texts of each label; its labels in the order of
+    doc_id; and how many clean rows one of them stands for."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     picked = None
     for label in (0, 1):
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
-    step = max_chars // STRETCHES
-    whole = f"transform(sequence(0, {STRETCHES - 1}), k -> substring(text, cast((length(text) - {step}) * k div {STRETCHES - 1} as int) + 1, {step}))"
-    text = F.when(F.length("text") <= max_chars, F.col("text")).otherwise(F.array_join(F.expr(whole), "\n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text <> ''")
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
+    rows = materialise(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "training-sample")
+    found = [r["toxic"] for r in rows.select("doc_id", "toxic").orderBy("doc_id").collect()]
     totals = known.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    toxic = sum(r["toxic"] for r in rows)
-    clean = len(rows) - toxic
+    toxic = sum(found)
+    clean = len(found) - toxic
     weight = (totals["n"] - totals["toxic"]) / totals["toxic"] * toxic / clean if toxic and clean else 1.0
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])], max(weight, 1.0)
+    return rows, found, max(weight, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample, clean_weight = training_sample(docs, labels)
-    model = train([t for t, _ in sample], [y for _, y in sample], clean_weight)
+    sample, toxic, clean_weight = training_sample(docs, labels)
+    texts = (r["text"] for r in sample.orderBy("doc_id").select("text").toLocalIterator())
+    model = train(texts, toxic, clean_weight)
     give_back()  # what training held on the driver
     return model
 

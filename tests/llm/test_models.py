@@ -100,15 +100,29 @@ def test_scores_against_a_plain_forward_pass():
     assert model.score([[]])[0][0] == 0
 
 
-def test_long_texts_are_sampled_all_over(spark):
+def test_long_texts_are_sampled_whole(spark):
     text = " ".join(f"w{i}" for i in range(30_000))
     docs = spark.createDataFrame([(1, text), (2, "short text"), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    got, _ = toxicity.training_sample(docs, labels)
-    assert [y for _, y in got] == [1, 0] and got[1][0] == "short text"
-    long = got[0][0]
-    assert len(long) < toxicity.SAMPLE_CHARS + 20 and long.startswith("w0 w1 ") and long.endswith(" w29999")
-    assert all(part in text for part in long.split("\n")) and len(long.split("\n")) == toxicity.STRETCHES
+    rows, toxic, _ = toxicity.training_sample(docs, labels)
+    assert toxic == [1, 0]
+    assert [r["text"] for r in rows.orderBy("doc_id").collect()] == [text, "short text"]
+
+
+def test_toxic_words_amid_long_texts_are_learned(spark):
+    """The only toxic words stand once, amid a text of 40,000 characters or more."""
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in ("ran", "ter", "lo", "mi", "sen") for b in ("der", "ka", "pol", "us", "ti")]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(plain) for _ in range(8_000)]
+        if i % 3 == 0:
+            words[rng.randint(3_500, 4_500)] = "vilething"
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_digests(docs, labels).collect()}
+    assert got == {i: y for i, _, y in rows}
 
 
 def made_up(n, seed):
