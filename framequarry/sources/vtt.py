@@ -42,13 +42,16 @@ def spoken(rows: DataFrame, line: str) -> DataFrame:
 
 
 def first_lines(rows, limit: int) -> list[tuple]:
-    """The first (ordinal, line) rows in order, as long as what stands before a row is no longer than limit."""
-    out, before = [], 0
+    """The first (ordinal, line) rows in order, up to the one with which the joined lines get longer than limit.
+
+    Lines that fill the limit exactly are not enough: whether any other follows tells if the text is shortened.
+    """
+    out, length = [], -1
     for row in sorted(rows):
-        if before > limit:
+        if length > limit:
             break
         out.append(row)
-        before += len(row[1]) + 1
+        length += len(row[1]) + 1
     return out
 
 

@@ -109,6 +109,18 @@ def test_transcript_of_a_hot_video(spark):
     assert "Window" not in found._jdf.queryExecution().toString()
 
 
+def test_transcripts_around_the_limit(spark):
+    """Lines that end just before, at and just after the limit, alone and with more behind them, in one part and in many."""
+    rows = [(f"{size}-{more}", i, float(i), i + 1.0, None, "x" * n) for size in (998, 999, 1000, 1001) for more in (0, 1, 2) for i, n in enumerate([500, size - 515, *[3] * more])]
+    want = {}
+    for video, _, s, _, _, text in rows:
+        want[video] = (want[video] + " " if video in want else "") + f"[{s:.1f}s] " + text
+    assert {len(want[f"{size}-0"]) for size in (998, 999, 1000, 1001)} == {998, 999, 1000, 1001}
+    for parts in (1, 7):
+        found = vtt.transcripts(spark.createDataFrame(rows, "video_id string, ordinal int, start double, end double, speaker string, text string").repartition(parts))
+        assert {r["video_id"]: r["transcription"] for r in found.collect()} == {v: s[:997] + "..." if len(s) > 1000 else s for v, s in want.items()}
+
+
 #: Examples of RFC 3986, sections 5.4.1 and 5.4.2.
 BASE = "http://a/b/c/d;p?q"
 CASES = """g:h g:h|g http://a/b/c/g|./g http://a/b/c/g|g/ http://a/b/c/g/|/g http://a/g|//g http://g|?y http://a/b/c/d;p?y|g?y http://a/b/c/g?y
