@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPEAKER_LIMIT = 40
 TRANSCRIPT_LIMIT = 1000
@@ -127,7 +127,14 @@ def url_part(url: Column, part: int) -> Column:
 
 
 def without_dots(path: Column) -> Column:
-    """A path without its "." and ".." parts: a fold over its parts, "..", taking back the part before it."""
+    """A path without its "." and ".." parts: "." goes as text, the others by a fold, as each takes back a part."""
+    dotted = F.startswith(path, F.lit(".")) | path.contains("/.")
+    single = F.regexp_replace(path, r"(?<![^/])\.(?:/|\z)", "")
+    back = F.startswith(path, F.lit("..")) | path.contains("/..")
+    return F.when(back, _folded(path)).when(dotted, single).otherwise(path)
+
+
+def _folded(path: Column) -> Column:
     rooted = F.startswith(path, F.lit("/"))
     parts = F.split(F.when(rooted, F.substring(path, F.lit(2), F.length(path))).otherwise(path), "/")
     none = F.array().cast("array<string>")
@@ -136,7 +143,16 @@ def without_dots(path: Column) -> Column:
     # A last part of dots leaves the folder that it names.
     folder = F.element_at(parts, -1).isin(".", "..")
     joined = F.array_join(F.when(folder, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    return F.when(path.contains("."), F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), joined)).otherwise(path)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), joined)
+
+
+def joined_urls(rows: DataFrame, base: str, ref: Column | str, name: str) -> DataFrame:
+    """rows with url_join(base, ref) as column name, in steps that read each part of either once; for many rows."""
+    given = F.col(ref) if isinstance(ref, str) else ref
+    parts = {f"{side}_{part}": url_part(url, part) for side, url in (("__base", F.col(base)), ("__ref", given)) for part in range(_SCHEME, _FRAGMENT + 1)}
+    base_part, ref_part = ([F.col(f"{side}_{part}") for part in range(_SCHEME, _FRAGMENT + 1)] for side in ("__base", "__ref"))
+    split = rows.withColumns(parts).withColumn("__path", _whole_path(base_part, ref_part))
+    return split.withColumn(name, _joined(F.col(base), given, base_part, ref_part, F.col("__path"))).drop(*parts, "__path")
 
 
 def url_join(base: Column | str, ref: Column | str) -> Column:
@@ -146,14 +162,24 @@ def url_join(base: Column | str, ref: Column | str) -> Column:
     with the base's own scheme and no authority is relative, and one with an authority keeps its path as it is written.
     """
     base, ref = (F.col(x) if isinstance(x, str) else x for x in (base, ref))
-    own = url_part(ref, _SCHEME)
-    absolute = (own != "") & ((own != url_part(base, _SCHEME)) | (url_part(ref, _AUTHORITY) != ""))
-    authority, path, query = url_part(ref, _AUTHORITY), url_part(ref, _PATH), url_part(ref, _QUERY)
-    base_path = url_part(base, _PATH)
-    folder = F.when((base_path == "") & (url_part(base, _AUTHORITY) != ""), F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)?", 1))
-    merged = F.when(path == "", base_path).when(F.startswith(path, F.lit("/")), without_dots(path)).otherwise(without_dots(F.concat(folder, path)))
-    asked = F.when((path == "") & query.isin("", "?"), url_part(base, _QUERY)).otherwise(query)
+    base_part, ref_part = ([url_part(x, part) for part in range(_SCHEME, _FRAGMENT + 1)] for x in (base, ref))
+    return _joined(base, ref, base_part, ref_part, _whole_path(base_part, ref_part))
+
+
+def _whole_path(base: list[Column], ref: list[Column]) -> Column:
+    """The path of a reference with a path, behind its base's folder unless it is rooted; dots still in it."""
+    _, authority, base_path, _, _ = base
+    path = ref[_PATH - 1]
+    folder = F.when((base_path == "") & (authority != ""), F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)?", 1))
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+
+
+def _joined(base: Column, ref: Column, base_part: list[Column], ref_part: list[Column], whole_path: Column) -> Column:
+    base_scheme, base_authority, base_path, base_query, _ = base_part
+    own, authority, path, query, fragment = ref_part
+    absolute = (own != "") & ((own != base_scheme) | (authority != ""))
+    merged = F.when(path == "", base_path).otherwise(without_dots(whole_path))
+    asked = F.when((path == "") & query.isin("", "?"), base_query).otherwise(query)
     with_authority = F.concat(authority, path, query)
-    relative = F.concat(url_part(base, _AUTHORITY), merged, asked)
-    fragment = url_part(ref, _FRAGMENT)
-    return F.when(base.isNull() | ref.isNull(), F.lit(None).cast("string")).when(ref == "", base).when(base == "", ref).when(absolute, ref).otherwise(F.concat(url_part(base, _SCHEME), F.when(authority != "", with_authority).otherwise(relative), fragment))
+    relative = F.concat(base_authority, merged, asked)
+    return F.when(base.isNull() | ref.isNull(), F.lit(None).cast("string")).when(ref == "", base).when(base == "", ref).when(absolute, ref).otherwise(F.concat(base_scheme, F.when(authority != "", with_authority).otherwise(relative), fragment))

@@ -8,7 +8,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framequarry.functions.scalars import is_transport_stream, url_join
+from framequarry.functions.scalars import is_transport_stream, joined_urls, url_join
 from framequarry.runtime import materialise
 from framequarry.sources.media import Fetcher, fetched
 
@@ -45,7 +45,7 @@ def best_variants(found: DataFrame) -> DataFrame:
 
 
 def segment_urls(found: DataFrame) -> DataFrame:
-    return found.withColumn("url", url_join(url_join("playlist_url", F.lit(".")), "uri"))
+    return joined_urls(joined_urls(found, "playlist_url", F.lit("."), "__folder"), "__folder", "uri", "url").drop("__folder")
 
 
 def fetch_segments(found: DataFrame, fetcher: Fetcher) -> DataFrame:

@@ -146,3 +146,11 @@ def test_playlist_lines(spark):
     lists = spark.createDataFrame([("u", text), ("e", ""), ("n", None)], "playlist_url string, text string")
     assert [tuple(r) for r in playlist.segments(lists).collect()] == [("u", 0, "one.ts"), ("u", 1, "two.ts")]
     assert [tuple(r) for r in playlist.variants(lists).collect()] == [("u", 0, "v.m3u8", 9, 3, 2)]
+
+
+def test_urls_of_many_segments_are_read_once(spark):
+    """The plan names each part of a reference a few times, where joins within joins named them thousands of times."""
+    lists = spark.createDataFrame([("https://h.example.test/a/./b/../m.m3u8?t=1", "#EXTM3U\n#EXTINF:4,\ns.ts\n#EXTINF:4,\n?k=2\n#EXTINF:4,\n../s.ts\n#EXTINF:4,\n./x/./y.ts")], "playlist_url string, text string")
+    found = playlist.segment_urls(playlist.segments(lists))
+    assert [r["url"] for r in found.orderBy("pos").collect()] == ["https://h.example.test/a/" + x for x in ("s.ts", "?k=2", "../s.ts", "x/y.ts")][:2] + ["https://h.example.test/s.ts", "https://h.example.test/a/x/y.ts"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 40
