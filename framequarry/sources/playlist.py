@@ -26,9 +26,14 @@ def text_lines(playlists: DataFrame) -> Column:
 def variants(playlists: DataFrame) -> DataFrame:
     """(playlist_url, pos, uri, bandwidth, width, height) of master playlists: URIs right behind a variant's tag."""
     rows = playlists.select("playlist_url", F.posexplode(F.regexp_extract_all(text_lines(playlists), F.lit(_VARIANT), F.lit(1))).alias("pos", "found"))
-    tag, uri = F.substring_index("found", "\n", 1), F.trim(F.substring_index("found", "\n", -1))
+    return rows.select("playlist_url", "pos", *variant_fields(F.col("found")))
+
+
+def variant_fields(found: Column) -> list[Column]:
+    """uri, bandwidth, width and height of a variant's text, from its tag to its URI."""
+    tag, uri = F.substring_index(found, "\n", 1), F.trim(F.substring_index(found, "\n", -1))
     number = lambda pattern: F.try_to_number(F.nullif(F.regexp_extract(tag, pattern, 1), F.lit("")), F.lit("999999999999999999")).cast("long")
-    return rows.select("playlist_url", "pos", uri.alias("uri"), number(r"(?:^|[:,])BANDWIDTH=(\d+)").alias("bandwidth"), number(r"RESOLUTION=(\d+)x").cast("int").alias("width"), number(r"RESOLUTION=\d+x(\d+)").cast("int").alias("height"))
+    return [uri.alias("uri"), number(r"(?:^|[:,])BANDWIDTH=(\d+)").alias("bandwidth"), number(r"RESOLUTION=(\d+)x").cast("int").alias("width"), number(r"RESOLUTION=\d+x(\d+)").cast("int").alias("height")]
 
 
 def segments(playlists: DataFrame) -> DataFrame:
@@ -110,18 +115,22 @@ def write_streams(found: DataFrame, fetcher: Fetcher, opened: Callable[[str], An
 
 
 def diagnostics(playlists: DataFrame) -> DataFrame:
-    """One row per playlist: its kind, counts, the first three variants, and the URL to try next."""
-    base = playlists.select("playlist_url", F.length("text").alias("playlist_size"))
-    by_variant = variants(playlists).withColumn("url", url_join("playlist_url", "uri"))
-    resolution = F.when(F.col("width").isNotNull(), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))
-    v = by_variant.groupBy("playlist_url").agg(F.count(F.lit(1)).alias("variant_count"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "bandwidth", resolution.alias("resolution"), "url"))), 1, 3).alias("variant_details"))
-    s = segment_urls(segments(playlists)).groupBy("playlist_url").agg(F.count(F.lit(1)).alias("segment_count"), F.min_by("url", "pos").alias("first_segment_url"))
-    rows = base.join(v, "playlist_url", "left").join(s, "playlist_url", "left")
-    return rows.withColumns({
-        "variant_count": F.coalesce("variant_count", F.lit(0)),
-        "segment_count": F.coalesce("segment_count", F.lit(0)),
-        "first_variant_url": F.get("variant_details", F.lit(0))["url"],
-    }).withColumn("is_variant_playlist", F.col("variant_count") > 0)
+    """One row per playlist: its kind, counts, the first three variants, and the URL to try next.
+
+    A playlist is told from its own text alone, so nothing is shuffled, and of its segments only the first is resolved.
+    """
+    kinds = "playlist_url", "playlist_size", "variant_count", "segment_count", "first_segment_url"
+    counted = playlists.select("playlist_url", F.length("text").alias("playlist_size"), text_lines(playlists).alias("text"))
+    counted = counted.withColumns({"found": F.regexp_extract_all("text", F.lit(_VARIANT), F.lit(1)), "uris": F.regexp_extract_all("text", F.lit(_SEGMENT), F.lit(1))})
+    counted = counted.select("playlist_url", "playlist_size", F.greatest(F.size("found"), F.lit(0)).cast("long").alias("variant_count"), F.greatest(F.size("uris"), F.lit(0)).cast("long").alias("segment_count"), F.slice("found", 1, 3).alias("found"), F.trim(F.get("uris", F.lit(0))).alias("uri"))
+    rows = segment_urls(counted).withColumnRenamed("url", "first_segment_url").select(*kinds, *(F.get("found", F.lit(k)).alias(f"found_{k}") for k in range(3)))
+    for k in range(3):
+        uri, bandwidth, width, height = variant_fields(F.col(f"found_{k}"))
+        resolution = F.when(width.isNotNull(), F.concat_ws("x", width.cast("string"), height.cast("string")))
+        rows = rows.withColumns({f"uri_{k}": uri, f"bandwidth_{k}": bandwidth, f"resolution_{k}": resolution})
+        rows = joined_urls(rows, "playlist_url", f"uri_{k}", f"url_{k}")
+    details = [F.when(F.col("variant_count") > k, F.struct(F.lit(k).alias("pos"), F.col(f"bandwidth_{k}").alias("bandwidth"), F.col(f"resolution_{k}").alias("resolution"), F.col(f"url_{k}").alias("url"))) for k in range(3)]
+    return rows.select(*kinds, F.when(F.col("variant_count") > 0, F.filter(F.array(*details), lambda v: v.isNotNull())).alias("variant_details"), F.col("url_0").alias("first_variant_url"), (F.col("variant_count") > 0).alias("is_variant_playlist"))
 
 
 def fetch_playlists(urls: DataFrame, fetcher: Fetcher) -> tuple[DataFrame, DataFrame]:

@@ -154,3 +154,15 @@ def test_urls_of_many_segments_are_read_once(spark):
     found = playlist.segment_urls(playlist.segments(lists))
     assert [r["url"] for r in found.orderBy("pos").collect()] == ["https://h.example.test/a/" + x for x in ("s.ts", "?k=2", "../s.ts", "x/y.ts")][:2] + ["https://h.example.test/s.ts", "https://h.example.test/a/x/y.ts"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 40
+
+
+def test_diagnostics_move_no_rows(spark):
+    """A row per playlist from its own text: nothing is shuffled, and equal or missing URLs don't mix playlists."""
+    variant = "#EXT-X-STREAM-INF:BANDWIDTH={0},RESOLUTION={0}x1\nv{0}.m3u8\n"
+    media, master = "#EXTINF:4,\n../s1.ts\n#EXTINF:4,\ns2.ts\n", "#EXTM3U\n" + "".join(variant.format(k) for k in range(1, 6)) + "#EXT-X-STREAM-INF:PROGRAM-ID=1\nlast.m3u8"
+    rows = [("https://h/x/m.m3u8", master), ("https://h/x/m.m3u8", media), (None, media), ("https://h/e.m3u8", ""), ("https://h/n.m3u8", None)]
+    found = playlist.diagnostics(spark.createDataFrame(rows, "playlist_url string, text string"))
+    got = [(r["playlist_url"], r["playlist_size"], r["variant_count"], r["segment_count"], r["first_variant_url"], r["first_segment_url"], [tuple(v) for v in r["variant_details"] or []]) for r in found.collect()]
+    details = [(k - 1, k, f"{k}x1", f"https://h/x/v{k}.m3u8") for k in (1, 2, 3)]
+    assert got == [(*rows[0][:1], len(master), 6, 0, "https://h/x/v1.m3u8", None, details), (*rows[1][:1], len(media), 0, 2, None, "https://h/s1.ts", []), (None, len(media), 0, 2, None, None, []), ("https://h/e.m3u8", 0, 0, 0, None, None, []), ("https://h/n.m3u8", None, 0, 0, None, None, [])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
