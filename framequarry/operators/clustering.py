@@ -2,12 +2,14 @@
 
 The relational form never lists pairs. Points lie in the blocks of a pivot index (operators.metric), where blocks too far
 apart for any neighbours do not meet. Each block first counts neighbours inside itself and joins the core points it can
-tell already; blocks whose points are all within half the radius of one pivot need no comparison for that. Two blocks
-whose points are all core and in one component have nothing more to tell each other. The others meet twice: to count, up
-to the least number that makes a core point, and, when all core points are known, to join components. What a meeting
-returns is a spanning forest over the components it saw, one edge less than these at most, and the few core points that
-border points touch; forests merge in operators.components. The grouped form runs one video in one task and is exact for
-the same definition; it computes distances in blocks, so memory stays linear in the video's detections.
+tell already; blocks whose points are all within half the radius of one pivot need no comparison for that. Blocks are
+gathered in tiles, a few for each video and of bounded size, and a point travels once for a pair of tiles, however many
+blocks of the two meet. Every tile first counts and joins by itself. What is open then is counted between tiles, up to the
+least number that makes a core point, and, when all core points are known, components are joined. Points that are known
+to be core, or in one component with what they meet, are not compared again. What a meeting returns is a spanning forest
+over the components it saw, one edge less than these at most, and the few core points that border points touch; forests
+merge in operators.components. The grouped form runs one video in one task and is exact for the same definition; it
+computes distances in blocks, so memory stays linear in the video's detections.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from framequarry.operators.metric import BLOCK, MARGIN, blocked, celled, cosine_
 from framequarry.runtime import materialise
 
 EPS, MIN_SAMPLES = 0.65, 3
+#: Tiles that a video of many blocks has at least, blocks that a tile holds at most, numbers in its vectors at most, and
+#: columns compared at once.
+TILES, TILE_BLOCKS, TILE_VALUES, COLUMNS = 8, 64, 4 << 20, 4096
 
 
 def neighbours(points: DataFrame, eps: float = EPS, block: int = BLOCK) -> DataFrame:
@@ -71,33 +76,102 @@ def reached_in_block(close: np.ndarray, core: np.ndarray) -> np.ndarray:
     return first
 
 
-def joined_components(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(component, lesser component) edges of a spanning forest over the components of the rows and columns of close."""
-    known, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-    i, j = place[: len(left)], place[len(left) :]
-    least = np.arange(len(known))
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the least member of each component, after the edges (a, b)."""
     while True:
-        new = least.copy()
-        if close.size:
-            np.minimum.at(new, i, np.where(close, least[j][None, :], len(known)).min(axis=1))
-            np.minimum.at(new, j, np.where(close, least[i][:, None], len(known)).min(axis=0))
-        np.minimum.at(new, least, new)  # what a component has reached holds for those joined with it
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
-    moved = np.flatnonzero(least != np.arange(len(known)))
-    return known[moved], known[least[moved]]
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+class Tiled:
+    """Points of one or two tiles and the pairs of blocks among them that meet, each block with its partners."""
+
+    def __init__(self, points: pa.Table, pairs: pa.Table, floor: float):
+        self.points, self.floor = points, floor
+        self.unit, self.ordinal = matrix(points["unit"].cast(pa.list_(pa.float64()))), points["det_ord"].to_numpy()
+        order = np.argsort(points["block"].to_numpy(), kind="stable")
+        known, starts = np.unique(points["block"].to_numpy()[order], return_index=True)
+        self.rows = dict(zip(known.tolist(), np.split(order, starts[1:])))
+        self.partners: dict[int, list[int]] = {}
+        self.later: dict[int, list[int]] = {}
+        for low, high in zip(pairs["low"].to_pylist(), pairs["high"].to_pylist()):
+            self.later.setdefault(low, []).append(high)
+            self.partners.setdefault(low, []).append(high)
+            if low != high:
+                self.partners.setdefault(high, []).append(low)
+
+    def of(self, blocks: list[int]) -> np.ndarray:
+        return np.concatenate([self.rows[b] for b in blocks])
+
+    def close(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return (self.unit[rows] @ self.unit[columns].T >= self.floor) | (rows[:, None] == columns[None, :])
+
+    def count(self, hits: np.ndarray, least: int) -> np.ndarray:
+        """hits with the neighbours in partners, for points that have fewer than least, until they have as many."""
+        hits = hits.copy()
+        for block, others in self.partners.items():
+            rows, columns = self.rows[block], self.of(others)
+            for at in range(0, len(columns), COLUMNS):
+                rows = rows[hits[rows] < least]
+                if not len(rows):
+                    break
+                hits[rows] += self.close(rows, columns[at : at + COLUMNS]).sum(axis=1)
+        return hits
+
+    def join(self, core: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the core points' components, sorted, and for each the place of the least that it is joined with."""
+        names, place = np.unique(comp[core], return_inverse=True)
+        of = np.full(len(core), -1)
+        of[core] = place
+        root = np.arange(len(names))
+        for block, others in self.later.items():
+            mine, theirs = self.rows[block], self.of(others)
+            mine, theirs = mine[core[mine]], theirs[core[theirs]]
+            for at in range(0, len(theirs), COLUMNS):
+                columns = theirs[at : at + COLUMNS]
+                if not len(mine):
+                    break
+                tops = root[of[mine]]
+                common = np.bincount(tops).argmax()  # most rows are in one component: only what is not in it can tell them more
+                for rows, met in ((mine[tops == common], columns[root[of[columns]] != common]), (mine[tops != common], columns)):
+                    if len(rows) and len(met):
+                        i, j = np.nonzero(self.close(rows, met))
+                        root = merged(root, of[rows[i]], of[met[j]])
+        return names, root
+
+    def touched(self, core: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (ordinal of a point that is not core, component of a core point within the radius)."""
+        found = [np.zeros((2, 0), np.int64)]
+        for block, others in self.partners.items():
+            rows, columns = self.rows[block], self.of(others)
+            rows, columns = rows[~core[rows]], columns[core[columns]]
+            for at in range(0, len(columns) if len(rows) else 0, COLUMNS):
+                i, j = np.nonzero(self.close(rows, columns[at : at + COLUMNS]))
+                found.append(np.stack([self.ordinal[rows[i]], comp[columns[at : at + COLUMNS][j]]]))
+        border, of = np.unique(np.concatenate(found, axis=1), axis=1)
+        return border, of
+
+
+def core_and_components(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which points are core, and their components, whatever these are for the others."""
+    return got["comp"].is_valid().to_numpy(), got["comp"].fill_null(0).to_numpy()
 
 
 @dataclass
 class Meetings:
     """Points with what their own block tells, and the blocks that must meet.
 
-    points: video_id, block, det_ord, unit, hits (neighbours in the block, at most min_samples) and comp (the first core
-    point of its component in the block, null for points not yet core). blocks: video_id, block, size, tight and whether
-    all its points are core. pairs: video_id, low, high, and full (both hold core points only). sure: edges (video_id,
-    u, v) between components that need no comparison.
+    points: video_id, block, tile, det_ord, unit, hits (neighbours in the tile, at most min_samples) and comp (the first
+    core point of its component in the tile, null for points not yet core). blocks: video_id, block, tile, size, tight and
+    whether all its points are core. pairs: video_id, low, high, their tiles, and full (both hold core points only); those
+    within a tile have met once, and meet again where they are not full. sure: edges (video_id, u, v) between components
+    that need no comparison.
     """
 
     points: DataFrame
@@ -144,45 +218,78 @@ def meetings(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES
     blocks = materialise(ranges.join(sums, ["video_id", "block"]), "block-sums")
     pivot = F.floor(F.col("block") / F.lit(1024 << 24))
     near = near_blocks(blocks.select("video_id", "block", "low_far", "high_far", F.struct("full", "least", "most", "tight", pivot.alias("pivot")).alias("about")), eps)
+    # Tiles: blocks in order, as many points as a share of the video has, between a block and what one task can hold.
+    dims = seen.agg(F.max(F.size("unit"))).first()[0] or 1
+    most = max(block, min(TILE_BLOCKS * block, TILE_VALUES // max(1, dims)))
+    video = Window.partitionBy("video_id")
+    share = F.greatest(F.lit(block), F.least(F.lit(most), F.ceil(F.sum("size").over(video) / TILES)))
+    before = F.coalesce(F.sum("size").over(video.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles = materialise(blocks.select("video_id", "block", F.floor(before / share).alias("tile")), "tiles")
     one = lambda side: F.col(f"{side}.full") & (F.col(f"{side}.least") == F.col(f"{side}.most"))
     both = near.where(~(one("low_about") & one("high_about") & (F.col("low_about.least") == F.col("high_about.least"))))
     sure = F.col("low_about.tight") & F.col("high_about.tight") & (F.col("low_about.pivot") == F.col("high_about.pivot"))
     both = materialise(both.withColumn("sure", sure), "block-pairs")
-    edges = both.where("sure").select("video_id", F.col("low_about.least").alias("u"), F.col("high_about.least").alias("v"))
-    pairs = both.where("not sure").select("video_id", "low", "high", (F.col("low_about.full") & F.col("high_about.full")).alias("full"))
-    return Meetings(seen, blocks.select("video_id", "block", "size", "tight", "full"), pairs, edges)
+    low, high = (tiles.withColumnsRenamed({"block": c, "tile": f"{c}_tile"}) for c in ("low", "high"))
+    pairs = materialise(both.where("not sure").select("video_id", "low", "high").join(low, ["video_id", "low"]).join(high, ["video_id", "high"]), "tile-pairs")
+    points = materialise(tile_by_itself(seen.join(tiles, ["video_id", "block"]), pairs, floor, min_samples), "tiled")
+    ends = points.groupBy("video_id", "block").agg(F.min(F.col("comp").isNotNull()).alias("full"), F.min("comp").alias("least"))
+    blocks = materialise(blocks.select("video_id", "block", "size", "tight").join(tiles, ["video_id", "block"]).join(ends, ["video_id", "block"]), "block-ends")
+    low, high = (blocks.select("video_id", F.col("block").alias(c), F.col("least").alias(f"{c}_least"), F.col("full").alias(f"{c}_full")) for c in ("low", "high"))
+    told = lambda rows: rows.join(low, ["video_id", "low"]).join(high, ["video_id", "high"])
+    edges = told(both.where("sure").select("video_id", "low", "high")).select("video_id", F.col("low_least").alias("u"), F.col("high_least").alias("v"))
+    pairs = told(pairs).select("video_id", "low", "high", "low_tile", "high_tile", (F.col("low_full") & F.col("high_full")).alias("full"))
+    return Meetings(points, blocks.select("video_id", "block", "tile", "size", "tight", "full"), materialise(pairs, "meeting-blocks"), materialise(edges, "sure-edges"))
+
+
+def tile_by_itself(points: DataFrame, pairs: DataFrame, floor: float, min_samples: int) -> DataFrame:
+    """points (video_id, tile, block, det_ord, unit, hits, comp) with the neighbours and components of their tile."""
+    names = ["video_id", "tile", "block", "det_ord", "unit", "hits", "comp"]
+
+    def run(left, right):
+        if not left.num_rows:
+            return left
+        tiled, hits = Tiled(left, right, floor), left["hits"].to_numpy()
+        was, comp = core_and_components(left)
+        hits = tiled.count(hits, min_samples)
+        core = hits >= min_samples
+        comp = np.where(was, comp, tiled.ordinal)
+        for block, rows in tiled.rows.items():  # points that are core only now have not been joined with their own block
+            if (core[rows] & ~was[rows]).any():
+                tiled.later.setdefault(block, []).append(block)
+        joined, root = tiled.join(core, comp)
+        comp[core] = joined[root[np.searchsorted(joined, comp[core])]]
+        return pa.table([*(left[c] for c in names[:4]), left["unit"].cast(pa.list_(pa.float64())), pa.array(np.minimum(hits, min_samples), pa.int32()), pa.array(comp, pa.int64(), mask=~core)], names=names)
 
+    kind = points.schema["video_id"].dataType.simpleString()
+    inside = pairs.where("low_tile = high_tile").select(F.col("video_id").alias("of_video"), F.col("low_tile").alias("of_tile"), "low", "high")
+    both = points.select(*names).groupBy("video_id", "tile").cogroup(inside.groupBy("of_video", "of_tile"))
+    return both.applyInArrow(run, f"video_id {kind}, tile long, block long, det_ord long, unit array<double>, hits int, comp long")
 
-def together(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """points, each once for every meeting (video_id, low, high) of its block."""
-    role = pairs.select("video_id", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    return points.join(role, ["video_id", "block"])
 
+def meeting_tiles(points: DataFrame, pairs: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """run(points, pairs) for every two tiles with blocks that meet; points travel once for each such pair of tiles.
 
-def split(got: pa.Table, low: int, high: int, floor: float):
-    """Rows of either block and which of them are within the radius; a block meets itself as both."""
-    block, unit = got["block"].to_numpy(), matrix(got["unit"])
-    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    close = unit[a] @ unit[b].T >= floor
-    if low == high:
-        np.fill_diagonal(close, True)
-    return a, b, close
+    pairs: video_id, low, high and their tiles; points: video_id, block and columns, of which only those whose blocks meet
+    others are there.
+    """
+    met = pairs.select(F.col("video_id").alias("of_video"), F.least("low_tile", "high_tile").alias("of_first"), F.greatest("low_tile", "high_tile").alias("of_second"), "low", "high")
+    role = met.select(F.col("of_video").alias("video_id"), F.col("of_first").alias("first"), F.col("of_second").alias("second"), F.explode(F.array("low", "high")).alias("block")).distinct()
+    rows = points.select("video_id", "block", *columns).join(role, ["video_id", "block"])
+    return rows.groupBy("video_id", "first", "second").cogroup(met.groupBy("of_video", "of_first", "of_second")).applyInArrow(run, schema)
 
 
 def core_points(met: Meetings, floor: float, min_samples: int) -> DataFrame:
-    """points with comp set for all core points: those that the meetings of their block have made core are their own."""
+    """points with comp set for all core points: those that the meetings of their tile have made core are their own."""
     kind = met.points.schema["video_id"].dataType.simpleString()
 
-    def counted(key, got):
-        a, b, close = split(got, key[1].as_py(), key[2].as_py(), floor)
-        hits = np.zeros(got.num_rows, np.int64)
-        hits[a], hits[b] = close.sum(axis=1), close.sum(axis=0)
-        open_rows = np.flatnonzero((hits > 0) & got["open"].to_numpy(zero_copy_only=False))
-        return pa.table([got["video_id"].take(pa.array(open_rows)), got["det_ord"].take(pa.array(open_rows)), pa.array(np.minimum(hits[open_rows], min_samples), pa.int32())], names=["video_id", "det_ord", "more"])
+    def counted(left, right):
+        hits = left["hits"].to_numpy().astype(np.int64)
+        more = Tiled(left, right, floor).count(hits, min_samples) - hits if left.num_rows else hits
+        rows = np.flatnonzero(more > 0)
+        return pa.table([left["video_id"].take(pa.array(rows)), left["det_ord"].take(pa.array(rows)), pa.array(more[rows], pa.int64())], names=["video_id", "det_ord", "more"])
 
-    open_pairs = met.pairs.where("not full")
-    rows = together(met.points.select("video_id", "block", "det_ord", "unit", F.col("comp").isNull().alias("open")), open_pairs)
-    more = rows.select("video_id", "low", "high", "block", "det_ord", "unit", "open").groupBy("video_id", "low", "high").applyInArrow(counted, f"video_id {kind}, det_ord long, more int")
+    # Within a tile all is counted.
+    more = meeting_tiles(met.points, met.pairs.where("not full and low_tile <> high_tile"), ["det_ord", "unit", "hits"], counted, f"video_id {kind}, det_ord long, more long")
     more = more.groupBy("video_id", "det_ord").agg(F.sum("more").alias("more"))
     enough = F.col("hits") + F.coalesce("more", F.lit(0)) >= min_samples
     return met.points.join(more, ["video_id", "det_ord"], "left").withColumn("comp", F.coalesce("comp", F.when(enough, F.col("det_ord")))).drop("more")
@@ -194,24 +301,20 @@ def forest(points: DataFrame, met: Meetings, floor: float) -> DataFrame:
     kind = points.schema["video_id"].dataType.simpleString()
     names = ["video_id", "border", "u", "v"]
 
-    def joined(key, got):
-        low, high = key[1].as_py(), key[2].as_py()
-        a, b, close = split(got, low, high, floor)
-        comp, ordinal = got["comp"].to_numpy(zero_copy_only=False), got["det_ord"].to_numpy()
-        core = ~np.isnan(comp) if comp.dtype.kind == "f" else np.ones(len(comp), bool)
-        named = np.where(core, np.nan_to_num(comp), -1).astype(np.int64) if comp.dtype.kind == "f" else comp
-        u, v = joined_components(close[core[a]][:, core[b]], named[a[core[a]]], named[b[core[b]]])
-        touched = []
-        for rows, columns, near in ((a, b, close), (b, a, close.T))[: 1 if low == high else 2]:
-            i, j = np.nonzero(near[~core[rows]][:, core[columns]])
-            touched.append(np.stack([ordinal[rows[~core[rows]][i]], named[columns[core[columns]][j]]]))
-        border, of = np.unique(np.concatenate(touched, axis=1), axis=1) if sum(t.shape[1] for t in touched) else np.zeros((2, 0), np.int64)
-        video = pa.array([key[0].as_py()] * (len(u) + len(border)), got["video_id"].type)
-        return pa.table([video, pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(border, pa.int64())]), pa.array(np.concatenate([u, of]), pa.int64()), pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(border), pa.int64())])], names=names)
-
-    alone = met.blocks.where("not full").select("video_id", F.col("block").alias("low"), F.col("block").alias("high"))
-    rows = together(points.select("video_id", "block", "det_ord", "unit", "comp"), met.pairs.select("video_id", "low", "high").unionByName(alone))
-    return rows.select("video_id", "low", "high", "block", "det_ord", "unit", "comp").groupBy("video_id", "low", "high").applyInArrow(joined, f"video_id {kind}, border long, u long, v long")
+    def joined(left, right):
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (left["video_id"].type, pa.int64(), pa.int64(), pa.int64())], names=names)
+        tiled = Tiled(left, right, floor)
+        core, comp = core_and_components(left)
+        known, root = tiled.join(core, comp)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        border, of = tiled.touched(core, comp)
+        video = pa.array([left["video_id"][0].as_py()] * (len(moved) + len(border)), left["video_id"].type)
+        return pa.table([video, pa.concat_arrays([pa.nulls(len(moved), pa.int64()), pa.array(border, pa.int64())]), pa.array(np.concatenate([known[moved], of]), pa.int64()), pa.concat_arrays([pa.array(known[root[moved]], pa.int64()), pa.nulls(len(border), pa.int64())])], names=names)
+
+    alone = met.blocks.where("not full").select("video_id", F.col("block").alias("low"), F.col("block").alias("high"), F.col("tile").alias("low_tile"), F.col("tile").alias("high_tile"))
+    pairs = met.pairs.where("not full or low_tile <> high_tile").drop("full").unionByName(alone)
+    return meeting_tiles(points, pairs, ["det_ord", "unit", "comp"], joined, f"video_id {kind}, border long, u long, v long")
 
 
 def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:

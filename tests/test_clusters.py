@@ -51,6 +51,20 @@ def test_chain_over_blocks(spark):
     assert labels_of(clustering.clusters(points, 0.32, 4, 8)) == want and set(want.values()) == {0}
 
 
+def test_points_travel_once_for_two_tiles(spark):
+    """Vectors that no pivot tells apart, as of many strangers: all blocks meet, but points travel once for every two tiles."""
+    vectors = np.random.default_rng(5).standard_normal((3000, 64))
+    points = frame(spark, {"a": vectors})
+    want = {("a", i): label for i, label in enumerate(clustering.dbscan(vectors.astype(np.float32).astype(np.float64), 1.1))}
+    assert labels_of(clustering.clusters(points, 1.1, block=64)) == want and len(set(want.values())) > 2
+    met = clustering.meetings(points, 1.1, block=64)
+    blocks, tiles = met.blocks.count(), met.blocks.select("tile").distinct().count()
+    assert tiles <= clustering.TILES and met.pairs.count() > 0.3 * blocks * (blocks - 1) / 2
+    travelling = met.points.select("video_id", "block", "det_ord")
+    trips = clustering.meeting_tiles(travelling, met.pairs, ["det_ord"], lambda rows, pairs: rows.select(["det_ord"]), "det_ord long").count()
+    assert trips <= (tiles + 1) * 3000
+
+
 def dense(spark, people, count, spread):
     """A video of many vectors made in Spark, from seeds."""
 
